@@ -57,14 +57,19 @@ def make_passages(
         _pieces(F.col("text"), sep),
         lambda piece, i: F.struct(i.cast("int").alias("para_idx"), clean_text(piece).alias("text")),
     )
-    kept = F.filter(cleaned, lambda piece: length_filter(piece["text"], low, high))
+    kept = first_n_per_article(F.filter(cleaned, lambda piece: length_filter(piece["text"], low, high)), per_article)
     layout = [c for c in ("shard", "pos") if c in articles.columns]
+    if "pos" in layout:
+        # A dense order over the passages of a shard, for windows and caps.
+        place = lambda i: (F.col("pos") * per_article + i).cast("long").alias("ord")
+        kept = F.transform(kept, lambda piece, i: F.struct(piece["para_idx"].alias("para_idx"), piece["text"].alias("text"), place(i)))
+        layout.append("ord")
     rows = articles.select(
         F.col("id").cast("string").alias("article_id"),
-        *layout,
+        *[c for c in layout if c != "ord"],
         "title",
         "url",
-        F.inline(first_n_per_article(kept, per_article)),
+        F.inline(kept),
     )
     return rows.select(
         passage_id(F.col("article_id"), F.col("para_idx"), prefix).alias("id"),
@@ -146,9 +151,8 @@ def padding_report(buckets: DataFrame, batch: int = BATCH_ROWS) -> DataFrame:
             F.sum("_padded").alias(name), F.sum("_real").alias("real_length")
         )
 
-    in_order = buckets.withColumn("arrival_no", F.floor(F.col("row_pos") / batch).cast("long"))
+    buckets = buckets.withColumn("arrival_no", F.floor(F.col("row_pos") / batch).cast("long"))
     sorted_cost = padded(["window_no", "slice_no", "batch_no"], "sorted_length")
-    buckets = in_order
     arrival_cost = padded(["arrival_no"], "arrival_length").drop("real_length")
     return sorted_cost.join(arrival_cost, "shard").withColumn(
         "gain", F.col("arrival_length") / F.col("sorted_length")

@@ -1,6 +1,6 @@
 """Vector records, token tables and evaluation output."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed value: decimals kept in an exported vector.
@@ -44,3 +44,21 @@ def read_token_table(spark: SparkSession, path: str, rows: int | None = None) ->
 def write_eval(summary: DataFrame, path: str) -> None:
     """Evaluation rows as JSON; one row per query or setting."""
     summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_token_table(tokens: DataFrame, path: str) -> None:
+    """Store ``token, vec`` with dense ``token_id`` in token order.
+
+    The sorted rows are written once; ids are each file's row numbers plus the
+    number of rows in the files before it.
+    """
+    spark = tokens.sparkSession
+    tokens.orderBy("token").write.mode("overwrite").parquet(f"{path}-sorted")
+    rows = spark.read.parquet(f"{path}-sorted").select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file.
+    files = rows.groupBy("file").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    numbered = rows.join(files, "file").select((F.col("base") + F.col("row")).alias("token_id"), "token", "vec")
+    numbered.write.mode("overwrite").parquet(path)
