@@ -58,31 +58,24 @@ def centroid_frame(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "id int, values array<double>")
 
 
-def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """One k-means step: assign, then average. An empty cell keeps its centroid.
+def partial_sums(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """Assign and add up: ``id, n, total`` per cell that received a vector.
 
     Tasks emit one partial sum per cell they meet, so the shuffle carries model
-    rows, not vectors. Centroids must fit the broadcast budget, which
-    :func:`train_cells` guarantees by training on a bounded sample.
+    rows, not vectors.
     """
-    spark = vectors.sparkSession
-    block = bounded_block(centroids)
-    if block is None:
-        raise ValueError("centroids exceed the broadcast budget; train fewer cells")
-    dim = block.matrix.shape[1]
-    shared = spark.sparkContext.broadcast((block.ids, block.matrix))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        names = arrow_ids(ids)
-        index = {int(name): i for i, name in enumerate(names)}
-        totals, counts = np.zeros(matrix.shape), np.zeros(len(matrix), dtype=np.int64)
+        names, means = shared.value
+        order = np.argsort(names)
+        totals, counts = np.zeros(means.shape), np.zeros(len(means), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
                 data = arrow_matrix(batch.column("values"))
-                home = np.array([index[int(c)] for c in closest(data, matrix, names)])
+                home = order[np.searchsorted(names[order], closest(data, means, names))]
                 np.add.at(totals, home, data)
-                counts += np.bincount(home, minlength=len(matrix))
+                counts += np.bincount(home, minlength=len(means))
         seen = np.flatnonzero(counts)
         if len(seen):
             yield pa.RecordBatch.from_arrays(
@@ -94,12 +87,23 @@ def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
                 names=["id", "n", "total"],
             )
 
-    sums = (
+    return (
         vectors.select("values")
         .mapInArrow(partial, "id int, n long, total array<double>")
         .groupBy("id")
-        .agg(F.sum("n").alias("n"), sum_vector(F.col("total"), dim).alias("total"))
+        .agg(F.sum("n").alias("n"), sum_vector(F.col("total"), matrix.shape[1]).alias("total"))
     )
+
+
+def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """One k-means step: assign, then average. An empty cell keeps its centroid.
+
+    Centroids must fit the broadcast budget.
+    """
+    block = bounded_block(centroids)
+    if block is None:
+        raise ValueError("centroids exceed the broadcast budget; train fewer cells")
+    sums = partial_sums(vectors, arrow_ids(block.ids), block.matrix)
     moved = F.transform("total", lambda x: F.round(x / F.col("n"), CENTROID_DECIMALS))
     return centroids.join(sums, "id", "left").select(
         "id", F.when(F.col("n").isNull(), F.col("values")).otherwise(moved).alias("values")
@@ -127,14 +131,18 @@ def train_cells(vectors: DataFrame, nlist: int, iterations: int = ITERATIONS, sa
     chosen = checkpointed(train_sample(vectors.select("id", "values"), max(sample, nlist)))
     start = chosen.orderBy(*hash_order(chosen)).limit(nlist).select("values")
     matrix = arrow_matrix(start.toArrow().column("values"))
-    centroids = centroid_frame(spark, matrix)
+    if 8 * matrix.size > BROADCAST_BYTES:
+        raise ValueError("centroids exceed the broadcast budget; train fewer cells")
     for _ in range(iterations):
-        model = lloyd_step(chosen, centroids).orderBy("id").select("values").toArrow()
-        moved = arrow_matrix(model.column("values"))
+        sums = partial_sums(chosen, np.arange(len(matrix)), matrix).toArrow()
+        moved, at = matrix.copy(), sums.column("id").to_numpy()
+        if len(at):
+            means = arrow_matrix(sums.column("total")) / sums.column("n").to_numpy()[:, None]
+            moved[at] = np.round(means, CENTROID_DECIMALS)
         if np.array_equal(moved, matrix):
             break
-        matrix, centroids = moved, centroid_frame(spark, moved)
-    return centroids
+        matrix = moved
+    return centroid_frame(spark, matrix)
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:

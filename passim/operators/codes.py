@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passim.functions.vector import squared_l2
+from passim.functions.vector import squared_l2, sum_vector
 from passim.operators.cells import CENTROID_DECIMALS, ITERATIONS, TRAIN_SAMPLE, hash_order, train_sample
 from passim.operators.nearest import (
     DISTANCE_DECIMALS,
@@ -59,12 +59,9 @@ def nearest_codes(data: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def pq_step(vectors: DataFrame, codebooks: DataFrame) -> DataFrame:
-    """One Lloyd step of every subspace in a single job."""
-    spark = vectors.sparkSession
-    books = codebook_array(codebooks)
-    shared = spark.sparkContext.broadcast(books)
-    width = books.shape[2]
+def partial_sums(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """Assign and add up every subspace in one job: ``sub, code, n, total``."""
+    shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
@@ -88,15 +85,17 @@ def pq_step(vectors: DataFrame, codebooks: DataFrame) -> DataFrame:
                 names=["sub", "code", "n", "total"],
             )
 
-    sums = (
+    return (
         vectors.select("values")
         .mapInArrow(partial, "sub int, code int, n long, total array<double>")
         .groupBy("sub", "code")
-        .agg(
-            F.sum("n").alias("n"),
-            F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(width)]).alias("total"),
-        )
+        .agg(F.sum("n").alias("n"), sum_vector(F.col("total"), books.shape[2]).alias("total"))
     )
+
+
+def pq_step(vectors: DataFrame, codebooks: DataFrame) -> DataFrame:
+    """One Lloyd step of every subspace in a single job."""
+    sums = partial_sums(vectors, codebook_array(codebooks))
     moved = F.transform("total", lambda x: F.round(x / F.col("n"), CENTROID_DECIMALS))
     return codebooks.join(sums, ["sub", "code"], "left").select(
         "sub", "code", F.when(F.col("n").isNull(), F.col("centroid")).otherwise(moved).alias("centroid")
@@ -121,10 +120,14 @@ def train_pq(
 ) -> DataFrame:
     """Per-subspace codebooks over a bounded sample."""
     chosen = checkpointed(train_sample(vectors.select("id", "values"), max(sample, ks)))
-    codebooks = first_codebooks(chosen, m, ks, hash_order(chosen))
+    books = codebook_array(first_codebooks(chosen, m, ks, hash_order(chosen)))
     for _ in range(iterations):
-        codebooks = codebook_frame(vectors.sparkSession, codebook_array(pq_step(chosen, codebooks)))
-    return codebooks
+        sums = partial_sums(chosen, books).toArrow()
+        if sums.num_rows:
+            means = arrow_matrix(sums.column("total")) / sums.column("n").to_numpy()[:, None]
+            books = books.copy()
+            books[sums.column("sub").to_numpy(), sums.column("code").to_numpy()] = np.round(means, CENTROID_DECIMALS)
+    return codebook_frame(vectors.sparkSession, books)
 
 
 def encode_pq(vectors: DataFrame, codebooks: DataFrame) -> DataFrame:

@@ -61,6 +61,15 @@ def validate_queries(
     return rows.withColumn("error", error)
 
 
+def event_micros(events: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of either timestamp type, free of time zones."""
+    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
+        parts = [part(ts) for part in (F.year, F.month, F.dayofmonth, F.hour, F.minute)]
+        second = F.extract(F.lit("SECOND"), ts)
+        return F.unix_micros(F.make_timestamp_ltz(*parts, second, F.lit("UTC")))
+    return F.unix_micros(ts)
+
+
 class Bucket:
     """State of one key: tokens left and the time they were counted."""
 
@@ -95,8 +104,8 @@ def busy_periods(events: DataFrame, key: str, ts: str, refill_seconds: float) ->
     ``(key, step)`` table is sorted per key, never the events.
     """
     micros = max(1, int(np.ceil(refill_seconds * 1e6)))
-    step = F.floor(F.unix_micros(ts) / F.lit(micros)).cast("long")
-    rows = events.withColumn("_step", step)
+    micro_column = event_micros(events, ts)
+    rows = events.withColumn("_us", micro_column).withColumn("_step", F.floor(F.col("_us") / micros).cast("long"))
     steps = rows.select(key, "_step").groupBy(key, "_step").agg(F.count("*").alias("_n"))
     by_key = Window.partitionBy(key).orderBy("_step")
     fresh = (F.col("_step") - F.lag("_step").over(by_key)) > 1
@@ -116,7 +125,8 @@ def token_bucket(
     held in memory as a whole.
     """
     rows = busy_periods(events, key, ts, burst / rate)
-    rows = rows.repartition(key, "_period").sortWithinPartitions(key, "_period", ts, order)
+    rows = rows.repartition(key, "_period").sortWithinPartitions(key, "_period", "_us", order)
+    rows = rows.select(*events.columns, "_us", "_period")
     schema = T.StructType([*events.schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +134,7 @@ def token_bucket(
         for batch in batches:
             table = pa.Table.from_batches([batch])
             keys, periods = table.column(key).to_pylist(), table.column("_period").to_pylist()
-            stamps = table.column(ts).cast(pa.int64(), safe=False).to_numpy() / 1e6
+            stamps = table.column("_us").to_numpy() / 1e6
             allowed = np.zeros(len(keys), dtype=bool)
             start = 0
             while start < len(keys):
@@ -135,7 +145,7 @@ def token_bucket(
                     current, bucket = owner, Bucket(burst)
                 allowed[start:end] = admit(bucket, stamps[start:end], rate, burst)
                 start = end
-            yield from table.drop_columns(["_period"]).append_column("admitted", pa.array(allowed)).to_batches()
+            yield from table.drop_columns(["_us", "_period"]).append_column("admitted", pa.array(allowed)).to_batches()
 
     return rows.mapInArrow(serve, schema)
 

@@ -175,16 +175,16 @@ select qid, id, d, row_number() over (partition by qid order by d, id) as rank
 from (select q.id as qid, a.id, round(pow(list_distance(q.v, a.v), 2), 9) as d from «asked_vectors» q, «doc_vectors» a)
 qualify rank <= 100"""
 t.SQL["far"] = "select qid, id, score, rank from «bm25_ranked» where rank <= 100"
-t.SQL["both"] = """
+t.SQL["mixed"] = """
 select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank
 from (select qid, id, round(sum(1::double / (60 + rank)), 9) as score
       from (select qid, id, rank from «near» union all select qid, id, rank from «far») group by qid, id)"""
 t.SQL["answers"] = """
-select c.qid, c.mode, h.rank, h.id, h.score, h.kind as score_kind, a.title, a.url, null as error
+select c.qid, c.mode, h.rank, h.id, h.score, h.kind as score_kind, a.title, a.url, null::varchar as error
 from «checked» c join (
   select 'semantic' as mode, qid, id, rank, 1 - d / 2 as score, 'cosine' as kind from «near»
   union all select 'keyword', qid, id, rank, score, 'bm25' from «far»
-  union all select 'hybrid', qid, id, rank, score, 'rrf' from «both») h
+  union all select 'hybrid', qid, id, rank, score, 'rrf' from «mixed») h
 on c.error is null and h.mode = c.mode and h.qid = c.item_id and h.rank <= c.k
 join «articles» a on a.id = h.id
 union all

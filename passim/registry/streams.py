@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from passim.operators import cells, segments
+from passim.operators.requests import event_micros
 from passim.registry import query
 from passim.registry import tables as t
 from passim.registry.index import LIVE_SQL, copies
@@ -59,11 +60,12 @@ def stream_limit(spark, folder):
     """Events arrive in time order in two lots; state carries over."""
     base = new_folder(spark, "requests")
     rows = events(spark, folder)
-    middle = rows.select(F.timestamp_micros(F.median(F.unix_micros("ts")).cast("long"))).scalar()
-    for lot in (F.col("ts") < middle, F.col("ts") >= middle):
+    moment = event_micros(rows, "ts")
+    middle = rows.select(F.avg(moment)).scalar()
+    for lot in (moment < middle, moment >= middle):
         rows.filter(lot).write.mode("append").parquet(f"{base}/in")
         arriving = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-        limited = stream_token_bucket(arriving, "user_id", RATE, BURST, idle_seconds=BURST / RATE)
+        limited = stream_token_bucket(arriving, "user_id", RATE, BURST, idle_seconds=BURST / RATE, late_seconds=0)
         (
             limited.writeStream.format("parquet")
             .option("path", f"{base}/out")

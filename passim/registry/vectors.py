@@ -62,15 +62,13 @@ def is_zero(spark, folder):
 @query(
     "cosine_from_l2",
     with_tables("vectors", "centroids")
-    + """select id, round(list_sum(list_transform(list_zip(v, n), lambda p: p[1] * p[2])), 6) as cosine
-         from vectors join (select cell, list_transform(c, lambda y:
-           y / sqrt(list_sum(list_transform(c, lambda z: z * z)))) as n from centroids) on label = cell""",
+    + "select id, round(list_cosine_similarity(v, c), 6) as cosine from vectors join centroids on label = cell",
 )
 def cosine_from_l2(spark, folder):
-    """From squared distances here, from the inner product in SQL."""
+    """From squared distances of unit vectors here, from the angle in SQL."""
     unit = vector.l2_normalize(F.col("values"))
     means = t.centroids(spark, folder).select(F.col("id").alias("label"), unit.alias("mean"))
-    distance = vector.squared_l2(F.col("values"), F.col("mean"))
+    distance = vector.squared_l2(unit, F.col("mean"))
     rows = t.vectors(spark, folder).join(means, "label")
     return rows.select("id", F.round(vector.cosine_from_l2(distance), 6).alias("cosine"))
 

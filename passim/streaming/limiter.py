@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from passim.operators.requests import Bucket, admit
+from passim.operators.requests import Bucket, admit, event_micros
 
 # Fixed value: seconds after which an idle client's state is dropped.
 IDLE_SECONDS = 600
@@ -22,12 +22,15 @@ def stream_token_bucket(
     ts: str = "ts",
     order: str = "event_id",
     idle_seconds: float = IDLE_SECONDS,
+    late_seconds: float | None = None,
 ) -> DataFrame:
     """Streaming form of the batch token bucket: ``key, ts, order, admitted``.
 
-    State is two numbers per key. It expires once event time has passed the
+    State is two numbers per key. It expires once the watermark has passed the
     key's last request by ``idle_seconds``; by then the bucket would be full
-    again, so a returning key starts in the state it would have had.
+    again, so a returning key starts in the state it would have had. Requests
+    carry their arrival time; one that comes up to ``late_seconds`` (default:
+    the idle time) behind the newest is still served, as the watermark waits.
     """
     if idle_seconds * rate < burst:
         raise ValueError("idle_seconds must cover a full refill, burst / rate")
@@ -40,30 +43,27 @@ def stream_token_bucket(
             T.StructField("admitted", T.BooleanType()),
         ]
     )
-    check_ms = max(1, int(idle_seconds * 1000))
+    delay = idle_seconds if late_seconds is None else late_seconds
 
     def serve(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            tokens, last = state.get
-            if state.getCurrentWatermarkMs() / 1000.0 - last >= idle_seconds:
-                state.remove()
-            else:
-                state.setTimeoutDuration(check_ms)
+            state.remove()
             return
         bucket = Bucket(*state.get) if state.exists else Bucket(burst)
         # The rows of one key in one micro-batch; intake per trigger bounds them.
-        rows = pd.concat(list(batches)).sort_values([ts, order], kind="stable")
-        seconds = rows[ts].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        rows["admitted"] = admit(bucket, seconds, rate, burst)
+        rows = pd.concat(list(batches)).sort_values(["_us", order], kind="stable")
+        rows["admitted"] = admit(bucket, rows["_us"].to_numpy() / 1e6, rate, burst)
         state.update((bucket.tokens, bucket.last))
-        state.setTimeoutDuration(check_ms)
+        full_ms = int((bucket.last + idle_seconds) * 1000) + 1
+        state.setTimeoutTimestamp(max(full_ms, state.getCurrentWatermarkMs() + 1))
         yield rows[[key, ts, order, "admitted"]]
 
     return (
-        events.select(key, ts, order)
-        .withWatermark(ts, "0 seconds")
+        events.select(key, ts, order, event_micros(events, ts).alias("_us"))
+        .withColumn("_at", F.timestamp_micros("_us"))
+        .withWatermark("_at", f"{int(delay)} seconds")
         .groupBy(key)
         .applyInPandasWithState(
-            serve, output, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout
+            serve, output, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout
         )
     )

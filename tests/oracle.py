@@ -43,14 +43,14 @@ def bag(columns, rows):
     return Counter(tuple(canonical(row[i]) for i in order) for row in rows)
 
 
-def compare(df, con, sql: str) -> list[str]:
+def compare(columns, rows, con, sql: str) -> list[str]:
     """Differences between a Spark result and the SQL; empty if equal."""
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     expected = bag(names, result.fetchall())
-    actual = bag(df.columns, [tuple(r) for r in df.collect()])
-    if sorted(names) != sorted(df.columns):
-        return [f"columns {sorted(df.columns)} expected {sorted(names)}"]
+    actual = bag(columns, rows)
+    if sorted(names) != sorted(columns):
+        return [f"columns {sorted(columns)} expected {sorted(names)}"]
     lost, extra = expected - actual, actual - expected
     if not lost and not extra:
         return []
@@ -84,8 +84,9 @@ def main() -> int:
         start = time.time()
         try:
             df = queries[name](spark, args.sf)
-            problems = compare(df, con, oracles[name]) if name in oracles else []
-            note = "" if name in oracles else f" rows only: {df.count()}"
+            rows = df.collect()
+            note = f" spark {time.time() - start:.1f}s, {len(rows)} rows" + ("" if name in oracles else ", no SQL")
+            problems = compare(df.columns, rows, con, oracles[name]) if name in oracles else []
         except Exception as error:  # noqa: BLE001
             problems, note = [f"{type(error).__name__}: {str(error)[:1500]}"], ""
         failed += bool(problems)
