@@ -39,6 +39,35 @@ def tokenize(text: Column, stop_words: list[str] | None = None) -> Column:
     return tokens
 
 
+def token_counts(tokens: Column) -> Column:
+    """Each distinct token with its count, as ``array<struct<term, tf>>``.
+
+    The tokens of a row are sorted and cut into runs inside the row, so
+    counting them needs neither a shuffle nor a hash table.
+    """
+
+    def runs(ordered: Column) -> Column:
+        def start(token: Column, i: Column) -> Column:
+            return F.when((i == 0) | (F.get(ordered, i - 1) != token), i)
+
+        return let(F.array_compact(F.transform(ordered, start)), lambda starts: cut(ordered, starts))
+
+    def cut(ordered: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(ordered)))
+        return F.zip_with(
+            starts,
+            ends,
+            lambda low, high: F.struct(F.get(ordered, low).alias("term"), (high - low).cast("long").alias("tf")),
+        )
+
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def client_key(forwarded: Column, peer: Column) -> Column:
     """First forwarded hop; else the host part of the peer; else the peer."""
     hop = trim_whitespace(F.substring_index(forwarded, ",", 1))

@@ -3,23 +3,20 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from passim.functions.text import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def norm(vec: Column) -> Column:
     return F.sqrt(_sum(F.transform(vec, lambda x: x.cast("double") * x.cast("double"))))
 
 
 def l2_normalize(vec: Column) -> Column:
     """Divide by the Euclidean norm; a zero vector stays zero."""
-    return _let(
+    return let(
         norm(vec),
         lambda n: F.transform(
             vec, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passim.functions.text import tokenize
+from passim.functions.rows import explode_rows
+from passim.functions.text import token_counts, tokenize
 from passim.functions.vector import l2_normalize
 from passim.operators.passages import BATCH_ROWS
 from passim.session import BROADCAST_BYTES, broadcast_within
@@ -51,20 +52,16 @@ def static_embed(df: DataFrame, token_table: DataFrame, dim: int, text: str = "t
     """``id, values``: the normalized mean of a text's token vectors.
 
     ``token_table`` has ``token, vec``. Unknown tokens drop out, and a text
-    without known tokens has no row. A token table within the budget is joined
-    where the text lies and the only shuffle carries one sum per text. A larger
-    table is joined by shuffle after repeated tokens are counted, so a frequent
-    token moves once per text.
+    without known tokens has no row. Tokens are counted inside the row. A token
+    table within the budget is then joined where the text lies, and the only
+    shuffle carries one sum per text; a larger one is joined by shuffle, where
+    a frequent token moves once per text.
     """
-    tokens = df.select("id", F.explode(tokenize(F.col(text))).alias("token"))
     rows = BROADCAST_BYTES // (8 * dim + 64)
     small = token_table.limit(rows + 1).count() <= rows
-    if small:
-        counted = tokens.withColumn("tf", F.lit(1.0))
-        table = broadcast_within(token_table, rows, 8 * dim + 64)
-    else:
-        counted = tokens.groupBy("id", "token").agg(F.count("*").cast("double").alias("tf"))
-        table = token_table
+    table = broadcast_within(token_table, rows if small else None, 8 * dim + 64)
+    counted = explode_rows(df, ["id"], token_counts(tokenize(F.col(text))), "e")
+    counted = counted.select("id", F.col("e.term").alias("token"), F.col("e.tf").cast("double").alias("tf"))
     sums = [F.sum(F.col("tf") * F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(dim)]
     summed = counted.join(table.select("token", "vec"), "token").groupBy("id").agg(F.sum("tf").alias("_n"), *sums)
     mean = F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(dim)])
@@ -89,5 +86,5 @@ def golden_check(encoded: DataFrame, goldens: DataFrame, eps: float = 1e-5) -> D
 
 def golden_tokens(goldens: DataFrame, token_table: DataFrame) -> DataFrame:
     """The token rows the golden texts use."""
-    used = goldens.select(F.explode(tokenize(F.col("text"))).alias("token"))
+    used = explode_rows(goldens, [], tokenize(F.col("text")), "token")
     return token_table.join(used, "token", "left_semi")

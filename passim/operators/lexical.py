@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passim.functions.text import tokenize
+from passim.functions.rows import explode_rows
+from passim.functions.text import token_counts, tokenize
 from passim.operators.ranking import top_k
 
 # BM25 parameters (Robertson and Zaragoza 2009).
@@ -11,7 +12,7 @@ K1, B = 1.2, 0.75
 SCORE_DECIMALS = 6
 
 
-def term_counts(passages: DataFrame, stop_words: list[str] | None = None, title_weight: int = 0) -> DataFrame:
+def passage_tokens(passages: DataFrame, stop_words: list[str] | None = None, title_weight: int = 0) -> DataFrame:
     """``id, tokens`` with the title's tokens repeated ``title_weight`` times."""
     tokens = tokenize(F.col("text"), stop_words)
     if title_weight:
@@ -21,15 +22,21 @@ def term_counts(passages: DataFrame, stop_words: list[str] | None = None, title_
 
 
 def build_postings(passages: DataFrame, stop_words: list[str] | None = None, title_weight: int = 0) -> DataFrame:
-    """``term, id, tf``. All tokens of a passage meet in one task, so the
-    map-side combine already yields final counts."""
-    tokens = term_counts(passages, stop_words, title_weight).select("id", F.explode("tokens").alias("term"))
-    return tokens.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    """``term, id, tf, dl``: map-only, as terms are counted inside the row.
+
+    The passage length ``dl`` is stored with each posting, so that scoring
+    needs no join with a table of passages.
+    """
+    rows = passage_tokens(passages, stop_words, title_weight)
+    counted = rows.select("id", F.size("tokens").cast("long").alias("dl"), token_counts(F.col("tokens")).alias("c"))
+    entries = explode_rows(counted, ["id", "dl"], F.col("c"), "e")
+    return entries.select("e.term", "id", "e.tf", "dl")
 
 
 def document_lengths(passages: DataFrame, stop_words: list[str] | None = None, title_weight: int = 0) -> DataFrame:
     """``id, dl`` without a shuffle."""
-    return term_counts(passages, stop_words, title_weight).select("id", F.size("tokens").cast("long").alias("dl"))
+    rows = passage_tokens(passages, stop_words, title_weight)
+    return rows.select("id", F.size("tokens").cast("long").alias("dl"))
 
 
 def collection_stats(lengths: DataFrame) -> DataFrame:
@@ -41,43 +48,49 @@ def write_postings(postings: DataFrame, path: str) -> None:
     """Store postings in term order, so a reader of few terms skips row groups.
 
     Range partitioning by ``term, id`` splits a hot term over several files.
+    The number of files is ``spark.sql.shuffle.partitions``.
     """
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+    files = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = postings.repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id")
+    ordered.write.mode("overwrite").parquet(path)
 
 
 def query_terms(queries: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
     """Distinct terms per query: ``qid, term``."""
     terms = F.array_distinct(tokenize(F.col("text"), stop_words))
-    return queries.select("qid", F.explode(terms).alias("term"))
+    return explode_rows(queries, ["qid"], terms, "term")
+
+
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    """``term, df``; may be stored beside the postings."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(
     queries: DataFrame,
     postings: DataFrame,
-    lengths: DataFrame,
+    stats: DataFrame,
     k: int,
-    stats: DataFrame | None = None,
+    frequencies: DataFrame | None = None,
     stop_words: list[str] | None = None,
 ) -> DataFrame:
     """Top-k by BM25: ``qid, rank, id, score``. Ties go to the lower id.
 
-    Only postings of query terms are kept, before anything is shuffled; a
-    passage with none of the terms never appears.
+    Postings meet the query terms before anything is shuffled; a passage with
+    none of the terms never appears. ``stats`` is the row of
+    :func:`collection_stats`.
     """
     asked = query_terms(queries, stop_words)
-    stats = collection_stats(lengths) if stats is None else stats
-    read = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    frequency = read.groupBy("term").agg(F.count("*").alias("df"))
+    if frequencies is None:
+        frequencies = document_frequencies(postings.join(asked.select("term").distinct(), "term", "left_semi"))
     # The one row of collection statistics enters as a scalar subquery.
     n, df, avgdl = stats.select("n_docs").scalar(), F.col("df"), stats.select("avgdl").scalar()
     idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))
-    weights = frequency.select("term", idf.alias("idf"), avgdl.alias("avgdl"))
-    asked = asked.join(weights, "term")
+    weighted = asked.join(frequencies, "term").select("qid", "term", idf.alias("idf"), avgdl.alias("avgdl"))
     tf = F.col("tf").cast("double")
     saturation = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
     scored = (
-        read.join(lengths, "id")
-        .join(asked, "term")
+        postings.join(weighted, "term")
         .groupBy("qid", "id")
         .agg(F.round(F.sum(F.col("idf") * saturation), SCORE_DECIMALS).alias("score"))
     )

@@ -7,6 +7,7 @@ Articles carry ``id, url, title, text`` plus ``shard`` (the source file) and
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passim.functions.rows import explode_rows
 from passim.functions.text import clean_text
 from passim.operators.ranking import row_positions, running_total, top_k
 
@@ -64,13 +65,8 @@ def make_passages(
         place = lambda i: (F.col("pos") * per_article + i).cast("long").alias("ord")
         kept = F.transform(kept, lambda piece, i: F.struct(piece["para_idx"].alias("para_idx"), piece["text"].alias("text"), place(i)))
         layout.append("ord")
-    rows = articles.select(
-        F.col("id").cast("string").alias("article_id"),
-        *[c for c in layout if c != "ord"],
-        "title",
-        "url",
-        F.inline(kept),
-    )
+    keep = [F.col("id").cast("string").alias("article_id"), *[c for c in layout if c != "ord"], "title", "url"]
+    rows = explode_rows(articles, keep, kept, "p").select("*", "p.*")
     return rows.select(
         passage_id(F.col("article_id"), F.col("para_idx"), prefix).alias("id"),
         "title",

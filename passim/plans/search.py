@@ -27,7 +27,8 @@ class SearchIndex:
     vectors: DataFrame
     passages: DataFrame
     postings: DataFrame
-    lengths: DataFrame
+    stats: DataFrame
+    frequencies: DataFrame | None = None
     centroids: DataFrame | None = None
     codebooks: DataFrame | None = None
     rescore: int = 0
@@ -65,7 +66,7 @@ def search(requests: DataFrame, index: SearchIndex, max_k: int = 20) -> DataFram
     depth = max(LEG_DEPTH, max_k)
 
     near = vector_leg(valid.filter((F.col("mode") != "keyword") & ~F.col("_blind")), index, depth)
-    word = bm25(valid.filter(F.col("mode") != "semantic").select("qid", "text"), index.postings, index.lengths, depth)
+    word = bm25(valid.filter(F.col("mode") != "semantic").select("qid", "text"), index.postings, index.stats, depth, index.frequencies)
     near = checkpointed(near.join(settings, "qid"))
     word = checkpointed(word.join(settings, "qid"))
 

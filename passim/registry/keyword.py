@@ -9,7 +9,7 @@ from passim.plans.search import SearchIndex, search
 from passim.registry import query
 from passim.registry import tables as t
 from passim.registry.tables import with_tables
-from passim.session import checkpointed
+from passim.session import checkpointed, stored
 
 t.SQL["bm25_scores"] = """
 select q.qid, p.id, round(sum(ln(1::double + (n.n_docs - d.df + 0.5::double) / (d.df + 0.5::double)) * p.tf * 2.2::double
@@ -24,7 +24,7 @@ select qid, id, score, row_number() over (partition by qid order by score desc,
 
 @query("build_postings", with_tables("postings") + "select term, id, tf from postings")
 def build_postings(spark, folder):
-    return lexical.build_postings(t.articles(spark, folder))
+    return lexical.build_postings(t.articles(spark, folder)).drop("dl")
 
 
 @query("document_lengths", with_tables("lengths") + "select id, dl from lengths")
@@ -41,9 +41,23 @@ def collection_stats(spark, folder):
     return stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
+def text_index(spark, folder, stop_words=None, title_weight=0):
+    """Postings and statistics of all documents, stored once and read back."""
+    docs, key = t.articles(spark, folder), (folder, str(stop_words), title_weight)
+
+    def write_stats(path):
+        lengths = lexical.document_lengths(docs, stop_words, title_weight)
+        lexical.collection_stats(lengths).write.parquet(path)
+
+    def write_postings(path):
+        lexical.write_postings(lexical.build_postings(docs, stop_words, title_weight), path)
+
+    postings = stored(spark, ("postings", *key), write_postings)
+    return spark.read.parquet(postings), spark.read.parquet(stored(spark, ("stats", *key), write_stats))
+
+
 def bm25_hits(spark, folder, k=10):
-    docs = t.articles(spark, folder)
-    return lexical.bm25(t.text_queries(spark, folder), lexical.build_postings(docs), lexical.document_lengths(docs), k)
+    return lexical.bm25(t.text_queries(spark, folder), *text_index(spark, folder), k)
 
 
 def ranked(hits):
@@ -75,15 +89,9 @@ def bm25(spark, folder):
 )
 def bm25_title_weighted(spark, folder):
     """The optional analyzer settings: stop words, and titles counted twice."""
-    docs, stop = t.articles(spark, folder), ["the", "of"]
+    stop = ["the", "of"]
     return ranked(
-        lexical.bm25(
-            t.text_queries(spark, folder),
-            lexical.build_postings(docs, stop, 2),
-            lexical.document_lengths(docs, stop, 2),
-            10,
-            stop_words=stop,
-        )
+        lexical.bm25(t.text_queries(spark, folder), *text_index(spark, folder, stop, 2), 10, stop_words=stop)
     )
 
 
@@ -109,11 +117,15 @@ from (select qid, id, round(sum(1::double / (60 + rank)), 9) as score
 
 
 def static_vectors(spark, folder):
-    """Document and query vectors over one token table."""
-    table = checkpointed(t.token_table(spark, folder))
-    docs = embedding.static_embed(t.articles(spark, folder), table, t.TOKEN_DIM)
+    """Document and query vectors over one token table, which is stored once."""
+    table = t.stored_token_table(spark, folder)
+
+    def write_vectors(path):
+        embedding.static_embed(t.articles(spark, folder), table, t.TOKEN_DIM).write.parquet(path)
+
+    docs = spark.read.parquet(stored(spark, ("doc_vectors", folder), write_vectors))
     asked = t.text_queries(spark, folder).withColumnRenamed("qid", "id")
-    return checkpointed(docs), embedding.static_embed(asked, table, t.TOKEN_DIM), table
+    return docs, embedding.static_embed(asked, table, t.TOKEN_DIM), table
 
 
 @query("rrf", with_tables("fused") + "select qid, rank, id, score from fused where rank <= 10")
@@ -196,13 +208,8 @@ def answered(spark, folder):
     checked = requests.validate_queries(sent(spark, folder), requests.parse_modes("semantic,keyword,hybrid"))
     prefixed = checked.select(F.col("qid").alias("id"), query_prefix(F.col("text")).alias("text"))
     vectors = embedding.static_embed(prefixed, table, t.TOKEN_DIM).withColumnRenamed("id", "qid")
-    articles = t.articles(spark, folder)
-    index = SearchIndex(
-        vectors=docs,
-        passages=articles,
-        postings=lexical.build_postings(articles),
-        lengths=lexical.document_lengths(articles),
-    )
+    postings, stats = text_index(spark, folder)
+    index = SearchIndex(vectors=docs, passages=t.articles(spark, folder), postings=postings, stats=stats)
     return search(checked.join(vectors, "qid", "left"), index)
 
 

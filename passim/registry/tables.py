@@ -6,9 +6,11 @@ Each table function has a SQL twin of the same meaning in ``SQL``.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passim.functions.rows import explode_rows
 from passim.functions.text import tokenize
 from passim.functions.vector import mean_vector
 from passim.operators.passages import make_passages
+from passim.session import spread, stored
 
 SEP = "\n"
 DIM, TOKEN_DIM = 64, 16
@@ -44,7 +46,7 @@ select doc_id::varchar as id, 'doc-' || doc_id as title, 'doc://' || source || '
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("id"),
         F.concat(F.lit("doc-"), "doc_id").alias("title"),
         F.concat(F.lit("doc://"), "source", F.lit("/"), "doc_id").alias("url"),
@@ -149,10 +151,15 @@ def token_vector(token):
 
 
 def token_table(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = articles(spark, folder).select(F.explode(tokenize(F.col("text"))).alias("token")).distinct()
+    tokens = explode_rows(articles(spark, folder), [], F.array_distinct(tokenize(F.col("text"))), "token").distinct()
     return tokens.select("token", token_vector(F.col("token")).alias("vec"))
 
 
+def stored_token_table(spark: SparkSession, folder: str) -> DataFrame:
+    path = stored(spark, ("token_table", folder), lambda path: token_table(spark, folder).write.parquet(path))
+    return spark.read.parquet(path)
+
+
 def _static_sql(source: str) -> str:
     """Normalized mean of token vectors of ``source(id, term, tf)``."""
     return f"""
@@ -193,7 +200,7 @@ def judgments(spark: SparkSession, folder: str) -> DataFrame:
     keys = tokens.select("qid", F.col("text").alias("wanted"), longest["t"].alias("token"))
     docs = articles(spark, folder).select("id", "title", "text")
     pairs = (
-        docs.select("id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
+        explode_rows(docs, ["id"], F.array_distinct(tokenize(F.col("text"))), "token")
         .join(keys.select("qid", "token"), "token")
         .select("qid", "id")
     )

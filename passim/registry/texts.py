@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from passim.functions import scoring, text
+from passim.functions.rows import explode_rows
 from passim.operators import passages as p
 from passim.registry import query
 from passim.registry import tables as t
@@ -134,8 +135,8 @@ def query_prefix(spark, folder):
 
 @query("tokenize", with_tables("tokens") + "select id, term, count(*) as n from tokens group by id, term")
 def tokenize(spark, folder):
-    terms = F.explode(text.tokenize(F.col("text"))).alias("term")
-    return t.articles(spark, folder).select("id", terms).groupBy("id", "term").agg(F.count("*").alias("n"))
+    terms = explode_rows(t.articles(spark, folder), ["id"], text.tokenize(F.col("text")), "term")
+    return terms.groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
 # Event types stand for search modes, event values for scores.

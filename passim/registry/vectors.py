@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passim.functions import text as text_functions
 from passim.functions import vector
+from passim.functions.rows import explode_rows
 from passim.operators import embedding
 from passim.operators.nearest import knn as nearest_neighbours
 from passim.registry import query
@@ -79,7 +80,7 @@ def cosine_from_l2(spark, folder):
 )
 def static_embed(spark, folder):
     docs = t.articles(spark, folder)
-    return components(embedding.static_embed(docs, t.token_table(spark, folder), t.TOKEN_DIM), "id")
+    return components(embedding.static_embed(docs, t.stored_token_table(spark, folder), t.TOKEN_DIM), "id")
 
 
 def token_encoder():
@@ -127,8 +128,8 @@ def golden_check(spark, folder):
 
 
 def _all_tokens(spark, folder):
-    words = F.explode(text_functions.tokenize(F.col("text"))).alias("token")
-    return t.text_queries(spark, folder).select(words).distinct().select(
+    words = explode_rows(t.text_queries(spark, folder), [], text_functions.tokenize(F.col("text")), "token")
+    return words.distinct().select(
         "token", t.token_vector(F.col("token")).alias("vec")
     )
 

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 _local_folders: dict[str, str] = {}
+_stored: dict[tuple, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +40,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, key: tuple, build: Callable[[str], None]) -> str:
+    """The path of a derived table, built by ``build(path)`` once per application."""
+    entry = (spark.sparkContext.applicationId, *key)
+    if entry not in _stored:
+        path = new_folder(spark, str(key[0]))
+        build(path)
+        _stored[entry] = path
+    return _stored[entry]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing the rows to the shared folder."""
     shared_folder(df.sparkSession)
@@ -53,3 +65,13 @@ def broadcast_within(df: DataFrame, max_rows: int | None, row_bytes: int) -> Dat
     if max_rows is not None and max_rows * row_bytes <= BROADCAST_BYTES:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a scan over all cores if it has fewer splits than there are cores.
+
+    A few files of few row groups would otherwise leave most cores idle in the
+    text-heavy steps that follow. A table with enough splits passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
