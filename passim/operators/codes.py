@@ -19,9 +19,10 @@ from passim.operators.nearest import (
     bounded_block,
     merge_best,
     result_schema,
+    vector_width,
 )
 from passim.operators.ranking import top_k
-from passim.session import BROADCAST_BYTES, checkpointed
+from passim.session import BROADCAST_BYTES, broadcast_within, checkpointed
 
 # Subspaces and codewords of the published index.
 SUBSPACES, CODEWORDS = 96, 256
@@ -225,11 +226,15 @@ def pq_search(
     if rescore < 0:
         return scan_codes(queries, index, codebooks, k, budget).select("qid", "rank", "id", "distance")
     pool = max(k, rescore or default_pool(k))
+    asked, width = queries.count(), vector_width(queries)
     found = scan_codes(queries, index, codebooks, pool, budget).select("qid", "id")
     ask = queries.select(F.col("id").alias("qid"), F.col("values").alias("_query"))
+    # Candidates number queries times pool; while that is small the stored
+    # vectors are filtered where they lie.
     exact = (
-        found.join(index.select("id", "values"), "id")
-        .join(ask, "qid")
+        index.select("id", "values")
+        .join(broadcast_within(found, asked * pool, 64), "id")
+        .join(broadcast_within(ask, asked, 8 * width + 64), "qid")
         .select(
             "qid", "id", F.round(squared_l2(F.col("_query"), F.col("values")), DISTANCE_DECIMALS).alias("distance")
         )

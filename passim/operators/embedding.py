@@ -12,7 +12,7 @@ from passim.functions.rows import explode_rows
 from passim.functions.text import token_counts, tokenize
 from passim.functions.vector import l2_normalize
 from passim.operators.passages import BATCH_ROWS
-from passim.session import BROADCAST_BYTES, broadcast_within
+from passim.session import broadcast_within
 
 # An encoder factory runs once per partition and returns the encoder, which
 # maps a list of texts to a ``len(texts) x dim`` array.
@@ -57,9 +57,7 @@ def static_embed(df: DataFrame, token_table: DataFrame, dim: int, text: str = "t
     shuffle carries one sum per text; a larger one is joined by shuffle, where
     a frequent token moves once per text.
     """
-    rows = BROADCAST_BYTES // (8 * dim + 64)
-    small = token_table.limit(rows + 1).count() <= rows
-    table = broadcast_within(token_table, rows if small else None, 8 * dim + 64)
+    table = broadcast_within(token_table, token_table.count(), 8 * dim + 64)
     counted = explode_rows(df, ["id"], token_counts(tokenize(F.col(text))), "e")
     counted = counted.select("id", F.col("e.term").alias("token"), F.col("e.tf").cast("double").alias("tf"))
     sums = [F.sum(F.col("tf") * F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(dim)]

@@ -137,21 +137,19 @@ def vector_width(df: DataFrame) -> int:
 def bounded_block(df: DataFrame, budget: int = BROADCAST_BYTES) -> Block | None:
     """Read ``id, values`` if they fit the budget, else None.
 
-    One job both measures and reads: it stops after the first row too many.
+    The count comes first: on a stored table it reads file footers only.
     """
-    rows = budget_rows(vector_width(df), budget)
-    table = df.select("id", "values").limit(rows + 1).toArrow()
-    if table.num_rows > rows:
+    if df.count() > budget_rows(vector_width(df), budget):
         return None
+    table = df.select("id", "values").toArrow()
     return Block(table.column("id").combine_chunks(), arrow_matrix(table.column("values")))
 
 
 def bounded_pairs(probes: DataFrame, block: Block, budget: int = BROADCAST_BYTES):
     """``(query number, cell)`` arrays ordered by cell, or None over the budget."""
-    rows = budget // 64
-    table = probes.select("qid", "cell").limit(rows + 1).toArrow()
-    if table.num_rows > rows:
+    if probes.count() > budget // 64:
         return None
+    table = probes.select("qid", "cell").toArrow()
     cells = table.column("cell").combine_chunks().to_numpy()
     numbers = pc.index_in(table.column("qid").combine_chunks(), value_set=block.ids).to_numpy()
     order = np.argsort(cells, kind="stable")

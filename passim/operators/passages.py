@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passim.functions.rows import explode_rows
 from passim.functions.text import clean_text
 from passim.operators.ranking import row_positions, running_total, top_k
+from passim.session import broadcast_within, checkpointed
 
 # The passage rules of the published corpus.
 SEPARATOR = "\n\n"
@@ -81,8 +82,10 @@ def make_passages(
 def cap_articles(passages: DataFrame, limit: int) -> DataFrame:
     """Whole articles, in shard order, up to the one whose passages reach ``limit``.
 
-    Shard totals (one row per shard) are summed first; only shards below the
-    limit are then numbered inside, by :func:`running_total`.
+    Shard totals (one row per shard) are summed first. Every shard but the one
+    the limit falls into is kept or dropped as a whole; that one is numbered
+    inside, by :func:`running_total`, to find its last kept article. Passages
+    are then filtered against one row per shard and never shuffled.
     """
     if not limit:
         return passages
@@ -90,17 +93,17 @@ def cap_articles(passages: DataFrame, limit: int) -> DataFrame:
     shards = articles.groupBy("shard").agg(F.sum("_n").alias("_total"))
     # One row per source file, so this window stays small at any corpus size.
     order = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    open_shards = (
-        shards.withColumn("_before_shard", F.coalesce(F.sum("_total").over(order), F.lit(0)))
-        .filter(F.col("_before_shard") < limit)
-        .select("shard", "_before_shard")
-    )
-    kept = (
-        running_total(articles.join(open_shards, "shard"), ["shard"], "pos", F.col("_n"), "_before")
-        .filter(F.col("_before_shard") + F.col("_before") < limit)
-        .select("shard", "pos")
-    )
-    return passages.join(kept, ["shard", "pos"], "left_semi").select(*passages.columns)
+    opened = shards.withColumn("_first", F.coalesce(F.sum("_total").over(order), F.lit(0)))
+    opened = checkpointed(opened.filter(F.col("_first") < limit).withColumn("_cut", F.col("_first") + F.col("_total") > limit))
+    cut = opened.filter("_cut").first()
+    whole = opened.filter("NOT _cut").select("shard", F.lit(None).cast("long").alias("_last"))
+    if cut is not None:
+        inside = running_total(articles.filter(F.col("shard") == cut["shard"]), ["shard"], "pos", F.col("_n"), "_before")
+        last = inside.filter(F.col("_before") < limit - cut["_first"]).groupBy("shard").agg(F.max("pos").alias("_last"))
+        whole = whole.unionByName(last)
+    kept = broadcast_within(whole, opened.count(), 256)
+    inside = F.col("_last").isNull() | (F.col("pos") <= F.col("_last"))
+    return passages.join(kept, "shard").filter(inside).select(*passages.columns)
 
 
 def head_per_shard(rows: DataFrame, limit: int, order: list[str]) -> DataFrame:
@@ -125,8 +128,10 @@ def length_buckets(
 
     Inside each window rows are sorted by length (input order on ties) so that
     a batch of neighbours barely pads. A window is bounded, so the sort is too.
+    Only ``id, shard``, the order and the length are moved, never the text.
     """
-    rows = row_positions(passages.withColumn("length", length), ["shard"], order, "row_pos")
+    slim = passages.select("id", "shard", order, length.alias("length"))
+    rows = row_positions(slim, ["shard"], order, "row_pos")
     rows = rows.withColumn("window_no", F.floor(F.col("row_pos") / window).cast("long"))
     by_length = Window.partitionBy("shard", "window_no").orderBy("length", "row_pos")
     rows = rows.withColumn("sorted_pos", F.row_number().over(by_length) - 1)

@@ -112,11 +112,35 @@ def query_cost(probes: DataFrame, stats: DataFrame, dim: int, keys: tuple[str, .
     )
 
 
-def fetch_metadata(hits: DataFrame, passages: DataFrame, max_hits: int | None = None) -> DataFrame:
+# More distinct buckets than this are pruned by the join instead of a list.
+_LITERAL_BUCKETS = 4096
+
+
+def _bucket(id_column: str, buckets: int):
+    return F.pmod(F.xxhash64(id_column), F.lit(buckets)).cast("int")
+
+
+def write_passage_store(passages: DataFrame, path: str, buckets: int) -> None:
+    """Store passages in folders by a hash of their id, for lookups by id."""
+    rows = passages.withColumn("bucket", _bucket("id", buckets))
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def fetch_metadata(
+    hits: DataFrame, passages: DataFrame, max_hits: int | None = None, buckets: int | None = None
+) -> DataFrame:
     """Title, url and text of records that became hits.
 
     ``max_hits`` (queries times k) proves the hits small enough to broadcast,
-    so the passage table is filtered where it lies.
+    so the passage table is filtered where it lies. With ``buckets``, the
+    number used by :func:`write_passage_store`, only the folders of the hits
+    are opened.
     """
     small = broadcast_within(hits, max_hits, 256)
-    return passages.select("id", "title", "url", "text").join(small, "id").select(*hits.columns, "title", "url", "text")
+    if buckets:
+        small = small.withColumn("bucket", _bucket("id", buckets))
+        used = small.select("bucket").distinct().limit(_LITERAL_BUCKETS + 1).collect()
+        if len(used) <= _LITERAL_BUCKETS:
+            passages = passages.filter(F.col("bucket").isin([row["bucket"] for row in used]))
+    found = passages.select("id", "title", "url", "text").join(small, "id")
+    return found.select(*hits.columns, "title", "url", "text")

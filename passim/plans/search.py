@@ -14,7 +14,7 @@ from passim.operators.lexical import bm25
 from passim.operators.nearest import knn
 from passim.operators.quality import first_relevant_rank, summarize
 from passim.operators.segments import fetch_metadata, query_cost
-from passim.session import checkpointed
+from passim.session import broadcast_within, checkpointed
 
 NO_WORDS = "no known words in that query"
 
@@ -42,10 +42,11 @@ def vector_leg(requests: DataFrame, index: SearchIndex, depth: int) -> DataFrame
     if index.centroids is None:
         return knn(asked, index.vectors, depth)
     cells = index.centroids.count()
-    ranked = knn(asked, index.centroids, cells).select("qid", F.col("id").alias("cell"), "rank")
     wanted = requests.select(
         "qid", F.when(F.col("nprobe") > 0, F.col("nprobe")).otherwise(default_nprobe(cells)).alias("_n")
     )
+    most = wanted.agg(F.max("_n")).first()[0] or 1
+    ranked = knn(asked, index.centroids, min(most, cells)).select("qid", F.col("id").alias("cell"), "rank")
     probes = ranked.join(wanted, "qid").filter(F.col("rank") <= F.col("_n")).select("qid", "cell")
     return search_probes(asked, index.vectors, checkpointed(probes), depth)
 
@@ -115,7 +116,8 @@ def sweep(
         F.concat_ws(":", "nprobe", "id").alias("id"), "values"
     )
     hits = search_probes(asked, index, probes.select(F.col("key").alias("qid"), "cell"), k)
-    shown = hits.join(titles.select("id", "title"), "id").select("qid", "rank", "title")
+    small = broadcast_within(hits, queries.count() * len(nprobes) * k, 256)
+    shown = titles.select("id", "title").join(small, "id").select("qid", "rank", "title")
     cases = judgments.select("qid", "expected", settings).select(F.concat_ws(":", "nprobe", "qid").alias("qid"), "expected")
     ranks = first_relevant_rank(shown, cases).withColumn(
         "nprobe", F.substring_index("qid", ":", 1).cast("int")

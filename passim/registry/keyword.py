@@ -101,8 +101,14 @@ def bm25_title_weighted(spark, folder):
     + """select qid, rank, id, score, title, url, text from bm25_ranked join articles using (id) where rank <= 10""",
 )
 def fetch_metadata(spark, folder):
-    asked = t.table(spark, folder, "benchmark").count()
-    return segments.fetch_metadata(ranked(bm25_hits(spark, folder)), t.articles(spark, folder), max_hits=asked * 10)
+    """Looked up in a store that is folded by id."""
+    asked, buckets = t.table(spark, folder, "benchmark").count(), 16
+
+    def write(path):
+        segments.write_passage_store(t.articles(spark, folder), path, buckets)
+
+    passages = spark.read.parquet(stored(spark, ("passage_store", folder), write))
+    return segments.fetch_metadata(ranked(bm25_hits(spark, folder)), passages, asked * 10, buckets)
 
 
 t.SQL["static_ranked"] = """

@@ -52,7 +52,7 @@ def test_cap_keeps_whole_articles_in_order(spark):
 def test_length_buckets_follow_a_stable_sort(spark):
     random.seed(3)
     rows = [("s", i, random.randint(1, 20)) for i in range(150)]
-    df = spark.createDataFrame(rows, "shard string, ord long, n long")
+    df = spark.createDataFrame(rows, "shard string, ord long, n long").withColumn("id", F.col("ord"))
     out = passages.length_buckets(df, "ord", F.col("n"), window=64, slice_rows=16, batch=4)
     got = {r["ord"]: (r["window_no"], r["slice_no"], r["batch_no"]) for r in out.collect()}
     for start in range(0, 150, 64):
