@@ -1 +1,8 @@
 """Passage retrieval on Spark: build, index, search and score text corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
