@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from passim.operators import cells, codes, nearest, segments
+from passim.operators import cells, codes, segments
 from passim.registry import query
 from passim.registry import tables as t
 from passim.registry.tables import with_tables
-from passim.registry.vectors import KNN_SQL, components, shown
+from passim.registry.vectors import KNN_SQL, NUDGE, components, shown
 from passim.session import checkpointed, new_folder
 
 
@@ -32,10 +32,10 @@ select cell, i, round(avg(x), 9) as x
 from (select cell, unnest(v) as x, unnest(range(64)) as i from «routed») group by cell, i"""
 
 
-@query("train_cells_step", with_tables("lloyd") + "select cell as id, i, round(x, 6) as x from lloyd")
+@query("train_cells_step", with_tables("lloyd") + "select cell as id, i, round(x + 1e-11, 6) as x from lloyd")
 def train_cells_step(spark, folder):
     """One step from the label means, by moving only partial sums."""
-    return components(cells.lloyd_step(t.vectors(spark, folder), t.centroids(spark, folder)), "id")
+    return components(cells.lloyd_step(t.vectors(spark, folder), t.centroids(spark, folder)), "id", nudge=NUDGE)
 
 
 def _trained(spark, folder):
@@ -67,7 +67,7 @@ from (select p.qid, r.id, round(pow(list_distance(p.v, r.v), 2), 9) as d
 qualify rank <= 10"""
 
 
-@query("ivf_search", with_tables("probed") + "select qid, rank, id, round(d, 6) as distance from probed")
+@query("ivf_search", with_tables("probed") + "select qid, rank, id, round(d + 1e-11, 6) as distance from probed")
 def ivf_search(spark, folder):
     index, model = _routed(spark, folder)
     return shown(cells.ivf_search(index, index, model, 10, nprobe=3))
@@ -101,16 +101,16 @@ def _codebooks(spark, folder):
 @query(
     "train_pq_step",
     with_tables("coded")
-    + """select sub::integer as sub, code::integer as code, i, round(round(avg(x), 9), 6) as x
+    + """select sub::integer as sub, code::integer as code, i, round(round(avg(x), 9) + 1e-11, 6) as x
          from (select sub, code, unnest(part) as x, unnest(range(4)) as i from coded) group by sub, code, i
          union all
-         select sub::integer, code::integer, i, round(x, 6)
+         select sub::integer, code::integer, i, round(x + 1e-11, 6)
          from (select sub, code, unnest(word) as x, unnest(range(4)) as i from words
                where (sub, code) not in (select (sub, code) from coded))""",
 )
 def train_pq_step(spark, folder):
     step = codes.pq_step(t.vectors(spark, folder), _codebooks(spark, folder))
-    return components(step.withColumnRenamed("centroid", "values"), "sub", "code")
+    return components(step.withColumnRenamed("centroid", "values"), "sub", "code", nudge=NUDGE)
 
 
 def _coded(spark, folder):
@@ -132,7 +132,7 @@ from (select q.id as qid, c.id, round(sum(round(pow(list_distance(q.part, w.word
 qualify rank <= 10"""
 
 
-@query("pq_search_codes_only", with_tables("by_code") + "select qid, rank, id, round(d, 6) as distance from by_code")
+@query("pq_search_codes_only", with_tables("by_code") + "select qid, rank, id, round(d + 1e-11, 6) as distance from by_code")
 def pq_search_codes_only(spark, folder):
     index, books = _coded(spark, folder)
     return shown(codes.pq_search(index, index, books, 10, rescore=-1))
@@ -250,7 +250,7 @@ from (select p.qid, r.id, round(pow(list_distance(p.v, r.v), 2), 9) as d
 qualify rank <= 10"""
 
 
-@query("ivf_search_live", with_tables("live_probed") + "select qid, rank, id, round(d, 6) as distance from live_probed")
+@query("ivf_search_live", with_tables("live_probed") + "select qid, rank, id, round(d + 1e-11, 6) as distance from live_probed")
 def ivf_search_live(spark, folder):
     """Pruned search over a stored collection with replaced copies."""
     index = collection(spark, folder)

@@ -9,6 +9,7 @@ from passim.plans.search import SearchIndex, search
 from passim.registry import query
 from passim.registry import tables as t
 from passim.registry.tables import with_tables
+from passim.registry.vectors import NUDGE
 from passim.session import checkpointed, stored
 
 t.SQL["bm25_scores"] = """
@@ -221,10 +222,10 @@ def answered(spark, folder):
 
 @query(
     "search",
-    with_tables("answers") + "select qid, mode, rank, id, round(score, 6) as score, score_kind, title, url, error from answers",
+    with_tables("answers") + "select qid, mode, rank, id, round(score + 1e-11, 6) as score, score_kind, title, url, error from answers",
 )
 def search_requests(spark, folder):
-    return ranked(answered(spark, folder)).withColumn("score", F.round("score", 6)).drop("text")
+    return ranked(answered(spark, folder)).withColumn("score", F.round(F.col("score") + NUDGE, 6)).drop("text")
 
 
 @query(

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from passim.operators import segments
 from passim.streaming import upsert as stream
 
