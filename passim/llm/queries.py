@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passim.llm import packing, token_counts
+from passim.llm import language, packing, token_counts, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(divisor: int):
+    """The remainder that decides whether a document is held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
 @query("op2_pack")
 def pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -39,3 +45,34 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
 def count_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model")).drop("text")
+
+
+@query("op6_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    weights = toxicity.train_toxicity(docs, table(spark, folder, "labels").where(~held_out))
+    return toxicity.score_toxicity(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op10_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    model = language.train_languages(docs.where(~held_out))
+    found = language.identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op9_top_k",
+    """with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * x::double) as bigint)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e::double[], c.e::double[]) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
+select query_id, cast(row_number() over w as int) as rank, vec_id, score from s
+window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 10""",
+)
+def top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.quantized(table(spark, folder, "embeddings"))
+    return topk.exact_top_k(vectors.where("id % 100 = 0"), vectors, 10)
