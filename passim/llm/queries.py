@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passim.llm import language, packing, token_counts, topk, toxicity
+from passim.llm import decontaminate, html_text, jaccard, language, packing, secrets, token_counts, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,21 @@ def fold(divisor: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+@query("op1_secrets")
+def find_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train_secrets(docs))
+    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("0assign").alias("n_assign"),
+        count("1access").alias("n_access"),
+        count("2hex").alias("n_hex"),
+        F.sha2(secrets.span_text(F.col("_base")), 256).alias("base_sha256"),
+        secrets.span_text(F.col("_spans")).alias("spans"),
+    )
+
+
 @query("op2_pack")
 def pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -47,6 +62,17 @@ def count_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model")).drop("text")
 
 
+@query("op4_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.extract_text(pages, html_text.train_blocks(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_decontaminate")
+def contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op6_toxicity")
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -64,10 +90,38 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+# Host and path rules of the query's contract.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query("op7_urls")
+def judge_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels are those of the document whose number ends the path: low quality or toxic is ``block``."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    number = F.regexp_extract(urls.parts(F.col("url"))[1], r"/([0-9]{1,18})(?:/|\.[a-z]+)?$", 1)
+    numbered = pages.where(number != "").select("url", number.cast("long").alias("doc_id"))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labelled = numbered.join(labels, "doc_id").select("url", F.when(bad, urls.BLOCK).otherwise(urls.ALLOW).alias("verdict"))
+    judged = urls.filter_urls(pages, URL_RULES, urls.mine(labelled))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_jaccard")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query(
     "op9_top_k",
-    """with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * x::double) as bigint)) as e from embeddings
-  where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))),
+    """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
 s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e::double[], c.e::double[]) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
 select query_id, cast(row_number() over w as int) as rank, vec_id, score from s

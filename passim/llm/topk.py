@@ -52,12 +52,6 @@ def _parts(width: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k-th highest of each column, or the lowest there is."""
-    n = len(scores)
-    return np.sort(np.partition(scores, n - k, axis=0)[n - k :] if n > k else scores, axis=0)
-
-
 class Block:
     """A block of queries, by width of their vectors."""
 
@@ -140,8 +134,8 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block_bytes
     """``query_id, rank, vec_id, score``: the k rows of highest inner product.
 
     Both sides come from ``quantized``. A row is never its query's own result
-    (same id); equal scores go to the smaller id, and repeated ids count as
-    rows of their own. Vectors of another width are no candidates. A query with
+    (same id); equal scores go to the smaller id. Repeated ids count as rows of
+    their own; of queries with one id, that with the least vector is asked. Vectors of another width are no candidates. A query with
     fewer candidates gets all of them.
 
     Queries are sent out in blocks of at most ``block_bytes``, each block
@@ -149,7 +143,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block_bytes
     little more than its k rows for each query.
     """
     spark = queries.sparkSession
-    queries = checkpointed(queries.select("id", "v"))
+    queries = checkpointed(queries.groupBy("id").agg(F.min("v").alias("v")))
     size = queries.agg(F.count("*").alias("n"), F.sum(F.size("v") * 8 + 16).alias("bytes")).first()
     blocks = -(-(size["bytes"] or 0) // block_bytes)
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passim.llm.arrow import byte_slices, filled, hashes, sums_by_row, words
 from passim.session import checkpointed
 
-BUCKET_BITS = 20
+BUCKET_BITS = 19
 # Labelled rows that the model is fitted on at most, and the parts they are
 # dealt to. Each part is learnt by one task, and the parts are then averaged.
 SAMPLE_ROWS = 16_000
@@ -122,9 +122,10 @@ def train_toxicity(
         sent = spark.sparkContext.broadcast((state.z, state.n))
         parts = sample.groupBy("part").applyInPandas(learner(sent, turn), "bucket long, z double, n double")
         # The mean over all parts; at most one row for each bucket comes back.
-        moved = parts.groupBy("bucket").agg((F.sum("z") / PARTS).alias("z"), (F.sum("n") / PARTS).alias("n")).where(f"abs(z) > {L1 / 100}").toPandas()
-        state.z[moved["bucket"]] += moved["z"]
-        state.n[moved["bucket"]] += moved["n"]
+        moved = parts.groupBy("bucket").agg((F.sum("z") / PARTS).alias("z"), (F.sum("n") / PARTS).alias("n")).where(f"abs(z) > {L1 / 50}").toArrow()
+        at = np.asarray(moved.column("bucket"))
+        state.z[at] += np.asarray(moved.column("z"))
+        state.n[at] += np.asarray(moved.column("n"))
         sent.unpersist()
     return state.weights(slice(None))
 
