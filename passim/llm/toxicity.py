@@ -14,10 +14,10 @@ from passim.session import checkpointed
 BUCKET_BITS = 19
 # Labelled rows that the model is fitted on at most, and the parts they are
 # dealt to. Each part is learnt by one task, and the parts are then averaged.
-SAMPLE_ROWS = 16_000
-PARTS = 8
-ROUNDS = 7
-PASSES = 2
+SAMPLE_ROWS = 8000
+PARTS = 4
+ROUNDS = 4
+PASSES = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.5, 0.1
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SHIFT = np.uint64(64 - BUCKET_BITS)
