@@ -21,7 +21,7 @@ def filled(texts: pa.Array) -> pa.Array:
 
 def byte_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Consecutive parts of at most ``most`` bytes each, or of one text."""
-    ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
     start = 0
     while start < len(texts):
         done = ends[start - 1] if start else 0

@@ -31,6 +31,7 @@ BAND = 1.5
 # Up to so many differences, a key joins two parts: a single one would hold few shingles.
 PAIRED_DIFFERENCES = 6
 FOLD_WORDS = 16
+SLICE_BYTES = 1 << 20
 # Members of a bucket that one task compares with as many others.
 BLOCK = 2000
 # Candidates that a set puts forward in each round from one comparison of blocks.
@@ -77,6 +78,9 @@ class Plan:
 
     def __init__(self, threshold: float = THRESHOLD):
         self.share = Fraction(str(threshold))
+        # Of linked sets of sizes a and b, at most (a + b) times this share is in one alone.
+        apart = (1 - self.share) / (1 + self.share)
+        self.numerator, self.denominator = apart.numerator, apart.denominator
         # Smallest size at which two different sets can link.
         self.least = next(n for n in range(1, 10**6) if self.differences(n, n + 1) >= 1) if self.share < 1 else 1 << 62
         self.uppers = [self.least]
@@ -152,7 +156,7 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float, size: i
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             n, node, fold, key = [], [], [], []
-            for part in byte_slices(filled(batch)):
+            for part in byte_slices(filled(batch), SLICE_BYTES):
                 for own in shingle_sets(part, size):
                     n.append(len(own))
                     node.append(_class_of(own))
@@ -200,12 +204,11 @@ def _compare(plan: Plan):
             failed = group.column("failed").to_pylist()
             a, b = [], []
             for x in range(len(node)):
-                # Sizes rise: partners of x lie between here and the largest size it can link to.
-                stop = np.searchsorted(n, int(n[x] / plan.share), side="right")
-                if stop <= x + 1:
-                    continue
-                bound = (1 - plan.share) * 2 * int(n[stop - 1]) / (1 + plan.share)
-                y = np.flatnonzero(np.bitwise_count(fold[x + 1 : stop] ^ fold[x]).sum(axis=1) <= int(bound)) + x + 1
+                # Sizes rise: partners of x lie between the least and the largest it can link to.
+                start = np.searchsorted(n, -(-(n[x] * plan.share.numerator) // plan.share.denominator))
+                stop = np.searchsorted(n, n[x] * plan.share.denominator // plan.share.numerator, side="right")
+                bound = (n[x] + n[start:stop]) * plan.numerator // plan.denominator
+                y = np.flatnonzero(np.bitwise_count(fold[start:stop] ^ fold[x]).sum(axis=1) <= bound) + start
                 y = y[comp[y] != comp[x]]
                 if len(y) and failed[order[x]]:
                     y = y[~np.isin(node[y], failed[order[x]])]
@@ -219,6 +222,17 @@ def _compare(plan: Plan):
     return run
 
 
+def _near(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs whose sizes and folded sketches allow a link."""
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fold").alias(f"fold_{c}")), c)
+    apart = F.aggregate(F.zip_with("fold_a", "fold_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    total = F.col("n_a") + F.col("n_b")
+    sizes = F.least("n_a", "n_b") * plan.share.denominator >= F.greatest("n_a", "n_b") * plan.share.numerator
+    return both.where(sizes & (apart * plan.denominator <= total * plan.numerator)).select("a", "b")
+
+
 def _block_rows(big: DataFrame) -> DataFrame:
     """Each member of a bucket in its block, once for every block it is compared with."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("long")
@@ -244,16 +258,15 @@ def linked_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     buckets = checkpointed(
         postings.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("rows")).where("a < b")
     )
-    pairs = buckets.select("a", "b")
+    sets = checkpointed(stored.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fold").alias("fold")))
+    pairs = _near(buckets.select("a", "b").distinct(), sets, plan)
     # Only buckets of more than two rows can hold other pairs.
     crowded = _within(buckets.where("rows > 2").select("k"), 16)
     members = postings.join(crowded, "k", "left_semi").distinct()
     counted = members.groupBy("k").agg(F.count("*").alias("members")).where("members > 2")
-    sets = stored.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fold").alias("fold"))
     big = checkpointed(members.join(counted, "k").join(sets, "node"))
     links = tried = None
-    tested = None
-    open_keys = None
+    made: list[DataFrame] = []
     while True:
         if links is None:
             rows = big.withColumn("comp", F.col("node")).withColumn("failed", F.array().cast("array<long>"))
@@ -271,7 +284,7 @@ def linked_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         new = checkpointed(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
         if new.isEmpty():
             break
-        tested = checkpointed(_verified(docs, text, new, plan, size))
+        tested = checkpointed(_verified(docs, text, new, plan, size, made))
         tried = tested if tried is None else checkpointed(tried.unionByName(tested))
         links = tried.where("linked").select("a", "b")
     if links is None:
@@ -279,14 +292,32 @@ def linked_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     return stored.select("doc_id", "n", "node"), links
 
 
-def _verified(docs: DataFrame, text: str, pairs: DataFrame, plan: Plan, size: int) -> DataFrame:
+def _verified(docs: DataFrame, text: str, pairs: DataFrame, plan: Plan, size: int, made: list[DataFrame]) -> DataFrame:
     """The pairs with ``linked``, by the exact sizes of intersection and union.
 
-    Whole sets are made again for the nodes of the pairs alone; their list is
-    sent to the tasks if it is small, and else all sets are made and joined.
+    Whole sets are made again for the nodes of the pairs alone, unless ``made``
+    has them from an earlier round.
     """
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    for sets in made:
+        wanted = wanted.join(sets.select("node"), "node", "left_anti")
+    wanted = checkpointed(wanted)
+    if not wanted.isEmpty():
+        made.append(_whole_sets(docs, text, wanted, size))
+    sets = made[0]
+    for more in made[1:]:
+        sets = sets.unionByName(more)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashed").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashed").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    union = F.size("x") + F.size("y") - shared
+    return both.select("a", "b", (shared * plan.share.denominator >= union * plan.share.numerator).alias("linked"))
+
+
+def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> DataFrame:
+    """``node, hashed`` of the wanted nodes. Their list is sent to the tasks if it
+    is small, and else all sets are made and joined."""
     spark = docs.sparkSession
-    wanted = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     few = wanted.count() * 64 <= BROADCAST_BYTES
     sent = spark.sparkContext.broadcast(np.sort(np.asarray(wanted.toArrow().column("node").combine_chunks())) if few else None)
 
@@ -294,7 +325,7 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame, plan: Plan, size: in
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             node, kept = [], []
-            for part in byte_slices(filled(batch)):
+            for part in byte_slices(filled(batch), SLICE_BYTES):
                 for own in shingle_sets(part, size):
                     name = _class_of(own)
                     at = 0 if sent.value is None else np.searchsorted(sent.value, name)
@@ -306,12 +337,7 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame, plan: Plan, size: in
     made = docs.select(run(F.col(f"`{text}`")).alias("_s")).select("_s.*").where("node is not null")
     path = new_folder(spark, "sets")
     (made if few else made.join(wanted, "node", "left_semi")).dropDuplicates(["node"]).write.parquet(path)
-    sets = spark.read.parquet(path)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashed").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashed").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    union = F.size("x") + F.size("y") - shared
-    return both.select("a", "b", (shared * plan.share.denominator >= union * plan.share.numerator).alias("linked"))
+    return spark.read.parquet(path)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:

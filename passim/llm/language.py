@@ -95,7 +95,7 @@ def train_languages(
     """A model from the rows whose text and language are not null.
 
     Fitted on about ``sample_docs`` rows of each language, picked by the hash
-    of the id; the model keeps ``max_words`` words and ``max_grams`` n-grams of
+    of the id, a word counting once for each text; the model keeps ``max_words`` words and ``max_grams`` n-grams of
     each size for each language. Without labelled rows it knows no language.
     """
     labelled = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("language")).where(
@@ -107,7 +107,7 @@ def train_languages(
     share = F.from_json(F.lit(_json({k: min(1.0, sample_docs / n) for k, n in sizes.items()})), "map<string,double>")
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("languages")), F.lit(1 << 30))
     sample = labelled.where(drawn < share[F.col("language")] * (1 << 30))
-    listed = sample.select("language", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("unit")).where("unit != ''")
+    listed = sample.select("language", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("unit")).where("unit != ''")
     counted = listed.groupBy("language", "unit").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit("^"), "unit", F.lit("$"))
     grams = F.flatten(

@@ -19,6 +19,8 @@ MIN_VALUE = 6
 # Rows that ordinary identifiers are taken from, and the pairs of characters that each model keeps.
 SAMPLE_ROWS = 20_000
 SYMBOLS = 66
+# Weight of the next symbol's own frequency in the chance of a pair.
+LEAN = 10
 # Mean log-likelihood ratio per pair of characters from which a candidate is a secret.
 MIN_RATIO = 0.5
 
@@ -114,18 +116,28 @@ def train_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def _ratios(table: list[tuple[int, str, int]]) -> dict[str, float]:
-    """Smoothed log P(next | this) of random strings less that of ordinary ones."""
+    """Log P(next | this) of random strings less that of ordinary ones, for all
+    pairs of symbols seen; rare pairs lean on how common the next symbol is."""
     import math
 
     count: dict[tuple[int, str], int] = {}
     first: dict[tuple[int, str], int] = {}
+    second: dict[tuple[int, str], int] = {}
+    total = [0, 0]
     for label, pair, n in table:
         count[label, pair] = n
         first[label, pair[0]] = first.get((label, pair[0]), 0) + n
-    if not any(label for label, _ in count):
+        second[label, pair[1]] = second.get((label, pair[1]), 0) + n
+        total[label] += n
+    if not total[1]:
         return {}
-    chance = lambda label, pair: (count.get((label, pair), 0) + 1) / (first.get((label, pair[0]), 0) + SYMBOLS)
-    return {pair: math.log(chance(1, pair) / chance(0, pair)) for pair in sorted({p for _, p in count})}
+    symbols = sorted({c for _, pair in count for c in pair})
+
+    def chance(label: int, a: str, b: str) -> float:
+        alone = (second.get((label, b), 0) + 0.5) / (total[label] + 0.5 * SYMBOLS)
+        return (count.get((label, a + b), 0) + LEAN * alone) / (first.get((label, a), 0) + LEAN)
+
+    return {a + b: math.log(chance(1, a, b) / chance(0, a, b)) for a in symbols for b in symbols}
 
 
 def find_secrets(docs: DataFrame, model: SecretModel, text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
