@@ -134,14 +134,15 @@ def closest(data: np.ndarray, matrix: np.ndarray, names: np.ndarray) -> np.ndarr
     return names[order][np.concatenate(out)]
 
 
-def train_cells(vectors: DataFrame, nlist: int, iterations: int = ITERATIONS, sample: int = TRAIN_SAMPLE) -> DataFrame:
-    """k-means centroids ``id, values`` over a bounded sample.
+def train_cells(vectors: DataFrame, nlist: int, iterations: int = ITERATIONS, sample: int | None = None) -> DataFrame:
+    """k-means centroids ``id, values`` over all rows, or over ``sample`` of them.
 
     The start is the ``nlist`` lowest rows in hash order. The loop carries only
     the model; the sample is cut once and reused.
     """
     spark = vectors.sparkSession
-    chosen = checkpointed(train_sample(vectors.select("id", "values"), max(sample, nlist)))
+    rows = vectors.select("id", "values")
+    chosen = checkpointed(rows if sample is None else train_sample(rows, max(sample, nlist)))
     start = chosen.orderBy(*hash_order(chosen)).limit(nlist).select("values")
     matrix = arrow_matrix(start.toArrow().column("values"))
     if 8 * matrix.size > BROADCAST_BYTES:

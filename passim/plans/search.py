@@ -51,7 +51,7 @@ def vector_leg(requests: DataFrame, index: SearchIndex, depth: int) -> DataFrame
     return search_probes(asked, index.vectors, checkpointed(probes), depth)
 
 
-def search(requests: DataFrame, index: SearchIndex, max_k: int = 20) -> DataFrame:
+def search(requests: DataFrame, index: SearchIndex) -> DataFrame:
     """Run each valid request in its mode and explain each failed one.
 
     ``requests`` comes from ``validate_queries`` with ``qid`` and ``values``
@@ -64,7 +64,8 @@ def search(requests: DataFrame, index: SearchIndex, max_k: int = 20) -> DataFram
     rows = checkpointed(requests.withColumn("error", F.coalesce("error", lost)).withColumn("_blind", unknown))
     valid = rows.filter("error is null")
     settings = valid.select("qid", "mode", "k")
-    depth = max(LEG_DEPTH, max_k)
+    most = valid.agg(F.max("k")).first()[0] or 1
+    depth = max(LEG_DEPTH, most)
 
     near = vector_leg(valid.filter((F.col("mode") != "keyword") & ~F.col("_blind")), index, depth)
     word = bm25(valid.filter(F.col("mode") != "semantic").select("qid", "text"), index.postings, index.stats, depth, index.frequencies)
@@ -77,12 +78,12 @@ def search(requests: DataFrame, index: SearchIndex, max_k: int = 20) -> DataFram
         "score", display_score(F.col("mode"), F.col("distance"), F.lit(None).cast("double"))
     )
     keyword = word.filter(F.col("mode") == "keyword")
-    legs = [leg.filter(hybrid & (F.col("rank") <= LEG_DEPTH)).select("qid", "rank", "id") for leg in (near, word)]
-    fused = rrf(legs, max_k).join(settings, "qid")
+    legs = [leg.filter(hybrid).select("qid", "rank", "id") for leg in (near, word)]
+    fused = rrf(legs, most).join(settings, "qid")
     hits = semantic.select(*columns).unionByName(keyword.select(*columns)).unionByName(fused.select(*columns))
     hits = hits.filter(F.col("rank") <= F.col("k")).drop("k")
 
-    answered = fetch_metadata(hits, index.passages, max_hits=rows.count() * max_k)
+    answered = fetch_metadata(hits, index.passages, max_hits=rows.count() * most)
     answered = answered.withColumn("score_kind", score_kind(F.col("mode"))).withColumn("error", F.lit(None).cast("string"))
     failed = rows.filter("error is not null").select("qid", "mode", "error")
     return answered.unionByName(failed, allowMissingColumns=True)

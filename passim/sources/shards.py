@@ -30,7 +30,9 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
     """The newest manifest as one row, or None if there is none."""
     try:
         rows = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(f"{folder}/corpus.json")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     newest = F.max_by(F.struct("*"), F.coalesce("version", F.lit(0)))
     row = rows.agg(newest.alias("m")).filter("m is not null").select("m.*")

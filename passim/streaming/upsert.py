@@ -1,32 +1,54 @@
 """A stream of vector records into a collection.
 
-The collection folder holds ``v=<n>/`` tables and ``current``, an append-only
-list of published versions. A micro-batch overwrites its own generation, so a
-replay after a lost driver changes nothing; a batch that a compaction already
-merged is skipped.
+The collection folder holds ``v=<n>/`` tables, ``current``, an append-only list
+of published versions, and ``batches``, which says what generation each batch of
+each stream got. A new batch takes the next free one; a replay after a lost
+driver finds its own and overwrites it, or is skipped if a compaction has merged
+it. Streams into one collection may follow each other, but not run at one time.
 """
 
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passim.operators.segments import compact, read_index, upsert, write_collection
 
 _POINTER = "version long, merged_through long"
+_BATCHES = "stream string, batch long, generation long"
 
 
 def current_version(spark: SparkSession, path: str) -> tuple[int, int]:
     """``(version, merged_through)`` of the newest published table."""
-    try:
-        rows = spark.read.schema(_POINTER).json(f"{path}/current")
-        newest = rows.orderBy("version", ascending=False).limit(1).collect()
-    except AnalysisException:
-        newest = []
+    rows = _listed(spark, f"{path}/current", _POINTER)
+    newest = rows.orderBy("version", ascending=False).limit(1).collect()
     return (newest[0]["version"], newest[0]["merged_through"]) if newest else (0, -1)
 
 
+def _listed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of an append-only list; none if it was never written."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def claim_generation(spark: SparkSession, path: str, stream: str, batch: int) -> int:
+    """The generation of a stream's batch: its own if it has one, else the next free one."""
+    listed = _listed(spark, f"{path}/batches", _BATCHES)
+    own = listed.where((F.col("stream") == stream) & (F.col("batch") == batch)).agg(F.max("generation")).first()[0]
+    if own is not None:
+        return own
+    last = listed.agg(F.max("generation")).first()[0]
+    generation = max(-1 if last is None else last, current_version(spark, path)[1]) + 1
+    spark.createDataFrame([(stream, batch, generation)], _BATCHES).coalesce(1).write.mode("append").json(f"{path}/batches")
+    return generation
+
+
 def table_path(path: str, version: int) -> str:
     return f"{path}/v={version}"
 
@@ -56,18 +78,19 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Upsert a streaming DataFrame, one generation per micro-batch.
 
-    ``route`` adds the ``cell`` column. With ``compact_every`` a checkpoint
+    ``route`` adds the ``cell`` column. The checkpoint folder names the stream. With ``compact_every`` a checkpoint
     compaction follows every so many batches; :func:`finish` runs the last one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version, merged = current_version(spark, path)
-        if batch_id <= merged:
+        generation = claim_generation(spark, path, checkpoint, batch_id)
+        if generation <= merged:
             return
-        upsert(route(batch), table_path(path, version), batch_id, pos)
+        upsert(route(batch), table_path(path, version), generation, pos)
         if compact_every and (batch_id + 1) % compact_every == 0:
-            compact_collection(spark, path, 2, batch_id)
+            compact_collection(spark, path, 2, generation)
 
     return (
         records.writeStream.foreachBatch(write)
