@@ -10,19 +10,15 @@ from passim.llm import decontaminate, jaccard, language, packing, secrets
 from passim.llm.queries import tokenizer
 from passim.session import new_folder
 
-# A language that is less likely than this is no decision.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters, null texts, and texts of no likely language."""
+    """Drops null texts and texts without letters, whose language is undetermined."""
     model = language.train_languages(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     named = docs.select("*", F.struct("*").alias("_row"))
     found = language.identify_languages(named.select("_row", "text"), model)
-    sure = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(sure).select("_row.*")
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select("_row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
