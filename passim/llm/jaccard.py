@@ -155,16 +155,17 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float, size: i
     @F.arrow_udf("n long, node long, fold array<long>, keys array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            n, node, fold, key = [], [], [], []
+            # An answer for each slice, so that a batch is never held as sets.
             for part in byte_slices(filled(batch), SLICE_BYTES):
+                n, node, fold, key = [], [], [], []
                 for own in shingle_sets(part, size):
                     n.append(len(own))
                     node.append(_class_of(own))
                     fold.append(folded(own))
                     key.append(keys(own, plan))
-            yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(fold), _lists(key)], ["n", "node", "fold", "keys"]
-            )
+                yield pa.StructArray.from_arrays(
+                    [pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(fold), _lists(key)], ["n", "node", "fold", "keys"]
+                )
 
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), run(F.col(f"`{text}`")).alias("_s")).select("doc_id", "_s.*")
 
@@ -242,8 +243,10 @@ def _block_rows(big: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
-def linked_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows, and links that join every two linked sets by some path.
+def linked_pairs(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE_WORDS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketched rows, links that join every two linked sets by some path, and their components.
 
     Rows are ``doc_id, n, node``; ``node`` names a distinct set. Links ``a, b``
     are pairs of nodes that passed the exact test; pairs that such links join
@@ -265,17 +268,17 @@ def linked_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     members = postings.join(crowded, "k", "left_semi").distinct()
     counted = members.groupBy("k").agg(F.count("*").alias("members")).where("members > 2")
     big = checkpointed(members.join(counted, "k").join(sets, "node"))
-    links = tried = None
+    links = tried = comps = None
     made: list[DataFrame] = []
     while True:
         if links is None:
             rows = big.withColumn("comp", F.col("node")).withColumn("failed", F.array().cast("array<long>"))
         else:
-            comps = components(links).withColumnRenamed("component", "comp")
+            comps = components(links)
             fails = tried.where("not linked")
             fails = fails.select("a", "b").unionByName(fails.select(F.col("b").alias("a"), F.col("a").alias("b")))
             fails = fails.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
-            rows = big.join(comps, "node", "left").join(fails, "node", "left")
+            rows = big.join(comps.withColumnRenamed("component", "comp"), "node", "left").join(fails, "node", "left")
             rows = rows.withColumn("comp", F.coalesce("comp", "node"))
         compared = _block_rows(rows).select("k", "i", "j", "node", "comp", "n", "fold", "failed")
         compared = compared.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
@@ -289,7 +292,8 @@ def linked_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         links = tried.where("linked").select("a", "b")
     if links is None:
         links = pairs.where("false")
-    return stored.select("doc_id", "n", "node"), links
+        comps = components(links)
+    return stored.select("doc_id", "n", "node"), links, comps
 
 
 def _verified(docs: DataFrame, text: str, pairs: DataFrame, plan: Plan, size: int, made: list[DataFrame]) -> DataFrame:
@@ -324,15 +328,16 @@ def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> Dat
     @F.arrow_udf("node long, hashed array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            node, kept = [], []
             for part in byte_slices(filled(batch), SLICE_BYTES):
+                node, kept = [], []
                 for own in shingle_sets(part, size):
                     name = _class_of(own)
                     at = 0 if sent.value is None else np.searchsorted(sent.value, name)
                     want = sent.value is None or (at < len(sent.value) and sent.value[at] == name)
                     node.append(name if want else None)
-                    kept.append(own if want else own[:0])
-            yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), _lists(kept)], ["node", "hashed"])
+                    # An empty slice of the set would keep all of it.
+                    kept.append(own if want else np.zeros(0, dtype=np.uint64))
+                yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), _lists(kept)], ["node", "hashed"])
 
     made = docs.select(run(F.col(f"`{text}`")).alias("_s")).select("_s.*").where("node is not null")
     path = new_folder(spark, "sets")
@@ -349,8 +354,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alike are judged on their own. Null ids stay, and never name a component
     that holds another id.
     """
-    rows, links = linked_pairs(docs, doc_id, text, threshold, size)
-    joined = components(links)
+    rows, _, joined = linked_pairs(docs, doc_id, text, threshold, size)
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     least = least.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = least.groupBy("component").agg(F.min("least").alias("component_id"))
