@@ -11,17 +11,17 @@ Sizes fall into bands that share one number of parts; a set near the upper end
 of its band also takes part in the next one, as partner of the larger sets there.
 """
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passim.llm.arrow import byte_slices, encoded, filled, hashes
+from passim.llm.arrow import byte_slices, filled
 from passim.llm.components import components
 from passim.session import BROADCAST_BYTES, checkpointed, new_folder
 
@@ -32,6 +32,8 @@ BAND = 1.5
 PAIRED_DIFFERENCES = 6
 FOLD_WORDS = 16
 SLICE_BYTES = 1 << 20
+# Bytes whose words are hashed at once; a longer word widens its own window.
+WINDOW_BYTES = 1 << 18
 # Members of a bucket that one task compares with as many others.
 BLOCK = 2000
 # Candidates that a set puts forward in each round from one comparison of blocks.
@@ -46,17 +48,76 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[0])
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE[_SPACE] = 0
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, count: int) -> np.ndarray:
+    """The first powers of an odd number, modulo 2^64."""
+    if len(_powers.get(base, ())) < count:
+        steps = np.full(max(count, WINDOW_BYTES + 1), base, dtype=np.uint64)
+        steps[0] = 1
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:count]
+
+
+def _window_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each word of these bytes; a word also begins at ``begins``.
+
+    A word's hash is its polynomial in an odd base: a difference of running
+    sums, moved to place 0 by the inverse of the base.
+    """
+    inside = ~_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[begins] = inside[begins]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    base = int(_MIX[1])
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _power(base, len(data)), out=sums[1:])
+    value = (sums[end] - sums[start]) * _power(pow(base, -1, 1 << 64), len(data) + 1)[start]
+    return _mixed(value + (end - start).astype(np.uint64) * _MIX[3]), start
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and where each text's words begin and end among them."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, dtype=np.uint8)
+    ends = ends - ends[0]
+    found, places, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+    while at < len(raw):
+        # A window ends behind white space, so that it cuts no word.
+        stop = at + WINDOW_BYTES
+        while stop < len(raw) and not (space := np.flatnonzero(_SPACE[raw[stop : stop + WINDOW_BYTES]])).size:
+            stop += WINDOW_BYTES
+        stop = min(len(raw), stop + int(space[0]) + 1) if stop < len(raw) else len(raw)
+        inner = ends[np.searchsorted(ends, at) : np.searchsorted(ends, stop)] - at
+        value, start = _window_words(raw[at:stop], inner)
+        found.append(value)
+        places.append(start + at)
+        at = stop
+    return np.concatenate(found), np.searchsorted(np.concatenate(places), ends)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
 def shingle_sets(texts: pa.Array, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The sorted hashes of each text's distinct shingles.
 
     Words are runs without ASCII white space, A-Z lower-cased. A text with
     fewer words than ``size`` has its word sequence as the only shingle.
     """
-    offsets, index, distinct = encoded(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
-    own = hashes(distinct)
-    full = np.array([x != "" for x in distinct], dtype=bool)[index]
-    ends = np.concatenate([[0], np.cumsum(full)])[offsets]
-    word = own[index[full]]
+    word, ends = _words(texts)
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(word) - size + 1), dtype=np.uint64)
         for k in range(size):
@@ -64,7 +125,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE_WORDS) -> list[np.ndarray]
         out = []
         for s, e in zip(ends[:-1], ends[1:], strict=True):
             if e - s >= size:
-                out.append(np.unique(rolled[s : e - size + 1]))
+                out.append(_distinct(rolled[s : e - size + 1]))
             else:
                 value = np.zeros(1, dtype=np.uint64)
                 for k in range(s, e):
@@ -86,6 +147,7 @@ class Plan:
         self.uppers = [self.least]
         while self.uppers[-1] < 1 << 40:
             self.uppers.append(int(self.uppers[-1] * BAND) + 1)
+        self.bounds = [int((1 - self.share) * 2 * upper / (1 + self.share)) for upper in self.uppers]
 
     def differences(self, a: int, b: int) -> int:
         """The most shingles that only one of two linked sets of these sizes can have."""
@@ -96,9 +158,9 @@ class Plan:
         """Number and difference bound of the bands that a set of ``n`` takes part in."""
         if n < self.least:
             return []
-        first = next(i for i, upper in enumerate(self.uppers) if n <= upper)
-        last = next(i for i, upper in enumerate(self.uppers) if int(n / self.share) <= upper)
-        return [(i, int((1 - self.share) * 2 * self.uppers[i] / (1 + self.share))) for i in range(first, last + 1)]
+        first = bisect_left(self.uppers, n)
+        last = bisect_left(self.uppers, n * self.share.denominator // self.share.numerator)
+        return [(i, self.bounds[i]) for i in range(first, last + 1)]
 
 
 def sketch(hashed: np.ndarray, parts: int) -> np.ndarray:
