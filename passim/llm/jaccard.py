@@ -14,10 +14,11 @@ of its band also takes part in the next one, as partner of the larger sets there
 from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,41 +241,48 @@ def _within(df: DataFrame, row_bytes: int) -> DataFrame:
 def _compare(plan: Plan):
     """Of each two blocks of a bucket, the pairs that may link, of different components and not yet tried."""
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            mark = np.stack([np.asarray(table.column(c).combine_chunks()) for c in ("k", "i", "j")])
-            cuts = np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist()]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                yield table.slice(s, e - s)
-            held = table.slice(edges[-1])
-        if held is not None and held.num_rows:
-            yield held
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches):
-            if group.num_rows < 2:
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None or not held.num_rows:
                 continue
-            node, comp, n = (np.asarray(group.column(c).combine_chunks()) for c in ("node", "comp", "n"))
-            if (comp == comp[0]).all():
+            table = held.combine_chunks()
+            mark = np.stack([np.asarray(table.column(c)) for c in ("k", "i", "j")])
+            edges = np.concatenate([[0], np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+            # The last group may go on in the next batch.
+            whole = edges if batch is None else edges[:-1]
+            held = table.slice(int(whole[-1]))
+            node, comp, n = (np.asarray(table.column(c)) for c in ("node", "comp", "n"))
+            fold = np.asarray(pc.list_flatten(table.column("fold"))).view(np.uint64).reshape(-1, FOLD_WORDS)
+            failed = table.column("failed").combine_chunks()
+            starts = whole[:-1]
+            if not len(starts):
                 continue
+            least, most = (f.reduceat(comp[: whole[-1]], starts) for f in (np.minimum, np.maximum))
+            # Members of one component have nothing to add.
+            for at in np.flatnonzero(least != most):
+                own = slice(int(whole[at]), int(whole[at + 1]))
+                yield node[own], comp[own], n[own], fold[own], failed[own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, comp, n, fold, failed in groups(batches):
             order = np.lexsort((node, n))
-            node, comp, n = node[order], comp[order], n[order]
-            fold = np.asarray(group.column("fold").combine_chunks().flatten()).view(np.uint64).reshape(-1, FOLD_WORDS)[order]
-            failed = group.column("failed").to_pylist()
+            node, comp, n, fold = node[order], comp[order], n[order], fold[order]
+            # Sizes rise: partners of a set lie between the least and the largest it can link to.
+            starts = np.searchsorted(n, -(-(n * plan.share.numerator) // plan.share.denominator))
+            stops = np.searchsorted(n, n * plan.share.denominator // plan.share.numerator, side="right")
             a, b = [], []
-            for x in range(len(node)):
-                # Sizes rise: partners of x lie between the least and the largest it can link to.
-                start = np.searchsorted(n, -(-(n[x] * plan.share.numerator) // plan.share.denominator))
-                stop = np.searchsorted(n, n[x] * plan.share.denominator // plan.share.numerator, side="right")
-                bound = (n[x] + n[start:stop]) * plan.numerator // plan.denominator
-                y = np.flatnonzero(np.bitwise_count(fold[start:stop] ^ fold[x]).sum(axis=1) <= bound) + start
-                y = y[comp[y] != comp[x]]
-                if len(y) and failed[order[x]]:
-                    y = y[~np.isin(node[y], failed[order[x]])]
+            for x, (start, stop) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+                y = np.flatnonzero(comp[start:stop] != comp[x]) + start
+                if not len(y):
+                    continue
+                bound = (n[x] + n[y]) * plan.numerator // plan.denominator
+                y = y[np.bitwise_count(fold[y] ^ fold[x]).sum(axis=1) <= bound]
+                if len(y) and (tried := failed[int(order[x])].as_py()):
+                    y = y[~np.isin(node[y], tried)]
                 if len(y):
                     y = y[np.argsort(node[y])][:FORWARD]
                     a += [node[x]] * len(y)
