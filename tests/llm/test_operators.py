@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from passim.llm import components, decontaminate, html_text, jaccard, language, packing, secrets, token_counts, topk, toxicity, urls
+from passim.llm.arrow import filled
 from passim.llm.queries import tokenizer
 
 
@@ -322,6 +323,18 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_words_hash_alike_in_any_window(monkeypatch):
+    texts = ["a b c d", "", "  A B\tC d ", None, "x", "x y", "c", "d\u00e9j\u00e0 vu \u00c9  q", "w" * 50 + " k l m " + "v" * 90, "d e", "  "]
+    sets = lambda x: [s.tolist() for s in jaccard.shingle_sets(filled(pa.array(x, pa.string())))]
+    whole = sets(texts)
+    assert whole[0] == whole[2] and whole[1] == whole[3] == whole[10] == [] and whole[4] != whole[6]
+    assert sets(texts[3:7]) == whole[3:7] and sets([]) == []
+    for width in (1, 2, 7, 16, 64):
+        monkeypatch.setattr(jaccard, "WINDOW_BYTES", width)
+        monkeypatch.setattr(jaccard, "_powers", {})
+        assert sets(texts) == whole
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for _ in range(50):
