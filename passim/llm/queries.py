@@ -5,7 +5,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passim.llm import decontaminate, html_text, jaccard, language, packing, secrets, token_counts, topk, toxicity, urls
+from passim.llm import (
+    byte_pairs,
+    decontaminate,
+    html_text,
+    jaccard,
+    language,
+    packing,
+    secrets,
+    token_counts,
+    topk,
+    toxicity,
+    urls,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +143,24 @@ window w as (partition by query_id order by score desc, vec_id) qualify row_numb
 def top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.quantized(table(spark, folder, "embeddings"))
     return topk.exact_top_k(vectors.where("id % 100 = 0"), vectors, 10)
+
+
+@query("op11_whitening")
+def whitened(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    found = whitening.whiten(vectors, whitening.fit_whitening(vectors))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_byte_pairs")
+def encode_and_decode(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    file = tokenizer("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_pairs.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), file, public_tokenizers.PATTERN)
+    return byte_pairs.decode_ids(encoded, file).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
