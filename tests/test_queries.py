@@ -1,8 +1,7 @@
 """Every registered query beside its SQL on the smallest tables."""
 
 import pytest
-from conftest import SF_DIR
-from oracle import compare, database
+from oracle import SF_DIR, compare, database
 
 import __spark_entry__ as entry
 
