@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from passim.llm.arrow import SLICE_BYTES, byte_slices, filled
 
-# Matches whose ids a task remembers (twice as many at most), and the longest that it remembers.
-KEPT_MATCHES = 200_000
+# Bytes of texts or ids that a task works on at once.
+PART_BYTES = SLICE_BYTES // 2
+# Matches whose ids a task remembers before it forgets older ones, and the longest that it remembers.
+KEPT_MATCHES = 100_000
 KEPT_CHARS = 64
 # Longest match that is merged along with others, and how many at once.
 TREE_BYTES = 64
@@ -103,8 +105,9 @@ class Merger:
         self.pairs, self.joined = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(1, np.int64),) * 2
         self.letters = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.none = max(ranks.values()) + 1
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        # Ids as little-endian bytes, far smaller than arrays.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -154,7 +157,7 @@ class Merger:
         for match in matches:
             size = len(match.encode())
             if size > TREE_BYTES:
-                self.young[match] = np.array(merge(match.encode(), self.ranks), dtype="<u4")
+                self.young[match] = np.array(merge(match.encode(), self.ranks), dtype="<u4").tobytes()
             else:
                 by_leaves.setdefault(max(2, 1 << (size - 1).bit_length()), []).append(match)
         for leaves, own in by_leaves.items():
@@ -162,10 +165,11 @@ class Merger:
                 some = own[s : s + STEP_WORDS]
                 data = [m.encode() for m in some]
                 ids, counts = self.merge_all(data, leaves)
-                parts = np.split(ids.astype("<u4"), np.cumsum(counts)[:-1])
-                # A token of the file stands for itself, whether or not merges reach it.
-                whole = {i: self.ranks[d] for i, d in enumerate(data) if d in self.ranks}
-                self.young |= {m: np.array([whole[i]], dtype="<u4") if i in whole else p.copy() for i, (m, p) in enumerate(zip(some, parts, strict=True))}
+                flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                for m, d, start, end in zip(some, data, [0, *ends], ends, strict=False):
+                    # A token of the file stands for itself, whether or not merges reach it.
+                    rank = self.ranks.get(d)
+                    self.young[m] = flat[start:end] if rank is None else rank.to_bytes(4, "little")
 
     def ids(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all matches in one row, and how many each has."""
@@ -183,10 +187,10 @@ class Merger:
         for m in distinct:
             if len(m) > KEPT_CHARS:
                 del self.young[m]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
         ends = np.cumsum(lengths)
-        return np.concatenate(found)[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])], lengths
+        return np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])], lengths
 
 
 def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -207,19 +211,19 @@ def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "te
             raise ValueError(f"the ranks lack the bytes {absent[:5]}")
         merger = Merger(ranks)
         for batch in batches:
-            out: list[bytes] = []
-            for part in byte_slices(filled(batch), SLICE_BYTES):
+            # An answer for each part, so that a batch's ids are never held together.
+            for part in byte_slices(filled(batch), PART_BYTES):
                 texts = part.to_pylist()
                 if len(texts) == 1 and len(texts[0]) > LONG_CHARS:
                     # A long text's matches are never all held.
                     found = (m.group() for m in matches.finditer(texts[0]))
-                    out.append(b"".join(merger.ids(list(run))[0].tobytes() for run in iter(lambda: list(islice(found, RUN_MATCHES)), [])))
+                    runs = iter(lambda: list(islice(found, RUN_MATCHES)), [])
+                    yield pa.array([b"".join(merger.ids(run)[0].tobytes() for run in runs)], pa.binary())
                     continue
                 lists = [matches.findall(t) for t in texts]
                 ids, lengths = merger.ids(list(chain.from_iterable(lists)))
                 ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, lists)])]
-                out += [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.array(out, pa.binary())
+                yield pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c != ids]
     return docs.select(*kept, encode(F.col(f"`{text}`")).alias(ids))
@@ -238,7 +242,6 @@ def decode_ids(docs: DataFrame, ranks_file: str, ids: str = "ids", decoded: str
         known = np.array(sorted(ranks.values()), dtype=np.int64)
         tokens = pa.array([t for t, _ in sorted(ranks.items(), key=lambda x: x[1])], pa.large_binary())
         for batch in batches:
-            out = []
             for part in _slices(batch):
                 sizes = np.asarray(pc.binary_length(part), dtype=np.int64) // 4
                 flat = np.frombuffer(b"".join(part.to_pylist()), dtype="<u4")
@@ -249,8 +252,7 @@ def decode_ids(docs: DataFrame, ranks_file: str, ids: str = "ids", decoded: str
                 data = taken.buffers()[2]
                 ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1]
                 bounds = ends[np.concatenate([[0], np.cumsum(sizes)])]
-                out += [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.array(out, pa.binary())
+                yield pa.array([data[a:b].to_pybytes() if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c != decoded]
     return docs.select(*kept, decode(F.col(f"`{ids}`")).alias(decoded))
@@ -259,4 +261,4 @@ def decode_ids(docs: DataFrame, ranks_file: str, ids: str = "ids", decoded: str
 def _slices(batch: pa.Array) -> Iterator[pa.Array]:
     if isinstance(batch, pa.ChunkedArray):
         batch = batch.combine_chunks()
-    yield from byte_slices(pc.fill_null(batch, b"").cast(pa.large_binary()), SLICE_BYTES)
+    yield from byte_slices(pc.fill_null(batch, b"").cast(pa.large_binary()), PART_BYTES)
