@@ -12,6 +12,7 @@ from passim.llm import (
     jaccard,
     language,
     packing,
+    phrases,
     secrets,
     token_counts,
     topk,
@@ -152,6 +153,34 @@ def whitened(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+@query(
+    "op12_phrases",
+    """with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) as piece from d),
+w as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') as ws from p),
+s as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w),
+g as (select lang, i, ws, unnest([1, 2, 3, 4]) as k from s),
+c as (select lang, ws[i:i + k - 1] as ph, count(*)::hugeint as f from g where i + k - 1 <= len(ws) group by 1, 2),
+t as (select lang, sum(f) as n from c where len(ph) = 1 group by lang),
+a as (select lang, ph, f as a from c where len(ph) > 1 and f >= 30),
+u as (select lang, ph, a, unnest(range(1, len(ph))) as k from a),
+v as (select u.*, x.f as l, y.f as r, (2000000 * u.a) // (x.f + y.f) as score from u
+  join c x on x.lang = u.lang and x.ph = u.ph[1:u.k] join c y on y.lang = u.lang and y.ph = u.ph[u.k + 1:len(u.ph)]),
+best as (select * from v qualify row_number() over (partition by lang, ph order by score, k) = 1),
+i as (select lang, ph, a, unnest(range(2, len(ph))) as m from a where len(ph) > 2),
+j as (select lang, ph, a, m, unnest(range(1, len(ph) - m + 2)) as b from i),
+o as (select lang, ph[b:b + m - 1] as ph, max(a) as longer from j group by 1, 2),
+k as (select b.lang, array_to_string(b.ph, ' ') as phrase, b.a, b.l, b.r, b.score from best b left join o on o.lang = b.lang and o.ph = b.ph
+  where o.longer is null or 100 * o.longer < 80 * b.a)
+select k.lang, row_number() over z as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n,
+  cast(score as bigint) as score
+from k join t on t.lang = k.lang
+window z as (partition by k.lang order by score desc, a desc, phrase) qualify row_number() over z <= 2000""",
+)
+def mine_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, folder, "documents").select("lang", "text"))
+
+
 @query("op13_byte_pairs")
 def encode_and_decode(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
