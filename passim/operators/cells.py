@@ -186,6 +186,13 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, budget: i
     return nearest.knn(queries, centroids, nprobe, budget).select("qid", F.col("id").alias("cell"))
 
 
+def request_probes(requests: DataFrame, centroids: DataFrame, most: int, budget: int = BROADCAST_BYTES) -> DataFrame:
+    """``qid, cell``: the ``nprobe`` nearest cells of each request ``id, values, nprobe``, its own number up to ``most``."""
+    ranked = nearest.knn(requests.select("id", "values"), centroids, most, budget).select("qid", F.col("id").alias("cell"), "rank")
+    wanted = requests.select(F.col("id").alias("qid"), "nprobe")
+    return ranked.join(wanted, "qid").filter(F.col("rank") <= F.col("nprobe")).select("qid", "cell")
+
+
 # More distinct cells than this are pruned by a join instead of a literal list.
 _LITERAL_CELLS = 4096
 

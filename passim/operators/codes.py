@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passim.functions.vector import squared_l2, sum_vector
-from passim.operators.cells import CENTROID_DECIMALS, ITERATIONS, TRAIN_SAMPLE, hash_order, train_sample
+from passim.operators.cells import CENTROID_DECIMALS, ITERATIONS, hash_order, train_sample
 from passim.operators.nearest import (
     DISTANCE_DECIMALS,
     BestK,
@@ -117,10 +117,11 @@ def train_pq(
     m: int = SUBSPACES,
     ks: int = CODEWORDS,
     iterations: int = ITERATIONS,
-    sample: int = TRAIN_SAMPLE,
+    sample: int | None = None,
 ) -> DataFrame:
-    """Per-subspace codebooks over a bounded sample."""
-    chosen = checkpointed(train_sample(vectors.select("id", "values"), max(sample, ks)))
+    """Per-subspace codebooks over all rows, or over ``sample`` of them."""
+    rows = vectors.select("id", "values")
+    chosen = checkpointed(rows if sample is None else train_sample(rows, max(sample, ks)))
     books = codebook_array(first_codebooks(chosen, m, ks, hash_order(chosen)))
     for _ in range(iterations):
         sums = partial_sums(chosen, books).toArrow()

@@ -228,10 +228,12 @@ def finish_against_block(
 
 
 def pair_blocks(
-    queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, budget: int = BROADCAST_BYTES
+    queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, budget: int = BROADCAST_BYTES, offer=add_blocks
 ) -> DataFrame:
     """Top-k per pair of blocks when neither side can be broadcast.
 
+    ``offer`` compares two blocks; by default it takes squared distances.
+
     Rows of both sides carry a ``cell``; only blocks of the same cell meet. A
     large cell is cut into as many blocks as its own row count needs, so one
     hot cell becomes many groups of bounded size.
@@ -263,9 +265,7 @@ def pair_blocks(
             return arrow.empty_table()
         block = arrow_matrix(left.column("q_values"))
         best = BestK(len(block), k)
-        add_blocks(
-            best, block, np.arange(len(block)), arrow_matrix(right.column("values")), arrow_ids(right.column("id"))
-        )
+        offer(best, block, np.arange(len(block)), arrow_matrix(right.column("values")), arrow_ids(right.column("id")))
         return pa.Table.from_batches(
             list(_best_batch(best, left.column("q_id").combine_chunks(), arrow)), schema=arrow
         )

@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from passim.registry import corpus, evaluation, index, keyword, limits, streams, texts, vectors  # noqa: F401
+    from passim.registry import corpus, evaluation, index, keyword, limits, routed, streams, texts, vectors  # noqa: F401
