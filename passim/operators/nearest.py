@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passim.operators.ranking import top_k
-from passim.session import BROADCAST_BYTES
+from passim.session import BROADCAST_BYTES, broadcast_within, checkpointed
 
 # Distances are rounded so that equal vectors tie in any block layout.
 DISTANCE_DECIMALS = 9
@@ -299,3 +299,59 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, budget: int = BROADCAST_
                 queries.select("id", "values", one), vectors.select("id", "values", one), k, schema, budget
             )
     return merge_best(partial, k).select("qid", "rank", "id", "distance")
+
+
+def vector_places(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
+    """``qid, id, rank`` of the pairs ``qid, id`` in the whole ranking of their query.
+
+    The distances of the pairs are found first; one scan then counts, for each,
+    the vectors before it. Pairs go in batches that fit the budget with their
+    queries; an id that is no vector has no row.
+    """
+    spark, width = vectors.sparkSession, vector_width(queries)
+    asked = queries.select(F.col("id").alias("qid"), F.col("values").alias("_query"))
+    wanted = pairs.select("qid", "id").distinct()
+    count = wanted.count()
+    ids = broadcast_within(wanted, count, 64)
+    held = vectors.select("id", "values").join(ids, "id").join(asked, "qid").select("qid", "_query", "id", "values")
+    held = checkpointed(held)
+    parts = max(1, -(-count // max(1, budget_rows(2 * width, budget))))
+    schema = T.StructType([pairs.schema["qid"], pairs.schema["id"], T.StructField("rank", T.LongType())])
+    out = spark.createDataFrame([], schema)
+    for part in range(parts):
+        table = held.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).toArrow()
+        if not table.num_rows:
+            continue
+        qid, id_ = table.column("qid").combine_chunks(), table.column("id").combine_chunks()
+        coded = qid.dictionary_encode()
+        query = np.asarray(coded.indices)
+        first = np.unique(query, return_index=True)[1]
+        matrix = arrow_matrix(table.column("_query"))
+        # As a scan finds it: by one product of blocks, rounded.
+        own = np.concatenate([squared_distances(matrix[i : i + 1], arrow_matrix(table.column("values").slice(i, 1)))[0] for i in range(len(query))])
+        sent = spark.sparkContext.broadcast((matrix[first], query, own, id_))
+
+        def count_before(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matrix, query, own, named = sent.value
+            names, before = arrow_ids(named), np.zeros(len(query), dtype=np.int64)
+            order = np.lexsort((names, own, query))
+            edges = np.searchsorted(query[order], np.arange(len(matrix) + 1))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                data, ids = arrow_matrix(batch.column("values")), arrow_ids(batch.column("id"))
+                step = max(1, _BLOCK_CELLS // len(data))
+                for start in range(0, len(matrix), step):
+                    dist = squared_distances(matrix[start : start + step], data)
+                    for q, line in enumerate(dist, start):
+                        mine = order[edges[q] : edges[q + 1]]
+                        ranked = np.sort(line)
+                        before[mine] += np.searchsorted(ranked, own[mine], side="left")
+                        for i in mine[np.searchsorted(ranked, own[mine], side="right") > np.searchsorted(ranked, own[mine], side="left")]:
+                            before[i] += (ids[line == own[i]] < names[i]).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(query))), pa.array(before)], names=["i", "before"])
+
+        counted = vectors.select("id", "values").mapInArrow(count_before, "i long, before long").groupBy("i").agg(F.sum("before").alias("before"))
+        which = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(query))), "qid": qid, "id": id_}))
+        out = out.unionByName(counted.join(F.broadcast(which), "i").select("qid", "id", (F.col("before") + 1).alias("rank")))
+    return out

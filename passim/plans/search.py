@@ -1,18 +1,20 @@
 """Answering batches of search requests."""
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passim.functions.scoring import display_score, score_kind
 from passim.functions.vector import is_zero
-from passim.operators.cells import default_nprobe, search_probes
+from passim.operators.blocks import TextIndex, search_text, text_places
+from passim.operators.cells import default_nprobe, request_probes, search_probes
 from passim.operators.codes import pq_search
-from passim.operators.fusion import LEG_DEPTH, rrf
-from passim.operators.lexical import bm25
-from passim.operators.nearest import knn
+from passim.operators.fusion import Leg, fuse
+from passim.operators.nearest import knn, vector_places
 from passim.operators.quality import first_relevant_rank, summarize
+from passim.operators.routed import search_routed
 from passim.operators.segments import fetch_metadata, query_cost
 from passim.session import broadcast_within, checkpointed
 
@@ -21,34 +23,55 @@ NO_WORDS = "no known words in that query"
 
 @dataclass
 class SearchIndex:
-    """The tables a search reads. Without centroids vectors are ranked exactly;
-    with codebooks they are ranked by code and rescored."""
+    """The tables a search reads.
+
+    Without centroids vectors are ranked exactly; with them (``vectors`` with
+    ``cell``) in each request's probed cells; with codebooks too (``codes`` of
+    residuals) by code there, and rescored. Codebooks alone rank all codes.
+    """
 
     vectors: DataFrame
     passages: DataFrame
-    postings: DataFrame
-    stats: DataFrame
-    frequencies: DataFrame | None = None
+    text: TextIndex
     centroids: DataFrame | None = None
     codebooks: DataFrame | None = None
     rescore: int = 0
+    corpus: str = ""
 
 
 def vector_leg(requests: DataFrame, index: SearchIndex, depth: int) -> DataFrame:
-    """``qid, rank, id, distance`` of every request with a vector."""
-    asked = requests.select(F.col("qid").alias("id"), "values")
-    if index.codebooks is not None:
-        return pq_search(asked, index.vectors, index.codebooks, depth, index.rescore)
+    """``qid, rank, id, distance`` of every request with a vector, ``depth`` rows each."""
+    asked = requests.select(F.col("qid").alias("id"), "values", "nprobe")
     if index.centroids is None:
-        return knn(asked, index.vectors, depth)
+        vectors = asked.select("id", "values")
+        return knn(vectors, index.vectors, depth) if index.codebooks is None else pq_search(vectors, index.vectors, index.codebooks, depth, index.rescore)
+    if index.codebooks is not None:
+        asked = asked.withColumns({"k": F.lit(depth), "rescore": F.lit(index.rescore)})
+        return search_routed(asked, index.vectors, index.centroids, index.codebooks)
     cells = index.centroids.count()
-    wanted = requests.select(
-        "qid", F.when(F.col("nprobe") > 0, F.col("nprobe")).otherwise(default_nprobe(cells)).alias("_n")
-    )
-    most = wanted.agg(F.max("_n")).first()[0] or 1
-    ranked = knn(asked, index.centroids, min(most, cells)).select("qid", F.col("id").alias("cell"), "rank")
-    probes = ranked.join(wanted, "qid").filter(F.col("rank") <= F.col("_n")).select("qid", "cell")
-    return search_probes(asked, index.vectors, checkpointed(probes), depth)
+    probing = F.when(F.col("nprobe") > 0, F.col("nprobe")).otherwise(default_nprobe(cells))
+    asked = asked.withColumn("nprobe", F.least(probing, F.lit(cells)))
+    most = asked.agg(F.max("nprobe")).first()[0] or 1
+    probes = checkpointed(request_probes(asked, index.centroids, most))
+    return search_probes(asked.select("id", "values"), index.vectors, probes, depth)
+
+
+def hybrid_legs(requests: DataFrame, index: SearchIndex) -> list[Leg]:
+    """The vector leg, of requests with a vector, and the text leg."""
+    seen = requests.filter("not _blind")
+    text = requests.select("qid", "text")
+    exact = index.centroids is None and index.codebooks is None
+    vectors = seen.select(F.col("qid").alias("id"), "values")
+    return [
+        Leg(
+            lambda qids, depth: vector_leg(seen.join(qids, "qid", "left_semi"), index, depth),
+            (lambda pairs: vector_places(pairs, vectors, index.vectors)) if exact else None,
+        ),
+        Leg(
+            lambda qids, depth: search_text(text.join(qids, "qid", "left_semi"), index.text, depth),
+            lambda pairs: text_places(pairs, text, index.text),
+        ),
+    ]
 
 
 def search(requests: DataFrame, index: SearchIndex) -> DataFrame:
@@ -57,7 +80,8 @@ def search(requests: DataFrame, index: SearchIndex) -> DataFrame:
     ``requests`` comes from ``validate_queries`` with ``qid`` and ``values``
     (NULL or zero if the text has no known word). A hybrid request without a
     vector falls back to its text leg; a semantic one has nothing left and
-    fails. Rows: ``qid, mode, rank, id, score, score_kind, title, url, text, error``.
+    fails. Rows: ``qid, query, mode, rank, id, score, score_kind, title, url,
+    text, corpus, error``.
     """
     unknown = F.col("values").isNull() | is_zero("values")
     lost = F.when((F.col("mode") == "semantic") & unknown, NO_WORDS)
@@ -65,28 +89,20 @@ def search(requests: DataFrame, index: SearchIndex) -> DataFrame:
     valid = rows.filter("error is null")
     settings = valid.select("qid", "mode", "k")
     most = valid.agg(F.max("k")).first()[0] or 1
-    depth = max(LEG_DEPTH, most)
-
-    near = vector_leg(valid.filter((F.col("mode") != "keyword") & ~F.col("_blind")), index, depth)
-    word = bm25(valid.filter(F.col("mode") != "semantic").select("qid", "text"), index.postings, index.stats, depth, index.frequencies)
-    near = checkpointed(near.join(settings, "qid"))
-    word = checkpointed(word.join(settings, "qid"))
+    of = lambda mode: valid.filter(F.col("mode") == mode)
 
-    columns = ["qid", "mode", "k", "rank", "id", "score"]
-    hybrid = F.col("mode") == "hybrid"
-    semantic = near.filter(F.col("mode") == "semantic").withColumn(
-        "score", display_score(F.col("mode"), F.col("distance"), F.lit(None).cast("double"))
-    )
-    keyword = word.filter(F.col("mode") == "keyword")
-    legs = [leg.filter(hybrid).select("qid", "rank", "id") for leg in (near, word)]
-    fused = rrf(legs, most).join(settings, "qid")
-    hits = semantic.select(*columns).unionByName(keyword.select(*columns)).unionByName(fused.select(*columns))
-    hits = hits.filter(F.col("rank") <= F.col("k")).drop("k")
+    near = vector_leg(of("semantic"), index, most).withColumn("score", display_score(F.lit("semantic"), F.col("distance"), F.lit(None).cast("double")))
+    word = search_text(of("keyword").select("qid", "text"), index.text, most)
+    hybrid = of("hybrid")
+    fused = fuse(hybrid_legs(hybrid, index), hybrid.select("qid"), most)
+    hits = reduce(DataFrame.unionByName, [leg.select("qid", "rank", "id", "score") for leg in (near, word, fused)])
+    hits = checkpointed(hits.join(settings, "qid").filter(F.col("rank") <= F.col("k")).select("qid", "mode", "rank", "id", "score"))
 
     answered = fetch_metadata(hits, index.passages, max_hits=rows.count() * most)
     answered = answered.withColumn("score_kind", score_kind(F.col("mode"))).withColumn("error", F.lit(None).cast("string"))
     failed = rows.filter("error is not null").select("qid", "mode", "error")
-    return answered.unionByName(failed, allowMissingColumns=True)
+    asked = rows.select("qid", F.col("text").alias("query"))
+    return answered.unionByName(failed, allowMissingColumns=True).join(asked, "qid").withColumn("corpus", F.lit(index.corpus))
 
 
 def sweep(

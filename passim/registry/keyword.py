@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from passim.functions.text import query_prefix
-from passim.operators import embedding, fusion, lexical, requests, segments
-from passim.operators.nearest import knn
+from passim.operators import blocks, embedding, fusion, lexical, requests, segments
+from passim.operators.nearest import knn, vector_places
 from passim.plans.search import SearchIndex, search
 from passim.registry import query
 from passim.registry import tables as t
@@ -57,19 +57,50 @@ def text_index(spark, folder, stop_words=None, title_weight=0):
     return spark.read.parquet(postings), spark.read.parquet(stored(spark, ("stats", *key), write_stats))
 
 
+def block_index(spark, folder):
+    """The index with block maxima, stored once."""
+    docs = t.articles(spark, folder)
+    return blocks.open_text_index(spark, stored(spark, ("text_blocks", folder), lambda path: blocks.write_text_index(docs, path)))
+
+
 def bm25_hits(spark, folder, k=10):
-    return lexical.bm25(t.text_queries(spark, folder), *text_index(spark, folder), k)
+    return blocks.search_text(t.text_queries(spark, folder), block_index(spark, folder), k)
 
 
 def ranked(hits):
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("bm25", with_tables("bm25_ranked") + "select qid, rank, id, score from bm25_ranked where rank <= 10")
+BM25_SQL = with_tables("bm25_ranked") + "select qid, rank, id, score from bm25_ranked where rank <= 10"
+
+
+@query("bm25", BM25_SQL)
 def bm25(spark, folder):
     return ranked(bm25_hits(spark, folder))
 
 
+@query("bm25_postings", BM25_SQL)
+def bm25_postings(spark, folder):
+    """The same over a flat table of postings."""
+    return ranked(lexical.bm25(t.text_queries(spark, folder), *text_index(spark, folder), 10))
+
+
+@query(
+    "block_bounds",
+    with_tables("postings", "lengths")
+    + """select term, count(*)::bigint as passages, max(tf)::bigint as most_tf, min(dl)::bigint as least_dl, sum(tf)::bigint as occurrences
+         from postings join lengths using (id) group by term""",
+)
+def block_bounds(spark, folder):
+    """The maxima of all blocks together are those of the collection."""
+    rows = block_index(spark, folder).terms()
+    long = lambda value, name: value.cast("long").alias(name)
+    held = F.aggregate("tfs", F.lit(0).cast("long"), lambda n, x: n + x)
+    return rows.groupBy("term").agg(
+        long(F.sum("passages"), "passages"), long(F.max("most_tf"), "most_tf"), long(F.min("least_dl"), "least_dl"), long(F.sum(held), "occurrences")
+    )
+
+
 @query(
     "bm25_title_weighted",
     with_tables("bm25_ranked")
@@ -141,6 +172,41 @@ def rrf(spark, folder):
     return ranked(fusion.rrf([knn(asked, docs, 100), bm25_hits(spark, folder, 100)], 10))
 
 
+t.SQL["fused_whole"] = t.SQL["fused"].replace(" where rank <= 100", "")
+
+
+def static_legs(spark, folder):
+    docs, asked, _ = static_vectors(spark, folder)
+    text, index = t.text_queries(spark, folder), block_index(spark, folder)
+    some = lambda rows, key, qids: rows.join(qids.withColumnRenamed("qid", key), key, "left_semi")
+    return [
+        fusion.Leg(lambda qids, depth: knn(some(asked, "id", qids), docs, depth), lambda pairs: vector_places(pairs, asked, docs)),
+        fusion.Leg(lambda qids, depth: blocks.search_text(some(text, "qid", qids), index, depth), lambda pairs: blocks.text_places(pairs, text, index)),
+    ]
+
+
+@query("rrf_whole", with_tables("fused_whole") + "select qid, rank, id, score from fused_whole where rank <= 10")
+def rrf_whole(spark, folder):
+    """Fusion of the whole legs, of which a few rows are read."""
+    qids = t.text_queries(spark, folder).select("qid")
+    return ranked(fusion.fuse(static_legs(spark, folder), qids, 10, depth=20))
+
+
+@query(
+    "leg_places",
+    with_tables("static_ranked", "bm25_ranked")
+    + """select 'text' as leg, v.qid, v.id, w.rank from static_ranked v join bm25_ranked w using (qid, id) where v.rank <= 10
+         union all select 'vector', w.qid, w.id, v.rank from bm25_ranked w join static_ranked v using (qid, id) where w.rank <= 10""",
+)
+def leg_places(spark, folder):
+    """The hits of each leg, found in the whole ranking of the other."""
+    asked = t.text_queries(spark, folder).select("qid")
+    vector, text = static_legs(spark, folder)
+    near, word = (checkpointed(leg.top(asked, 10).select("qid", "id")) for leg in (vector, text))
+    named = lambda rows, name: rows.select(F.lit(name).alias("leg"), "qid", "id", "rank")
+    return named(text.places(near), "text").unionByName(named(vector.places(word), "vector"))
+
+
 # Requests: every benchmark text in every mode; one in eight misses a rule.
 t.SQL["requests"] = """
 select item_id * 3 + m as qid, item_id, '  ' || text || ' ' as text,
@@ -191,15 +257,14 @@ group by id, term"""
 t.SQL["asked_vectors"] = t._static_sql("«asked_terms»")
 t.SQL["near"] = """
 select qid, id, d, row_number() over (partition by qid order by d, id) as rank
-from (select q.id as qid, a.id, round(pow(list_distance(q.v, a.v), 2), 9) as d from «asked_vectors» q, «doc_vectors» a)
-qualify rank <= 100"""
-t.SQL["far"] = "select qid, id, score, rank from «bm25_ranked» where rank <= 100"
+from (select q.id as qid, a.id, round(pow(list_distance(q.v, a.v), 2), 9) as d from «asked_vectors» q, «doc_vectors» a)"""
+t.SQL["far"] = "select qid, id, score, rank from «bm25_ranked»"
 t.SQL["mixed"] = """
 select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank
 from (select qid, id, round(sum(1::double / (60 + rank)), 9) as score
       from (select qid, id, rank from «near» union all select qid, id, rank from «far») group by qid, id)"""
 t.SQL["answers"] = """
-select c.qid, c.mode, h.rank, h.id, h.score, h.kind as score_kind, a.title, a.url, null::varchar as error
+select c.qid, c.text as query, c.mode, h.rank, h.id, h.score, h.kind as score_kind, a.title, a.url, null::varchar as error
 from «checked» c join (
   select 'semantic' as mode, qid, id, rank, 1 - d / 2 as score, 'cosine' as kind from «near»
   union all select 'keyword', qid, id, rank, score, 'bm25' from «far»
@@ -207,7 +272,7 @@ from «checked» c join (
 on c.error is null and h.mode = c.mode and h.qid = c.item_id and h.rank <= c.k
 join «articles» a on a.id = h.id
 union all
-select qid, mode, null, null, null, null, null, null, error from «checked» where error is not null"""
+select qid, text, mode, null, null, null, null, null, null, error from «checked» where error is not null"""
 
 
 def answered(spark, folder):
@@ -215,14 +280,13 @@ def answered(spark, folder):
     checked = requests.validate_queries(sent(spark, folder), requests.parse_modes("semantic,keyword,hybrid"))
     prefixed = checked.select(F.col("qid").alias("id"), query_prefix(F.col("text")).alias("text"))
     vectors = embedding.static_embed(prefixed, table, t.TOKEN_DIM).withColumnRenamed("id", "qid")
-    postings, stats = text_index(spark, folder)
-    index = SearchIndex(vectors=docs, passages=t.articles(spark, folder), postings=postings, stats=stats)
+    index = SearchIndex(vectors=docs, passages=t.articles(spark, folder), text=block_index(spark, folder), corpus="documents")
     return search(checked.join(vectors, "qid", "left"), index)
 
 
 @query(
     "search",
-    with_tables("answers") + "select qid, mode, rank, id, round(score + 1e-11, 6) as score, score_kind, title, url, error from answers",
+    with_tables("answers") + "select qid, query, mode, rank, id, round(score + 1e-11, 6) as score, score_kind, title, url, error, 'documents' as corpus from answers",
 )
 def search_requests(spark, folder):
     return ranked(answered(spark, folder)).withColumn("score", F.round(F.col("score") + NUDGE, 6)).drop("text")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from passim.operators import cells, codes, routed
+from passim.plans import collection
 from passim.registry import query
 from passim.registry import tables as t
 from passim.registry.tables import with_tables
@@ -84,3 +85,66 @@ def ivf_pq_exhaustive(spark, folder):
     books = routed.train_residual_pq(rows, centroids, M, KS, iterations=2)
     asked = vectors.withColumns({"k": F.lit(10), "nprobe": F.lit(count), "rescore": F.lit(count)})
     return shown(routed.search_routed(asked, routed.encode_residuals(rows, centroids, books), centroids, books))
+
+
+# A stored collection: version 0 holds every vector, version 1 turns four labels
+# around, and a new session opens it by its path.
+t.SQL["live_rows"] = "select id, v, cell, generation from «stored» qualify row_number() over (partition by id order by generation desc) = 1"
+t.SQL["live_residuals"] = """
+select r.id, r.cell, r.v as exact, list_transform(range(1, 65), lambda i: r.v[i] - c.c[i]) as v
+from «live_rows» r join «centroids» c using (cell)"""
+for _name in ("residual_codes", "code_ranked", "routed_hits"):
+    _live = t.SQL[_name].replace("«residuals»", "«live_residuals»").replace("«residual_codes»", "«live_codes»")
+    _live = _live.replace("«code_ranked»", "«live_ranked»").replace("«vectors» c on", "«live_rows» c on")
+    t.SQL[{"residual_codes": "live_codes", "code_ranked": "live_ranked", "routed_hits": "live_hits"}[_name]] = _live
+
+
+def reopened(spark, folder):
+    path = new_folder(spark, "stored")
+    _, centroids, books = models(spark, folder)
+    created = collection.create_collection(t.vectors(spark, folder), path, centroids, books)
+    created.upsert(t.second_batch(spark, folder), "pos")
+    return collection.open_collection(spark.newSession(), path)
+
+
+def shown_rows(rows):
+    first = F.round(F.get("values", F.lit(0)).cast("double"), 6)
+    return rows.select("id", F.col("cell").cast("int").alias("cell"), F.col("write").cast("int").alias("version"), first.alias("first"))
+
+
+@query("collection_rows", with_tables("live_rows") + "select id, cell, generation as version, round(v[1], 6) as first from live_rows")
+def collection_rows(spark, folder):
+    return shown_rows(reopened(spark, folder).rows())
+
+
+@query("collection_as_of", with_tables("routed") + "select id, cell, 0 as version, round(v[1], 6) as first from routed")
+def collection_as_of(spark, folder):
+    newest = reopened(spark, folder)
+    return shown_rows(collection.open_collection(newest.spark, newest.path, 0).rows())
+
+
+@query("collection_search", with_tables("live_hits") + "select qid, rank, id, round(d + 1e-11, 6) as distance from live_hits where rank <= k")
+def collection_search(spark, folder):
+    """Requests to a collection with replaced rows, by the models that lie beside it."""
+    return shown(reopened(spark, folder).search(requests(spark, folder)))
+
+
+@query(
+    "collection_compacted",
+    with_tables("live_rows")
+    + """, crowded as (select cell from stored group by cell having count(distinct generation) >= 2)
+         select id, cell, case when cell in (select cell from crowded) then 2 else generation end as version, round(v[1], 6) as first
+         from live_rows""",
+)
+def collection_compacted(spark, folder):
+    """Cells of two segments are rewritten; the others keep theirs."""
+    return shown_rows(reopened(spark, folder).compact(2).rows())
+
+
+@query(
+    "collection_deleted",
+    with_tables("live_rows") + "select id, cell, generation as version, round(v[1], 6) as first from live_rows where id % 5 <> 0",
+)
+def collection_deleted(spark, folder):
+    stored = reopened(spark, folder)
+    return shown_rows(stored.delete(t.vectors(spark, folder).filter("id % 5 = 0")).rows())

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +76,31 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _hadoop(spark, path)
+    return files.exists(place)
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, if there is none; of several writers one succeeds."""
+    files, place = _hadoop(spark, path)
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
+def remove_file(spark: SparkSession, path: str) -> bool:
+    """Delete one file; whether there was one."""
+    files, place = _hadoop(spark, path)
+    return files.delete(place, False)
