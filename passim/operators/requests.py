@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from passim.functions.scoring import MODES
 from passim.functions.text import trim_whitespace
+from passim.session import checkpointed
 
 # Request limits.
 MAX_QUERY_BYTES, MAX_K, MAX_NPROBE, DEFAULT_K = 300, 20, 4096, 8
@@ -167,7 +168,8 @@ def two_level_bucket(
     bucket refuses never touch client state. The coarse key is a column (tenant,
     region), so coarse buckets run in parallel.
     """
-    first = token_bucket(events, coarse, coarse_rate, coarse_burst, ts, order)
+    # Decided once; both what follows and the refused read the decisions.
+    first = checkpointed(token_bucket(events, coarse, coarse_rate, coarse_burst, ts, order))
     through = first.filter("admitted").drop("admitted")
     second = token_bucket(through, client, client_rate, client_burst, ts, order)
     refused = first.filter(~F.col("admitted"))

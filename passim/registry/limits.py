@@ -1,6 +1,7 @@
 """Rate limits over the event table."""
 
 from passim.operators.requests import token_bucket, two_level_bucket
+from passim.operators.runs import token_bucket_by_runs
 from passim.registry import query
 from passim.registry import tables as t
 from passim.registry.tables import with_tables
@@ -45,6 +46,24 @@ def limit_users(spark, folder):
     return token_bucket(events(spark, folder), "user_id", RATE, BURST).select("event_id", "user_id", "admitted")
 
 
+# In whole units: 36,000,000,000 to a token, one a microsecond, three tokens at most.
+t.SQL["limited_exactly"] = """
+with recursive numbered as (
+  select event_id, user_id as k, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
+run as (
+  select k, n, event_id, us, 108000000000 - 36000000000 as units, true as admitted from numbered where n = 1
+  union all
+  select x.k, x.n, x.event_id, x.us, if(x.u >= 36000000000, x.u - 36000000000, x.u), x.u >= 36000000000
+  from (select e.k, e.n, e.event_id, e.us, least(108000000000, r.units + (e.us - r.us)) as u
+        from run r join numbered e on e.k = r.k and e.n = r.n + 1) x)
+select event_id, admitted from run"""
+
+
+@query("token_bucket_by_runs", with_tables("limited_exactly") + "select event_id, user_id, admitted from limited_exactly join events using (event_id)")
+def limit_users_by_runs(spark, folder):
+    return token_bucket_by_runs(events(spark, folder), "user_id", RATE, BURST).select("event_id", "user_id", "admitted")
+
+
 @query(
     "two_level_bucket",
     with_tables("coarse", "fine")
