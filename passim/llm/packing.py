@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,15 @@ GROUP_PIECES = 4096
 END_ID = 0
 
 
+# Parts of texts whose ids a task remembers before it forgets older ones, and the longest.
+KEPT_PARTS = 100_000
+KEPT_CHARS = 64
+
+
 class Encoder:
-    """Ids of a byte-level BPE file, each distinct word of a batch encoded once.
+    """Ids of a byte-level BPE file, each distinct word of a slice encoded once.
 
-    Words of Latin script go through the faster library, which has the same
+    Ids of words met lately are remembered over slices. Words of Latin script go through the faster library, which has the same
     vocabulary and word pattern; all else goes through the file's own one.
     """
 
@@ -43,11 +49,19 @@ class Encoder:
         ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def _ids(self, part: str) -> list[int]:
-        if self.OTHER.search(part):
-            return self.exact.encode(part, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(part)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, part: str) -> bytes:
+        known = self.young.get(part)
+        if known is None:
+            known = self.old.get(part)
+            if known is None:
+                ids = self.exact.encode(part, add_special_tokens=False).ids if self.OTHER.search(part) else self.fast.encode_ordinary(part)
+                known = array("I", ids).tobytes()
+            if len(part) <= KEPT_CHARS:
+                self.young[part] = known
+        return known
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one row, and the offsets of the texts.
@@ -64,10 +78,13 @@ class Encoder:
             whole = whole | np.asarray(pc.match_substring(texts, token))
         marked = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), marked)
         offsets, index, distinct = encoded(pc.split_pattern(marked, "\x00"))
-        coded = [np.array(self._ids(part), dtype=np.uint32) for part in distinct]
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        if len(self.young) > KEPT_PARTS:
+            # What was not met since the last change of dictionaries is forgotten.
+            self.old, self.young = self.young, {}
+        coded = [self._ids(part) for part in distinct]
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.concatenate(coded) if coded else np.zeros(0, dtype=np.uint32)
+        flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
         lengths = sizes[index]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = flat[np.repeat(starts[index] - ends[:-1], lengths) + np.arange(ends[-1])]
@@ -83,6 +100,21 @@ class Encoder:
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
 
 
+def _cut(ids: np.ndarray, bounds: np.ndarray, size: int, kind: pa.DataType) -> pa.Array:
+    """The pieces of each document whose ids lie between bounds."""
+    tokens = np.diff(bounds)
+    counts = -(-tokens // size)
+    ends = np.cumsum(counts)
+    document = np.repeat(np.arange(len(tokens)), counts)
+    start = (np.arange(len(document)) - (ends - counts)[document]) * size
+    length = np.minimum(size, tokens[document] - start)
+    first = (4 * (bounds[document] + start)).tolist()
+    data = memoryview(ids.tobytes())
+    sums = [zlib.crc32(data[a : a + n]) for a, n in zip(first, (4 * length).tolist(), strict=True)]
+    entries = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (start, length, sums, tokens[document])], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), entries)
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -102,21 +134,9 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id",
         encoder = Encoder(tokenizer_file)
         kind = pa.struct([(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens")])
         for batch in batches:
-            columns, counts = [[], [], [], []], [0]
             for part in byte_slices(filled(batch)):
                 ids, bounds = encoder.encode(part)
-                for i in range(len(part)):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(END_ID)).astype("<u4")
-                    cuts = range(0, len(own), size)
-                    for c, values in zip(
-                        columns,
-                        (cuts, [min(size, len(own) - s) for s in cuts], [zlib.crc32(own[s : s + size].tobytes()) for s in cuts], [len(own)] * len(cuts)),
-                        strict=True,
-                    ):
-                        c.extend(values)
-                    counts.append(counts[-1] + len(cuts))
-            entries = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(kind))
-            yield pa.ListArray.from_arrays(pa.array(counts, pa.int32()), entries)
+                yield _cut(np.insert(ids, bounds[1:], END_ID).astype("<u4"), bounds + np.arange(len(bounds)), size, kind)
 
     listed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), pieces(F.col(f"`{text}`")).alias("_pieces"))
     return listed.select("doc_id", F.explode_outer("_pieces").alias("p")).select("doc_id", "p.*")
@@ -158,22 +178,24 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS, group_pieces: int = GRO
     """
     spark = pieces.sparkSession
     path = new_folder(spark, "pieces")
-    pieces.drop("sequence_id", "offset").withColumn("_number", F.monotonically_increasing_id()).write.parquet(path)
+    # The caller's columns lie in a structure of their own, so that no name can clash.
+    pieces = pieces.drop("sequence_id", "offset")
+    pieces.select(F.struct("*").alias("piece"), "length", F.monotonically_increasing_id().alias("number")).write.parquet(path)
     stored = spark.read.parquet(path)
     groups = max(1, -(-stored.count() // group_pieces))
-    grouped = stored.withColumn("_group", F.pmod(F.xxhash64("_number"), F.lit(groups)))
+    grouped = stored.select("length", "number", F.pmod(F.xxhash64("number"), F.lit(groups)).alias("group"))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_number")
+        frame = frame.sort_values("number")
         lengths = frame["length"].to_numpy()
         if (lengths > size).any():
             raise ValueError(f"a piece holds more than {size} tokens")
         bins, offsets = first_fit_decreasing(lengths, size)
-        group = frame["_group"].to_numpy()
-        return pd.DataFrame({"_number": frame["_number"], "_group": group, "sequence_id": (group << 32) + bins, "offset": offsets})
+        group = frame["group"].to_numpy()
+        return pd.DataFrame({"number": frame["number"], "sequence_id": (group << 32) + bins, "offset": offsets})
 
-    placed = grouped.select("_group", "_number", "length").groupBy("_group").applyInPandas(fit, "_number long, _group long, sequence_id long, offset long")
-    return stored.join(placed.drop("_group"), "_number").drop("_number")
+    placed = grouped.groupBy("group").applyInPandas(fit, "number long, sequence_id long, offset long")
+    return stored.select("piece", "number").join(placed, "number").select("piece.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", size: int = SEQUENCE_TOKENS) -> DataFrame:
