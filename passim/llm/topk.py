@@ -52,21 +52,15 @@ def _parts(width: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-class Block:
-    """A block of queries, by width of their vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: pa.Array):
-        self.by_width = {v.shape[1]: (i, v) for i, v in _matrices(ids, vectors)}
-
-    def against(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Query ids and vectors beside each part of the batches of the same width."""
-        for batch in batches:
-            for ids, v in _matrices(np.asarray(batch.column(0)), batch.column(1)):
-                if v.shape[1] in self.by_width:
-                    queries, q = self.by_width[v.shape[1]]
-                    step = max(1, BLOCK_SCORES // len(queries))
-                    for s in range(0, len(ids), step):
-                        yield queries, q, ids[s : s + step], v[s : s + step]
+def _against(block: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Query ids and vectors of a block beside each part of the batches of the same width."""
+    for batch in batches:
+        for ids, v in _matrices(np.asarray(batch.column(0)), batch.column(1)):
+            if v.shape[1] in block:
+                queries, q = block[v.shape[1]]
+                step = max(1, BLOCK_SCORES // len(queries))
+                for s in range(0, len(ids), step):
+                    yield queries, q, ids[s : s + step], v[s : s + step]
 
 
 def _gather(sent, k: int):
@@ -76,7 +70,7 @@ def _gather(sent, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for queries, q, ids, v in sent.value.against(batches):
+        for queries, q, ids, v in _against(sent.value, batches):
             lead = []
             for part in _parts(q.shape[1]):
                 partial = _product(v[:, part], q[:, part])
@@ -104,7 +98,7 @@ def _collect(sent, cutoffs, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         least = np.iinfo(np.int64).min
-        for queries, q, ids, v in sent.value.against(batches):
+        for queries, q, ids, v in _against(sent.value, batches):
             cut = np.array([cutoffs.value.get(x, least) for x in queries.tolist()], dtype=np.int64)
             parts = _parts(q.shape[1])
             share = -(-cut // len(parts))
@@ -150,7 +144,9 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block_bytes
     found = None
     for b in range(max(1, blocks)):
         own = dealt.where(F.col("block") == b).select("id", "v").toArrow()
-        block = spark.sparkContext.broadcast(Block(np.asarray(own.column("id").combine_chunks()), own.column("v")))
+        # Plain arrays by width of the vectors: a class would have to be installed where they are read.
+        matrices = _matrices(np.asarray(own.column("id").combine_chunks()), own.column("v"))
+        block = spark.sparkContext.broadcast({v.shape[1]: (ids, v) for ids, v in matrices})
         scores = vectors.select("id", "v").mapInArrow(_gather(block, k), "query_id long, scores array<long>")
         top = Window.partitionBy("query_id").orderBy(F.desc("s"))
         ranked = scores.select("query_id", F.explode("scores").alias("s")).withColumn("r", F.row_number().over(top))
