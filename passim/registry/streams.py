@@ -10,6 +10,7 @@ from passim.registry.index import LIVE_SQL, copies
 from passim.registry.limits import BURST, LIMITED_SQL, RATE, events
 from passim.registry.tables import with_tables
 from passim.session import checkpointed, new_folder
+from passim.streaming.arrival import arrival_token_bucket, keep_state_in_rocksdb
 from passim.streaming.limiter import stream_token_bucket
 from passim.streaming.passages import stream_passages as start_passages
 from passim.streaming.upsert import finish, read_collection, stream_upsert as start_upsert
@@ -20,7 +21,7 @@ def stream_passages(spark, folder):
     """Article files arrive in two lots; the second run resumes the first."""
     base = new_folder(spark, "articles")
     rows = t.articles(spark, folder).select("id", "url", "title", "text", "lang")
-    for lot in (F.col("lang") == "en", F.col("lang") != "en"):
+    for lot in (F.col("lang").eqNullSafe("en"), ~F.col("lang").eqNullSafe("en")):
         rows.filter(lot).drop("lang").repartition(4, "id").write.mode("append").parquet(f"{base}/in")
         start_passages(spark, f"{base}/in", f"{base}/out", f"{base}/state", sep=t.SEP).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("id", "title", "url", "text", "article_id")
@@ -75,3 +76,35 @@ def stream_limit(spark, folder):
             .awaitTermination()
         )
     return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "admitted")
+
+
+# Every third event arrives in a second lot, long after later ones.
+t.SQL["arrived"] = """
+with recursive numbered as (
+  select event_id, user_id as k, epoch_us(ts) as us,
+         row_number() over (partition by user_id order by event_id % 3 = 0, ts, event_id) as n from events),
+run as (
+  select k, n, event_id, us as last, 108000000000 - 36000000000 as units, true as admitted from numbered where n = 1
+  union all
+  select x.k, x.n, x.event_id, x.last, if(x.u >= 36000000000, x.u - 36000000000, x.u), x.u >= 36000000000
+  from (select e.k, e.n, e.event_id, greatest(r.last, e.us) as last, least(108000000000, r.units + greatest(0, e.us - r.last)) as u
+        from run r join numbered e on e.k = r.k and e.n = r.n + 1) x)
+select event_id, admitted from run"""
+
+
+@query("stream_arrivals", with_tables("arrived") + "select event_id, user_id, admitted from arrived join events using (event_id)")
+def stream_arrivals(spark, folder):
+    """Late events are served when they arrive, from what is left."""
+    base, own = new_folder(spark, "arrivals"), spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    keep_state_in_rocksdb(own)
+    rows, late = events(spark, folder), F.col("event_id") % 3 == 0
+    for lot in (~late, late):
+        rows.filter(lot).write.mode("append").parquet(f"{base}/in")
+        arriving = own.readStream.schema(rows.schema).parquet(f"{base}/in")
+        answers = arrival_token_bucket(arriving, "user_id", RATE, BURST, idle_seconds=BURST / RATE)
+        stream = answers.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+        # One batch for a lot: with timers in real time a stream never finds that nothing is left to do.
+        stream.trigger(once=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "admitted")
