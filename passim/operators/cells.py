@@ -14,12 +14,15 @@ from passim.operators.nearest import (
     arrow_matrix,
     bounded_block,
     bounded_pairs,
+    budget_rows,
     merge_best,
     pair_blocks,
     result_schema,
     scan_with_queries,
+    vector_width,
 )
-from passim.session import BROADCAST_BYTES, checkpointed
+from passim.operators.ranking import top_k
+from passim.session import BROADCAST_BYTES, checkpointed, new_folder
 
 # Sample size and guidance for training.
 TRAIN_SAMPLE = 250_000
@@ -108,15 +111,18 @@ def partial_sums(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray) -> Dat
     )
 
 
-def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+def lloyd_step(vectors: DataFrame, centroids: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
     """One k-means step: assign, then average. An empty cell keeps its centroid.
 
-    Centroids must fit the broadcast budget.
+    Centroids beyond the budget meet the vectors block by block, and the sums
+    are made by Spark.
     """
-    block = bounded_block(centroids)
+    block = bounded_block(centroids, budget)
     if block is None:
-        raise ValueError("centroids exceed the broadcast budget; train fewer cells")
-    sums = partial_sums(vectors, arrow_ids(block.ids), block.matrix)
+        homed = assign_cells(vectors.select("id", "values"), centroids, budget).withColumnRenamed("id", "_row").withColumnRenamed("cell", "id")
+        sums = homed.groupBy("id").agg(F.count("*").alias("n"), sum_vector(F.col("values"), vector_width(centroids)).alias("total"))
+    else:
+        sums = partial_sums(vectors, arrow_ids(block.ids), block.matrix)
     moved = F.transform("total", lambda x: F.round(x / F.col("n"), CENTROID_DECIMALS))
     return centroids.join(sums, "id", "left").select(
         "id", F.when(F.col("n").isNull(), F.col("values")).otherwise(moved).alias("values")
@@ -134,19 +140,22 @@ def closest(data: np.ndarray, matrix: np.ndarray, names: np.ndarray) -> np.ndarr
     return names[order][np.concatenate(out)]
 
 
-def train_cells(vectors: DataFrame, nlist: int, iterations: int = ITERATIONS, sample: int | None = None) -> DataFrame:
+def train_cells(
+    vectors: DataFrame, nlist: int, iterations: int = ITERATIONS, sample: int | None = None, budget: int = BROADCAST_BYTES
+) -> DataFrame:
     """k-means centroids ``id, values`` over all rows, or over ``sample`` of them.
 
     The start is the ``nlist`` lowest rows in hash order. The loop carries only
-    the model; the sample is cut once and reused.
+    the model; the sample is cut once and reused. A model beyond the budget is
+    trained in two levels, see :func:`train_two_levels`.
     """
     spark = vectors.sparkSession
     rows = vectors.select("id", "values")
     chosen = checkpointed(rows if sample is None else train_sample(rows, max(sample, nlist)))
+    if nlist > budget_rows(vector_width(chosen), budget):
+        return train_two_levels(chosen, nlist, iterations, budget)
     start = chosen.orderBy(*hash_order(chosen)).limit(nlist).select("values")
     matrix = arrow_matrix(start.toArrow().column("values"))
-    if 8 * matrix.size > BROADCAST_BYTES:
-        raise ValueError("centroids exceed the broadcast budget; train fewer cells")
     for _ in range(iterations):
         sums = partial_sums(chosen, np.arange(len(matrix)), matrix).toArrow()
         moved, at = matrix.copy(), sums.column("id").to_numpy()
@@ -159,6 +168,94 @@ def train_cells(vectors: DataFrame, nlist: int, iterations: int = ITERATIONS, sa
     return centroid_frame(spark, matrix)
 
 
+def shares(counts: list[int], total: int) -> list[int]:
+    """``total`` dealt in proportion to the counts: at least one each, at most the count itself."""
+    out = [1] * len(counts)
+    left = min(total, sum(counts)) - len(counts)
+    exact = [left * n / max(1, sum(counts)) for n in counts]
+    out = [min(n, 1 + int(x)) for n, x in zip(counts, exact, strict=True)]
+    # What rounding left goes to those that lost most by it and have rows left.
+    order = sorted(range(len(counts)), key=lambda i: (out[i] - 1 - exact[i], i))
+    rest = min(total, sum(counts)) - sum(out)
+    while rest > 0:
+        for i in order:
+            if rest > 0 and out[i] < counts[i]:
+                out[i], rest = out[i] + 1, rest - 1
+    return out
+
+
+def train_two_levels(vectors: DataFrame, nlist: int, iterations: int = ITERATIONS, budget: int = BROADCAST_BYTES) -> DataFrame:
+    """``nlist`` centroids, of which no task and no driver ever holds all.
+
+    The square root of ``nlist`` coarse cells are trained first, and the rows
+    stored by coarse cell. Each coarse cell then gets fine centroids in proportion
+    to its rows, trained among these alone: as many coarse cells at a time as
+    have fine centroids within the budget, in scans that open only their rows.
+    The fine centroids are stored as they are made.
+    """
+    spark, width = vectors.sparkSession, vector_width(vectors)
+    fit = max(1, budget_rows(width, budget))
+    coarse = train_cells(vectors, max(1, min(fit, round(nlist**0.5))), iterations, budget=budget)
+    base = new_folder(spark, "coarse")
+    assign_cells(vectors.select("id", "values"), coarse, budget).hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()
+    wanted = shares([r["n"] for r in sizes], nlist)
+    first, batch = 0, []
+    for i, (row, count) in enumerate(zip(sizes, wanted, strict=True)):
+        if count > fit and len(sizes) > 1:
+            # A coarse cell too large for one turn is cut in two levels itself.
+            inner = train_two_levels(rows.filter(F.col("cell") == row["cell"]).drop("cell"), count, iterations, budget)
+            inner.withColumn("id", (F.col("id") + first).cast("int")).write.mode("append").parquet(f"{base}/centroids")
+            first += count
+        else:
+            batch.append((row["cell"], count))
+        full = sum(n for _, n in batch) + (wanted[i + 1] if i + 1 < len(wanted) else 0) > fit
+        if batch and (full or i + 1 == len(sizes)):
+            _train_fine(rows, batch, first, iterations).write.mode("append").parquet(f"{base}/centroids")
+            first, batch = first + sum(n for _, n in batch), []
+    return spark.read.parquet(f"{base}/centroids")
+
+
+def _train_fine(rows: DataFrame, batch: list[tuple[int, int]], first: int, iterations: int) -> DataFrame:
+    """Centroids ``id, values``, numbered from ``first``, of some coarse cells, each trained on its own rows."""
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame(batch, "cell int, _n int")
+    own = checkpointed(rows.filter(F.col("cell").isin([cell for cell, _ in batch])))
+    ranked = top_k(own.join(F.broadcast(wanted), "cell"), ["cell"], hash_order(own), max(n for _, n in batch), "_rank")
+    start = ranked.filter(F.col("_rank") <= F.col("_n")).orderBy("cell", "_rank").select("cell", "values").toArrow()
+    cells, matrix = start.column("cell").to_numpy().astype(np.int64), arrow_matrix(start.column("values"))
+    for _ in range(iterations):
+        shared = spark.sparkContext.broadcast((cells, matrix))
+
+        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            cells, means = shared.value
+            totals, counts = np.zeros(means.shape), np.zeros(len(means), dtype=np.int64)
+            for part in batches:
+                if not part.num_rows:
+                    continue
+                data, home = arrow_matrix(part.column("values")), part.column("cell").to_numpy(zero_copy_only=False)
+                for cell in np.unique(home):
+                    low, high = np.searchsorted(cells, [cell, cell + 1])
+                    here = data[home == cell]
+                    at = closest(here, means[low:high], np.arange(low, high))
+                    np.add.at(totals, at, here)
+                    counts += np.bincount(at, minlength=len(means))
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seen), pa.array(counts[seen]), pa.array(totals[seen].tolist(), type=pa.list_(pa.float64()))], names=["id", "n", "total"]
+            )
+
+        sums = own.select("values", "cell").mapInArrow(partial, "id long, n long, total array<double>").groupBy("id")
+        sums = sums.agg(F.sum("n").alias("n"), sum_vector(F.col("total"), matrix.shape[1]).alias("total")).toArrow()
+        moved, at = matrix.copy(), sums.column("id").to_numpy()
+        moved[at] = np.round(arrow_matrix(sums.column("total")) / sums.column("n").to_numpy()[:, None], CENTROID_DECIMALS)
+        if np.array_equal(moved, matrix):
+            break
+        matrix = moved
+    return centroid_frame(spark, matrix).withColumn("id", (F.col("id") + first).cast("int"))
+
+
 def assign_cells(vectors: DataFrame, centroids: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``cell``: the nearest centroid of each record, with no shuffle.
 

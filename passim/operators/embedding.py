@@ -1,18 +1,21 @@
 """Turning text into vectors."""
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passim.functions.rows import explode_rows
-from passim.functions.text import token_counts, tokenize
-from passim.functions.vector import l2_normalize
-from passim.operators.passages import BATCH_ROWS
-from passim.session import broadcast_within
+from passim.functions.text import tokenize
+from passim.functions.vector import l2_normalize, sum_vector
+from passim.operators.nearest import arrow_matrix
+from passim.operators.passages import BATCH_ROWS, SLICE_ROWS, WINDOW_ROWS, length_buckets
+from passim.session import BROADCAST_BYTES
 
 # An encoder factory runs once per partition and returns the encoder, which
 # maps a list of texts to a ``len(texts) x dim`` array.
@@ -48,24 +51,113 @@ def embed(df: DataFrame, factory: Callable[[], Encoder], batch: int = BATCH_ROWS
     return df.mapInArrow(run, schema)
 
 
-def static_embed(df: DataFrame, token_table: DataFrame, dim: int, text: str = "text") -> DataFrame:
+def embed_windows(
+    df: DataFrame,
+    factory: Callable[[], Encoder],
+    ord: str,
+    text: str = "text",
+    window: int = WINDOW_ROWS,
+    slice_rows: int = SLICE_ROWS,
+    batch: int = BATCH_ROWS,
+) -> DataFrame:
+    """Add ``values``, encoding the batches of ``length_buckets``.
+
+    ``df`` has ``id, shard``, the order ``ord`` (unique in a shard) and the text.
+    Windows of a shard, sorted by length and cut into slices, become ranges of
+    the shuffle: a slice lies whole in one task, in batches, so that a batch
+    holds texts of nearly one length and pads as ``padding_report`` says.
+    """
+    buckets = length_buckets(df, ord, F.length(F.coalesce(F.col(text), F.lit(""))), window, slice_rows, batch)
+    places = buckets.select("shard", ord, "window_no", "slice_no", "batch_no")
+    keys = ["shard", "window_no", "slice_no"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = df.columns
+    rows = df.join(places, ["shard", ord]).repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "batch_no")
+    schema = T.StructType([*df.schema.fields, T.StructField("values", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, held = None, None
+        for rows in chain(batches, [None]):
+            if rows is not None:
+                table = pa.Table.from_batches([rows])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None or not held.num_rows:
+                continue
+            encoder = encoder or factory()
+            table = held.combine_chunks()
+            mark = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in (*keys, "batch_no")]
+            mark = np.stack([np.asarray(m.indices) for m in mark])
+            edges = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+            # The last batch may go on in the next rows.
+            stop = len(edges) - (1 if rows is None else 2)
+            for low, high in zip(edges[:stop], edges[1 : stop + 1], strict=True):
+                part = table.slice(low, high - low).select(columns)
+                vectors = encoder([t or "" for t in part.column(text).to_pylist()])
+                column = pa.array([np.asarray(v, dtype=np.float32) for v in vectors], type=pa.list_(pa.float32()))
+                yield from part.append_column("values", column).combine_chunks().to_batches()
+            held = table.slice(edges[stop])
+
+    return rows.mapInArrow(run, schema)
+
+
+def static_embed(df: DataFrame, token_table: DataFrame, dim: int, text: str = "text", budget: int = BROADCAST_BYTES) -> DataFrame:
     """``id, values``: the normalized mean of a text's token vectors.
 
     ``token_table`` has ``token, vec``. Unknown tokens drop out, and a text
-    without known tokens has no row. Tokens are counted inside the row. A token
-    table within the budget is then joined where the text lies, and the only
-    shuffle carries one sum per text; a larger one is joined by shuffle, where
-    a frequent token moves once per text.
+    without known tokens has no row. The table is sent out and each text's
+    tokens are looked up and added where the text lies: no row per token, and no
+    shuffle. A table beyond the budget goes out in blocks; each block adds its
+    tokens' sum to every text, and the sums of a text meet by ``id``.
     """
-    table = broadcast_within(token_table, token_table.count(), 8 * dim + 64)
-    counted = explode_rows(df, ["id"], token_counts(tokenize(F.col(text))), "e")
-    counted = counted.select("id", F.col("e.term").alias("token"), F.col("e.tf").cast("double").alias("tf"))
-    sums = [F.sum(F.col("tf") * F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(dim)]
-    summed = counted.join(table.select("token", "vec"), "token").groupBy("id").agg(F.sum("tf").alias("_n"), *sums)
-    mean = F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(dim)])
+    spark, rows = df.sparkSession, df.select("id", tokenize(F.col(text)).alias("tokens"))
+    blocks = max(1, -(-token_table.count() * (8 * dim + 64) // budget))
+    summed = None
+    for block in range(blocks):
+        own = token_table if blocks == 1 else token_table.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == block)
+        table = own.select("token", "vec").toArrow()
+        sent = spark.sparkContext.broadcast((table.column("token").combine_chunks(), arrow_matrix(table.column("vec"))))
+        part = rows.select("id", _token_sums(sent, dim)(F.col("tokens")).alias("_s")).filter("_s.n > 0").select("id", "_s.n", "_s.total")
+        summed = part if summed is None else summed.unionByName(part)
+    if blocks > 1:
+        summed = summed.groupBy("id").agg(F.sum("n").alias("n"), sum_vector(F.col("total"), dim).alias("total"))
+    mean = F.transform("total", lambda x: x / F.col("n"))
     return summed.select("id", mean.alias("_mean")).select("id", l2_normalize(F.col("_mean")).alias("values"))
 
 
+# Token vectors that a task adds up at once, in numbers.
+_HELD_NUMBERS = 4_000_000
+
+
+def _token_sums(sent, dim: int):
+    """Number and sum of the known tokens of each list."""
+
+    @F.arrow_udf("n long, total array<double>")
+    def add(lists: pa.Array) -> pa.Array:
+        names, matrix = sent.value
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+        coded = lists.flatten().dictionary_encode()
+        place = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=names), -1), dtype=np.int64)
+        place = place[np.asarray(coded.indices)] if len(place) else np.zeros(0, dtype=np.int64)
+        row = np.repeat(np.arange(len(lists)), sizes)[place >= 0]
+        place = place[place >= 0]
+        counts = np.bincount(row, minlength=len(lists))
+        total = np.zeros((len(lists), dim))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        step, low = max(1, _HELD_NUMBERS // max(1, dim)), 0
+        while low < len(place):
+            # Cut where a text ends, if it ends within reach.
+            high = int(ends[np.searchsorted(ends, low + step, side="right") - 1])
+            high = high if high > low else min(low + step, len(place))
+            some = row[low:high]
+            starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+            total[some[starts]] += np.add.reduceat(matrix[place[low:high]], starts, axis=0)
+            low = high
+        offsets = pa.array(np.arange(0, total.size + 1, dim, dtype=np.int32))
+        return pa.StructArray.from_arrays([pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))], ["n", "total"])
+
+    return add
+
+
 def golden_check(encoded: DataFrame, goldens: DataFrame, eps: float = 1e-5) -> DataFrame:
     """Largest component gap to each stored encoding, and whether it is below ``eps``.
 

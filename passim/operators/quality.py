@@ -1,8 +1,12 @@
 """Scoring result lists against judged queries."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passim.operators.ranking import exact_median
+
 # The cut-offs of the published evaluation.
 CUTOFFS = (1, 3, 10)
 LOW_RANK, TITLE_CHARS = 3, 40
@@ -40,7 +44,13 @@ def mrr(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def latency_summary(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Exact median and maximum."""
-    return df.groupBy(*(by or [])).agg(F.median(column).alias("p50"), F.max(column).alias("max"))
+    medians = exact_median(df, by or [], column).withColumnRenamed("median", "p50")
+    if not by:
+        return df.agg(F.max(column).alias("max")).select(medians.select("p50").scalar().alias("p50"), "max")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
+    most = df.groupBy(*by).agg(F.max(column).alias("max"))
+    renamed = medians.select(*[F.col(k).alias(f"_{k}") for k in by], "p50")
+    return most.join(renamed, same, "left").select(*by, "p50", "max")
 
 
 def misses(ranks: DataFrame) -> DataFrame:
@@ -76,3 +86,28 @@ def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
         .groupBy("qid")
         .agg((F.count("found") / F.count("*")).alias("recall"))
     )
+
+
+def eval_document(ranks: DataFrame, latencies: DataFrame, base: str, mode: str, column: str = "ms") -> DataFrame:
+    """One row, the document of an evaluation: ``base, mode, n, hit_at, mrr, latency_p50_ms, rows``.
+
+    ``ranks`` has ``qid, rank, top``, a row for each judged query; ``rows`` lists
+    them in the order of ``qid`` as ``q, rank, top``.
+    """
+    hits = F.struct(*[F.count(F.when(F.col("rank") <= n, 1)).alias(str(n)) for n in CUTOFFS])
+    reciprocal = F.coalesce(1.0 / F.col("rank"), F.lit(0.0))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("qid").alias("q"), "rank", "top")))
+    one = ranks.agg(F.count("*").alias("n"), hits.alias("hit_at"), F.round(F.avg(reciprocal), 4).alias("mrr"), listed.alias("rows"))
+    median = F.round(latency_summary(latencies, column).select("p50").scalar(), 1)
+    return one.select(F.lit(base).alias("base"), F.lit(mode).alias("mode"), "n", "hit_at", "mrr", median.alias("latency_p50_ms"), "rows")
+
+
+def sweep_document(swept: DataFrame, base: str, mode: str) -> DataFrame:
+    """One row, the document of a sweep: ``base, mode, settings``, by ``nprobe``.
+
+    ``swept`` comes from ``plans.search.sweep``.
+    """
+    hits = F.struct(*[F.col(f"hit_at_{n}").alias(str(n)) for n in CUTOFFS])
+    each = F.struct("nprobe", "n", hits.alias("hit_at"), F.round("mrr", 4).alias("mrr"), "avg_reads", "avg_vectors", "p50_vectors")
+    listed = F.array_sort(F.collect_list(each))
+    return swept.agg(listed.alias("settings")).select(F.lit(base).alias("base"), F.lit(mode).alias("mode"), "settings")

@@ -5,6 +5,8 @@ either a JSON-lines file ``passages-*.jsonl`` or, as Spark writes it, a folder
 ``shard=<name>`` of part files.
 """
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,7 +69,10 @@ def shard_paths(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     )
     found = {row["shard"]: row["is_folder"] for row in names.distinct().collect()}
     manifest = read_manifest(spark, folder)
-    listed = (manifest.first()["shards"] or []) if manifest is not None else []
+    row = manifest.first() if manifest is not None else None
+    counts = (row["shard_stats"] or {}) if row else {}
+    # A shard that is recorded as empty has no file.
+    listed = [name for name in (row["shards"] or []) if name in found or name not in counts or counts[name]["passages"]] if row else []
     if not listed:
         listed = sorted(name for name in found if name != "passages.jsonl") or list(found)
     if not listed:
@@ -88,19 +93,28 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 _RECORD = T.StructType([T.StructField(f, T.StringType()) for f in (*PASSAGE_FIELDS, "_corrupt_record")])
 
 
+def _no_text(json: Column) -> Column:
+    """Whether a field of the record holds something other than text or null."""
+    value = F.try_parse_json(json)
+    kinds = [F.schema_of_variant(F.try_variant_get(value, f"$.{f}", "variant")) for f in PASSAGE_FIELDS]
+    wrong = [F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False)) for kind in kinds]
+    return reduce(lambda a, b: a | b, wrong)
+
+
 def _parsed(lines: DataFrame) -> DataFrame:
     """Lines that are not blank, with ``rec`` and ``bad``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     rows = lines.filter(~F.col("value").rlike(r"^\s*$")).withColumn("rec", F.from_json("value", _RECORD, options))
     broken = F.col("rec").isNull() | F.col("rec._corrupt_record").isNotNull()
     no_object = ~F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$")
-    return rows.withColumn("bad", broken | no_object | (F.octet_length("value") > MAX_LINE_BYTES))
+    return rows.withColumn("bad", broken | no_object | (F.octet_length("value") > MAX_LINE_BYTES) | _no_text(F.col("value")))
 
 
 def read_passages(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``id, title, url, text, shard``. Blank lines are skipped, missing keys are
-    empty, and any bad line fails the job naming its file and text
-    (:func:`bad_records` finds the line number)."""
+    empty, and any bad line fails the job naming its file and text. A field that
+    is neither text nor null makes a line bad. :func:`check_passages` names the
+    line's number."""
     rows = _parsed(_lines(spark, paths))
     failure = F.raise_error(
         F.concat(F.lit("bad passage line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))
@@ -136,6 +150,17 @@ def bad_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+def check_passages(spark: SparkSession, paths: list[str]) -> None:
+    """Fail with the shard, number and text of the first bad line, if there is one.
+
+    A pass of its own, for a load that is to fail before it starts.
+    """
+    first = bad_records(spark, paths).orderBy("shard", "line_no").limit(1).collect()
+    if first:
+        row = first[0]
+        raise ValueError(f"{row['shard']}:{row['line_no']}: bad passage line: {row['line'][:200]}")
+
+
 def write_passages(passages: DataFrame, folder: str) -> None:
     """One output folder per shard, published by the commit of the write.
 
@@ -196,6 +221,8 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed, non-blank lines; a missing file gives no rows."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "text string")
     return lines.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("text")).filter("text <> ''")

@@ -46,6 +46,11 @@ def write_eval(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_document(document: DataFrame, path: str) -> None:
+    """A document of one row (``quality.eval_document``, ``quality.sweep_document``) as one JSON file."""
+    document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_token_table(tokens: DataFrame, path: str) -> None:
     """Store ``token, vec`` with dense ``token_id`` in token order.
 

@@ -80,3 +80,43 @@ def test_fusion_and_comparison(spark):
     hybrid = {r["id"]: (r["semantic_rank"], r["keyword_rank"]) for r in rows if r["mode"] == "hybrid"}
     assert hybrid == {"c": (3, 1), "a": (1, None)}
     assert all(r["rank"] <= 2 for r in rows) and len(rows) == 6
+
+
+def test_exact_median_narrows_to_the_middle(spark):
+    import random
+    import statistics
+
+    from passim.operators.ranking import exact_median
+
+    rng, rows = random.Random(8), []
+    groups = {"even": 4000, "odd": 3001, "one": 1, "two": 2}
+    for name, n in groups.items():
+        rows += [(name, rng.choice([1e-9, 1.0, 5e4]) * rng.random()) for _ in range(n)]
+    rows += [("same", 2.5)] * 500 + [("far", float("-inf")), ("far", 3.0), ("far", 1e308), ("far", -1e308), ("far", float("inf"))]
+    rows += [("none", None), (None, 7.0), (None, 8.0), ("odd", None)]
+    found = {r["g"]: r["median"] for r in exact_median(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v").collect()}
+    wanted = {}
+    for g, v in rows:
+        if v is not None:
+            wanted.setdefault(g, []).append(v)
+    assert found == {g: statistics.median(v) for g, v in wanted.items()}
+    grouped = quality.latency_summary(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()
+    assert {r["g"]: r["p50"] for r in grouped} == found | {"none": None}
+
+
+def test_documents(spark, tmp_path):
+    import json
+
+    from passim.sources.vectors import write_document
+
+    ranks = spark.createDataFrame([(3, None, "-"), (1, 1, "a"), (2, 4, "b")], "qid int, rank int, top string")
+    times = spark.createDataFrame([(5.0,), (7.26,), (9.0,)], "ms double")
+    write_document(quality.eval_document(ranks, times, "local", "hybrid"), str(tmp_path / "eval"))
+    (file,) = (tmp_path / "eval").glob("*.json")
+    rows = [{"q": 1, "rank": 1, "top": "a"}, {"q": 2, "rank": 4, "top": "b"}, {"q": 3, "rank": None, "top": "-"}]
+    assert json.loads(file.read_text()) == {"base": "local", "mode": "hybrid", "n": 3, "hit_at": {"1": 1, "3": 1, "10": 2}, "mrr": 0.4167, "latency_p50_ms": 7.3, "rows": rows}
+    kind = "nprobe int, n long, hit_at_1 long, hit_at_3 long, hit_at_10 long, mrr double, avg_reads double, avg_vectors double, p50_vectors double"
+    swept = spark.createDataFrame([(8, 3, 1, 2, 3, 0.51234, 2.0, 9.0, 8.0), (2, 3, 0, 1, 1, 0.1, 1.0, 4.0, 4.0)], kind)
+    document = quality.sweep_document(swept, "local", "semantic").first()
+    assert [s["nprobe"] for s in document["settings"]] == [2, 8] and document["settings"][1]["mrr"] == 0.5123
+    assert document["settings"][1]["hit_at"].asDict() == {"1": 1, "3": 2, "10": 3}

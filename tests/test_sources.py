@@ -50,7 +50,7 @@ def test_blank_lines_and_missing_keys(spark, tmp_path):
     assert [(r["id"], r["title"], r["text"]) for r in rows] == [("a", "T", "x"), ("b", "", "")]
 
 
-@pytest.mark.parametrize("bad", ["not json", "[1]", '{"id": "x"', '"text"'])
+@pytest.mark.parametrize("bad", ["not json", "[1]", '{"id": "x"', '"text"', '{"id": 7}', '{"id": "x", "text": ["a"]}', '{"title": true}'])
 def test_bad_line_is_named(spark, tmp_path, bad):
     path = tmp_path / "passages.jsonl"
     lines(path, record("a"), bad)
@@ -141,3 +141,39 @@ def test_build_limit_carries_over(spark, tmp_path):
     again = build_passages(spark, everything, folder, "d", limit=11).first()
     assert again["passages"] == 12
     assert shards.scan_shards(spark, folder).agg(F.count_distinct("id")).first()[0] == 12
+
+
+def test_check_names_the_line(spark, tmp_path):
+    path = tmp_path / "passages.jsonl"
+    lines(path, record("a"), "", '{"id": null, "other": 5}', '{"id": 3}', "junk")
+    with pytest.raises(ValueError, match=r"passages.jsonl:4: bad passage line: .*3"):
+        shards.check_passages(spark, [str(path)])
+    lines(path, record("a"), '{"id": null, "other": 5}')
+    shards.check_passages(spark, [str(path)])
+    assert sorted(r["id"] for r in shards.read_passages(spark, [str(path)]).collect()) == ["", "a"]
+
+
+def test_interrupted_build_goes_on_after_its_last_group(spark, tmp_path, monkeypatch):
+    from passim.plans import build
+
+    folder = str(tmp_path / "data")
+    everything = articles(spark, 5, 2).withColumn("text", F.when(F.col("shard") == "s1", "short").otherwise(F.col("text")))
+    write, calls = shards.write_passages, []
+
+    def fails_at_third(rows, target):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        write(rows, target)
+
+    monkeypatch.setattr(build.shards, "write_passages", fails_at_third)
+    with pytest.raises(RuntimeError, match="lost"):
+        build_passages(spark, everything, folder, "d", commit_shards=2)
+    part = shards.read_manifest(spark, folder).first()
+    assert part["shards"] == ["s0", "s1", "s2", "s3"] and part["passages"] == 12 and part["shard_stats"]["s1"]["passages"] == 0
+    kept = {p.name for p in (tmp_path / "data" / "shard=s0").iterdir()}
+    done = build_passages(spark, everything, folder, "d", commit_shards=2).first()
+    assert done["shards"] == ["s0", "s1", "s2", "s3", "s4"] and done["passages"] == 16 and len(calls) == 4
+    assert {p.name for p in (tmp_path / "data" / "shard=s0").iterdir()} == kept
+    assert shards.scan_shards(spark, folder).count() == 16
+    assert build_passages(spark, everything, folder, "d").first()["version"] == done["version"] and len(calls) == 4

@@ -154,3 +154,70 @@ def test_encoder_is_built_once_per_task_and_batches_by_length(spark):
     out = {r["id"]: r["values"] for r in embedding.embed(rows, factory, batch=4).collect()}
     assert {i: v[0] for i, v in out.items()} == {i: i * 37 % 64 for i in range(64)}
     assert max(v[1] for v in out.values()) == 16
+
+
+def test_two_levels_train_beyond_the_budget(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(24, 6)) * 20
+    matrix = np.concatenate([centres[rng.integers(0, 24, 500)], np.repeat(centres[:1], 300, axis=0)]) + rng.normal(size=(800, 6))
+    rows = frame(spark, matrix)
+    # Five centroids fit; one group holds more than a third of all rows.
+    budget = 5 * (8 * 6 + 64)
+    model = cells.train_cells(rows, 24, iterations=4, budget=budget)
+    table = model.orderBy("id").collect()
+    assert [r["id"] for r in table] == list(range(24))
+    index = cells.assign_cells(rows, model, budget)
+    assert index.count() == 800
+    means = np.array([r["values"] for r in table])
+    error = lambda m: float(((matrix[:, None, :] - m[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    coarse = np.array([r["values"] for r in cells.train_cells(rows, 5, iterations=4).collect()])
+    assert error(means) < error(coarse) / 2
+
+
+def test_shares_are_whole_and_bounded():
+    assert cells.shares([10, 10, 10], 9) == [3, 3, 3]
+    assert sum(cells.shares([1000, 3, 1], 40)) == 40 and cells.shares([1000, 3, 1], 40)[2] == 1
+    assert cells.shares([2, 1], 9) == [2, 1]
+
+
+def test_step_beyond_the_budget_is_the_same(spark, data):
+    rows, model = frame(spark, data), frame(spark, data[:40:4]).withColumn("id", F.col("id").cast("int"))
+    table = lambda df: {r["id"]: [round(x, 7) for x in r["values"]] for r in df.collect()}
+    assert table(cells.lloyd_step(rows, model)) == table(cells.lloyd_step(rows, model, budget=500))
+
+
+def test_static_vectors_of_any_width_in_blocks(spark):
+    rng, dim = np.random.default_rng(6), 256
+    tokens = {f"t{i}": rng.normal(size=dim) for i in range(60)}
+    texts = [" ".join(rng.choice([*tokens, "unknown"], rng.integers(0, 50))) for _ in range(80)] + ["", None, "unknown", "T1 t1, t2!"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    table = spark.createDataFrame([(t, v.tolist()) for t, v in tokens.items()], "token string, vec array<double>")
+    wanted = {}
+    for i, text in enumerate(texts):
+        known = [tokens[t] for t in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split() if t in tokens]
+        if known:
+            mean = np.mean(known, axis=0)
+            wanted[i] = mean / np.linalg.norm(mean)
+    for budget in (1 << 24, 20 * (8 * dim + 64)):
+        found = {r["id"]: r["values"] for r in embedding.static_embed(df, table, dim, budget=budget).collect()}
+        assert set(found) == set(wanted)
+        assert all(np.allclose(found[i], wanted[i], atol=1e-12) for i in wanted)
+    plan = embedding.static_embed(df, table, dim)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_windows_pad_as_reported(spark):
+    from passim.operators.passages import length_buckets, padding_report
+
+    rng = np.random.default_rng(7)
+    rows = [(f"{s}-{i}", s, i, "x" * int(rng.integers(0, 300)) or None) for s in ("a", "b") for i in range(700)]
+    df = spark.createDataFrame(rows, "id string, shard string, ord long, text string").repartition(5)
+
+    def factory():
+        return lambda texts: np.array([[max(map(len, texts)), len(t), len(texts)] for t in texts], dtype=np.float32)
+
+    found = embedding.embed_windows(df, factory, "ord", window=256, slice_rows=64, batch=16).collect()
+    assert {(r["id"], len(r["text"] or "")) for r in found} == {(i, len(t or "")) for i, _, _, t in rows}
+    assert all(r["values"][1] == len(r["text"] or "") for r in found) and len(found) == 1400
+    report = padding_report(length_buckets(df, "ord", F.length(F.coalesce("text", F.lit(""))), 256, 64, 16), 16).collect()
+    assert {r["shard"]: r["sorted_length"] for r in report} == {s: sum(r["values"][0] for r in found if r["shard"] == s) for s in "ab"}
