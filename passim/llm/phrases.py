@@ -5,10 +5,10 @@ to the longest phrase asked for, padded with nulls. A phrase occurs as often as
 windows begin with it, so only windows are counted, and ROLLUP sums them to ever
 shorter prefixes.
 
-Phrases below a least count are never needed, nor is any phrase that holds a
-pair of words below it. Pairs are counted by hash beforehand, in a table of fixed
-size; a pair whose bucket stays below the least count ends the windows that
-would go over it. Buckets that pairs share only let more through.
+Phrases below a least count are never needed, nor is any phrase that holds one
+below it. Words and pairs, and then triples of common pairs, are counted by hash
+beforehand, in tables of fixed size; where the bucket of one stays below the least
+count, no window goes over it. Buckets that several share only let more through.
 """
 
 from collections.abc import Iterator
@@ -28,11 +28,14 @@ SCORE_SCALE = 2_000_000
 # A phrase goes if a longer one is this much (in hundredths) as common.
 COVERED = 80
 UNKNOWN = "und"
-# Buckets for pairs: one bit of each (8 MB) is sent to the tasks.
+# Orders that are counted by hash, in two passes, and the buckets of each: one
+# bit of a bucket (8 MB for each order) is sent to the tasks.
+PASSES = ((1, 2), (3,))
 BUCKET_BITS = 26
 BLOCK_BITS = 12
-# Pairs that a task counts at once.
-HELD_PAIRS = 1 << 22
+# Windows that a task counts by hash at once, and bytes of texts that it works on.
+HELD_WINDOWS = 1 << 21
+PART_BYTES = SLICE_BYTES // 4
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SPACES, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -45,19 +48,19 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 def _parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes of some texts, where texts begin among them, and which they are; a long text is cut behind breaks."""
     at = 0
-    for part in byte_slices(texts, SLICE_BYTES):
+    for part in byte_slices(texts, PART_BYTES):
         _, offsets, data = part.buffers()
         ends = np.frombuffer(offsets, dtype=np.int64)[part.offset : part.offset + len(part) + 1]
         raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, dtype=np.uint8)
         rows, done = np.arange(at, at + len(part)), 0
         at += len(part)
-        if len(raw) <= SLICE_BYTES:
+        if len(raw) <= PART_BYTES:
             yield raw, ends[:-1] - ends[0], rows
             continue
         while done < len(raw):
-            stop = done + SLICE_BYTES
-            while stop < len(raw) and not (found := np.flatnonzero(_BREAK[raw[stop : stop + SLICE_BYTES]])).size:
-                stop += SLICE_BYTES
+            stop = done + PART_BYTES
+            while stop < len(raw) and not (found := np.flatnonzero(_BREAK[raw[stop : stop + PART_BYTES]])).size:
+                stop += PART_BYTES
             stop = min(len(raw), stop + int(found[0]) + 1) if stop < len(raw) else len(raw)
             yield raw[done:stop], np.zeros(1, dtype=np.int64), rows
             done = stop
@@ -91,39 +94,74 @@ class _Words:
         self.index, self.distinct, text, self.joined = split_words(raw, begins)
         self.language, self.languages = language[text], languages
 
-    def buckets(self, bits: int) -> np.ndarray:
-        """The bucket of each word that has a next one, paired with that."""
-        word, own = hashes(self.distinct.to_pylist()), hashes(self.languages.to_pylist())
-        left = np.flatnonzero(self.joined)
-        key = (word[self.index[left]] * _MIX[0] ^ word[self.index[left + 1]]) * _MIX[1] + own[self.language[left]]
-        key = (key ^ (key >> _U(31))) * _MIX[2]
-        return ((key ^ (key >> _U(29))) * _MIX[3]) >> _U(64 - bits)
+        self.word, self.own = hashes(self.distinct.to_pylist()), hashes(self.languages.to_pylist())
+
+    def buckets(self, places: np.ndarray, order: int, bits: int) -> np.ndarray:
+        """The bucket of the ``order`` words that begin at each place, by language."""
+        key = self.own[self.language[places]]
+        for k in range(order):
+            key = (key ^ self.word[self.index[places + k]]) * _MIX[0]
+            key = key ^ (key >> _U(29))
+        return (key * _MIX[1]) >> _U(64 - bits)
+
+    def common(self, tables: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each table (of words, pairs ...) whether so many words, common by it, begin at a place,
+        and where words of the next order may begin, with all shorter ones common."""
+        found, may = [], np.ones(len(self.index), dtype=bool)
+        for order, table in enumerate(tables, 1):
+            places = np.flatnonzero(may)
+            bucket = self.buckets(places, order, bits).astype(np.int64)
+            yes = np.zeros(len(may), dtype=bool)
+            yes[places] = (table[bucket >> 3] >> (7 - (bucket & 7)) & 1).astype(bool)
+            found.append(yes)
+            may = self.joined & yes & np.append(yes[1:], False)
+        return found, may
+
+    def lengths(self, tables: list[np.ndarray], bits: int, most: int) -> np.ndarray:
+        """How many words the window has that each word leads; 0 for a rare word."""
+        found, _ = self.common(tables, bits)
+        out = np.zeros(len(self.index), dtype=np.int64)
+        for order, yes in enumerate(found, 1):
+            out[yes] = min(order, most)
+        # Beyond the highest table, as far as each further step is common by it.
+        order, last = len(found), found[-1]
+        for _ in range(most - order):
+            reach = np.where(np.append(last[1:], False), np.append(out[1:], 0) + 1, order)
+            out = np.where(last, np.minimum(reach, most), out)
+        return out
 
     def windows(self, lengths: np.ndarray, most: int) -> list[pa.Array]:
         """Language, words (null beyond the window's length) and count of each distinct window."""
-        place = np.arange(len(self.index))
+        place, size = np.arange(len(self.index)), len(self.distinct) + 1
         columns = [self.language]
         for k in range(most):
             # The leading word is in every window; the k-th next one in those that reach so far.
             columns.append(np.where(lengths > k, self.index[np.minimum(place + k, len(place) - 1)], -1))
-        group = np.zeros(len(place), dtype=np.int64)
-        for column in columns:
-            group = np.unique(group * (len(self.distinct) + len(self.languages) + 1) + column, return_inverse=True)[1]
+        group, span = self.language, len(self.languages)
+        for column in columns[1:]:
+            if span * size >= 1 << 62:
+                known, group = np.unique(group, return_inverse=True)
+                span = len(known)
+            group, span = group * size + column + 1, span * size
         _, first, counts = np.unique(group, return_index=True, return_counts=True)
         language, *words = (c[first] for c in columns)
         return [self.languages.take(pa.array(language)), *(self.distinct.take(pa.array(w, mask=w < 0)).cast(pa.string()) for w in words), pa.array(counts)]
 
 
 def _worded(batch: pa.RecordBatch) -> Iterator[_Words]:
+    pa.default_memory_pool().release_unused()
     names = batch.column("lang").dictionary_encode()
     codes = np.asarray(names.indices).astype(np.int64)
     for raw, begins, rows in _parts(filled(batch.column("text"))):
         yield _Words(raw, begins, codes[rows], names.dictionary)
 
 
-def _common_pairs(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """One bit for each bucket: whether its pairs occur ``min_count`` times together."""
-    size = 1 << BLOCK_BITS
+def _common(texts: DataFrame, sent: list, orders: tuple[int, ...], min_count: int, bits: int) -> list[np.ndarray]:
+    """For each order one bit for each bucket: whether its words occur ``min_count`` times together.
+
+    Tables of lower orders, sent out already, leave out what cannot be common.
+    """
+    size, count_type = 1 << BLOCK_BITS, np.min_scalar_type(2 * min_count)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -133,34 +171,44 @@ def _common_pairs(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
             held.clear()
             block = (bucket >> _U(BLOCK_BITS)).astype(np.int64)
             starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else block
-            places, counts = (bucket & _U(size - 1)).astype("<u2"), np.minimum(n, min_count).astype("<u4")
+            places, counts = (bucket & _U(size - 1)).astype("<u2"), np.minimum(n, min_count).astype(count_type)
             packed = lambda x: [p.tobytes() for p in np.split(x, starts[1:])] if len(x) else []
             return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(packed(places), pa.binary()), pa.array(packed(counts), pa.binary())], names=["block", "places", "counts"])
 
         for batch in batches:
             for words in _worded(batch):
-                held.append(words.buckets(bits))
-                if sum(map(len, held)) >= HELD_PAIRS:
+                _, may = words.common([t.value for t in sent], bits)
+                for turn, order in enumerate(orders):
+                    places = np.flatnonzero(may if not turn else words.joined)
+                    held.append(words.buckets(places, order, bits) + _U(turn << bits))
+                if sum(map(len, held)) >= HELD_WINDOWS:
                     yield counted()
         if held:
             yield counted()
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        """Rows come sorted, so that one block is held at a time."""
+        at, total = None, np.zeros(size, dtype=count_type)
+        done: tuple[list[int], list[bytes]] = ([], [])
         for batch in batches:
             for block, places, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "counts")), strict=True):
-                total = totals.setdefault(block, np.zeros(size, dtype=np.uint32))
-                place = np.frombuffer(places, dtype="<u2")
-                total[place] = np.minimum(total[place] + np.frombuffer(counts, dtype="<u4"), min_count)
-        bits = [np.packbits(t >= min_count).tobytes() for t in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(bits, pa.binary())], names=["block", "bits"])
-
-    dealt = texts.mapInArrow(count, "block long, places binary, counts binary").repartition("block")
-    out = np.zeros((1 << (bits - BLOCK_BITS), size // 8), dtype=np.uint8)
+                if block != at and at is not None:
+                    done[0].append(at)
+                    done[1].append(np.packbits(total >= min_count).tobytes())
+                    total[:] = 0
+                at, place = block, np.frombuffer(places, dtype="<u2")
+                total[place] = np.minimum(total[place] + np.frombuffer(counts, dtype=count_type), min_count)
+        if at is not None:
+            done[0].append(at)
+            done[1].append(np.packbits(total >= min_count).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.binary())], names=["block", "bits"])
+
+    dealt = texts.mapInArrow(count, "block long, places binary, counts binary").repartition("block").sortWithinPartitions("block")
+    out = np.zeros((len(orders) << (bits - BLOCK_BITS), size // 8), dtype=np.uint8)
     for batch in dealt.mapInArrow(combine, "block long, bits binary").toArrow().to_batches():
         rows = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(-1, size // 8)
         out[np.asarray(batch.column("block"))] = rows
-    return out.ravel()
+    return [table.ravel() for table in np.split(out, len(orders))]
 
 
 def count_phrases(
@@ -173,23 +221,19 @@ def count_phrases(
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text}`").alias("text"))
-    sent = spark.sparkContext.broadcast(_common_pairs(texts, min_count, bucket_bits))
+    sent: list = []
+    for orders in PASSES:
+        if orders[-1] <= max(2, max_words - 1):
+            sent += [spark.sparkContext.broadcast(table) for table in _common(texts, sent, orders, min_count, bucket_bits)]
     names = [f"w{k}" for k in range(1, max_words + 1)]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
+        tables = [t.value for t in sent]
         for batch in batches:
             for words in _worded(batch):
-                if not len(words.index):
-                    continue
-                bucket = words.buckets(bucket_bits).astype(np.int64)
-                goes_on = words.joined.copy()
-                goes_on[goes_on] = (common[bucket >> 3] >> (7 - (bucket & 7)) & 1).astype(bool)
-                lengths = np.ones(len(goes_on), dtype=np.int64)
-                for _ in range(max_words - 1):
-                    # One more than the window that the next word leads, where the pair is common.
-                    lengths = np.where(goes_on, np.minimum(np.append(lengths[1:], 0) + 1, max_words), 1)
-                yield pa.RecordBatch.from_arrays(words.windows(lengths, max_words), names=["lang", *names, "n"])
+                if len(words.index):
+                    found = words.windows(words.lengths(tables, bucket_bits, max_words), max_words)
+                    yield pa.RecordBatch.from_arrays(found, names=["lang", *names, "n"])
 
     found = texts.mapInArrow(windows, ", ".join(f"{c} string" for c in ("lang", *names)) + ", n long")
     level = F.grouping_id()

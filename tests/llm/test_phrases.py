@@ -81,7 +81,7 @@ def test_without_words(spark):
 
 
 def test_long_text_is_cut_behind_breaks(monkeypatch):
-    monkeypatch.setattr(phrases, "SLICE_BYTES", 64)
+    monkeypatch.setattr(phrases, "PART_BYTES", 64)
     value = "no break for a long while in this first piece of the text that goes on and on. then one; and another, short " * 9
     whole = [p.tobytes() for p, _, _ in phrases._parts(pa.array([value, "b c"], pa.large_string()))]
     assert b"".join(whole).decode() == value + "b c" and len(whole) > 3
