@@ -31,6 +31,10 @@ MAIN = frozenset(("article", "main"))
 WHOLE = frozenset(("html", "body", "article", "main"))
 ASIDE = frozenset("nav footer aside form header menu dialog select button option".split())
 NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|menu|nav\w*|breadcrumb\w*|footer|header|sidebar|cookie\w*|notice|consent|promo\w*|share|social|related|comments?|reply|replies|newsletter|popup|subscribe)(?:[^a-z]|$)")
+# Parts of readers, which an article of their own doesn't make main text.
+READERS = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies|discussion)(?:[^a-z]|$)")
+# Names that say what a layout has beside it, not what it is.
+LAYOUT = re.compile(r"(?:^|\s)(?:has|with|without|no|hide|show)[-_]\S*")
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<>]*>",
@@ -39,7 +43,7 @@ _TAG = re.compile(
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"\s+")
 TIE_NEXT, TIE_TREE = 0.6, 1.0
-# The side that a part's own elements speak for, against a few odd features.
+# What the side that a block's elements speak for costs at least, beside what is learnt of it.
 PURPOSE_COST = 6.0
 
 
@@ -54,6 +58,8 @@ class Blocks:
         # Elements: name, parent, and whether it or one around it is meant as main or aside.
         self.element: list[tuple[str, int]] = [("", -1)]
         self.side: list[int] = [0]
+        # Whether an element stands in main text, or in a part of readers.
+        self.settled: list[bool] = [False]
         self._read(page)
 
     def _read(self, page: str) -> None:
@@ -110,10 +116,15 @@ class Blocks:
                 elif self.element[stack[-1]][0] == "p":
                     stack.pop()
                 names = " ".join(filter(None, (x for m in _NAMES.findall(tag[3] or "") for x in m))).lower()
-                around = self.side[stack[-1]]
-                aside = (name in ASIDE and not (name == "header" and around > 0)) or (name not in WHOLE and bool(NAMED.search(names)))
+                names = LAYOUT.sub(" ", names)
+                around, settled = self.side[stack[-1]], self.settled[stack[-1]]
+                named = (name not in WHOLE or name == "article") and bool(READERS.search(names)) or name not in WHOLE and bool(NAMED.search(names))
+                aside = (name in ASIDE and not (name == "header" and around > 0)) or named
+                # An article makes main text even of what is wrapped in a form or a sidebar's layout.
+                main = name in MAIN and not aside and not settled
                 self.element.append((name, stack[-1]))
-                self.side.append(-1 if aside or around < 0 else 1 if name in MAIN or around > 0 else 0)
+                self.side.append(1 if main else -1 if aside or around < 0 else 1 if name in MAIN or around > 0 else 0)
+                self.settled.append(settled or main or bool(READERS.search(names)))
                 stack.append(len(self.element) - 1)
         close()
 
@@ -127,6 +138,7 @@ class Blocks:
             f"ends:{text[-1] in '.!?:;'}",
             f"word:{min(12, len(text) // words)}",
             f"copy:{'©' in text or '|' in text or '·' in text}",
+            f"purpose:{self.side[self.parent[i]]}",
         ]
 
 
