@@ -116,14 +116,9 @@ URL_RULES = [
 
 @query("op7_urls")
 def judge_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels are those of the document whose number ends the path: low quality or toxic is ``block``."""
+    """Rules are mined from weak labels of all pages: given rules that block, and seed words in host names."""
     pages = table(spark, folder, "pages").select("page_id", "url")
-    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    number = F.regexp_extract(urls.parts(F.col("url"))[1], r"/([0-9]{1,18})(?:/|\.[a-z]+)?$", 1)
-    numbered = pages.where(number != "").select("url", number.cast("long").alias("doc_id"))
-    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    labelled = numbered.join(labels, "doc_id").select("url", F.when(bad, urls.BLOCK).otherwise(urls.ALLOW).alias("verdict"))
-    judged = urls.filter_urls(pages, URL_RULES, urls.mine(labelled))
+    judged = urls.filter_urls(pages, URL_RULES, urls.mine(urls.seed_labels(pages, URL_RULES)))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

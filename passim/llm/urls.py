@@ -11,12 +11,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passim.session import checkpointed
+
 ALLOW, BLOCK = "allow", "block"
-MIN_SUPPORT = 0.005
+MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
-# Tokens of a mined combination, and rules kept at most, the surest first.
-MAX_TOKENS = 3
-MAX_RULES = 2000
+# How much likelier than usual a rule's verdict must be where the rule fits.
+MIN_LIFT = 1.5
+# Seeds: words of a host's name that label it as unwanted, where nothing better is known.
+SEED_WORDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "warez")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -44,7 +47,7 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: scheme, labels and ends of the host, folders, kind of page, names of parameters.
+    """Distinct tokens: scheme, labels of the host, their words and its end, folders, kind of page, names of parameters.
 
     Digits in a path or host become ``0``, so that numbered pages share a token.
     """
@@ -57,8 +60,8 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(
         F.concat(
             named("scheme", F.array(F.lower(F.regexp_extract(whole, "(?s)^([^:/?#]+)://", 1)))),
-            named("host", F.array(plain(host))),
             named("label", F.when(F.size(labels) > 2, F.slice(labels, 1, F.size(labels) - 2)).otherwise(labels)),
+            named("word", F.flatten(F.transform(F.filter(labels, lambda v: v.contains("-")), lambda v: F.split(v, "-")))),
             named("end", F.array(F.substring_index(host, ".", -1))),
             named("path", F.split(plain(path), "/")),
             named("type", F.array(F.regexp_extract(F.lower(path), r"\.([a-z]{1,5})$", 1))),
@@ -67,19 +70,35 @@ def tokens(url: Column) -> Column:
     )
 
 
+def seed_labels(pages: DataFrame, rules: list[tuple[str, str, str]], words: tuple[str, ...] = SEED_WORDS, url: str = "url") -> DataFrame:
+    """``url, verdict`` of every row: ``block`` if a given rule says so or the
+    host's name has a seed word, else ``allow``.
+
+    Weak labels for :func:`mine`; a null URL has none.
+    """
+    address = F.col(f"`{url}`")
+    host, path = parts(address)
+    bad = F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(w) for w in words]))
+    given = F.coalesce(given_rule(host, path, rules)["verdict"], F.lit(ALLOW))
+    verdict = F.when(address.isNotNull(), F.when(bad, BLOCK).otherwise(given))
+    return pages.select(address.alias("url"), verdict.alias("verdict"))
+
+
 def mine(
     labelled: DataFrame,
     url: str = "url",
     verdict: str = "verdict",
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
-    max_rules: int = MAX_RULES,
+    min_lift: float = MIN_LIFT,
 ) -> list[dict]:
     """Rules ``tokens, verdict, confidence, support`` from labelled URLs.
 
-    Every labelled row counts. A combination that holds a shorter one of the
-    same verdict with as much confidence is pruned. Null URLs and labels take
-    no part; without labelled rows there are no rules.
+    Every labelled row counts. A combination is pruned if its verdict is not
+    ``min_lift`` times as likely as usual, or if it holds a shorter one of the
+    same verdict with as much confidence. What is left is bounded by the support:
+    each rule holds for that share of the rows, however many there are. Null URLs and
+    labels take no part; without labelled rows there are no rules.
     """
     rows = labelled.select(F.col(f"`{url}`").alias("u"), F.col(f"`{verdict}`").alias("v")).where("u is not null and v is not null")
     baskets = rows.select(F.array_append(tokens(F.col("u")), F.concat(F.lit("verdict:"), "v")).alias("items"))
@@ -88,17 +107,19 @@ def mine(
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = (
         model.associationRules.where(F.element_at("consequent", 1).startswith("verdict:"))
-        .where(~F.exists("antecedent", lambda t: t.startswith("verdict:")) & (F.size("antecedent") <= MAX_TOKENS))
+        .where(~F.exists("antecedent", lambda t: t.startswith("verdict:")) & (F.col("lift") >= min_lift))
         .select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support")
     )
-    # The surest rules alone come back, at most ``max_rules``.
-    best = found.orderBy(F.desc("confidence"), F.size("tokens"), F.desc("support"), "tokens", "verdict").limit(max_rules).collect()
-    kept: list[dict] = []
-    for r in best:
-        own = set(r["tokens"])
-        if not any(k["verdict"] == r["verdict"] and set(k["tokens"]) <= own for k in kept):
-            kept.append(r.asDict())
-    return kept
+    found = checkpointed(found)
+    # The shortest rules of a verdict that are as sure as all that hold them.
+    shorter = found.select(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    inside = (F.col("verdict") == F.col("v")) & (F.size("part") < F.size("tokens")) & (F.col("c") >= F.col("confidence"))
+    # A shorter rule's first token is one of the longer rule's.
+    spread = found.withColumn("token", F.explode("tokens"))
+    held = spread.join(shorter.withColumn("token", F.element_at("part", 1)), "token")
+    held = held.where(inside & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens", "verdict")
+    kept = found.join(held.distinct(), ["tokens", "verdict"], "left_anti")
+    return [r.asDict() for r in kept.orderBy(F.desc("confidence"), F.size("tokens"), F.desc("support"), "tokens", "verdict").collect()]
 
 
 def mined_verdict(url: Column, rules: list[dict], default: str = ALLOW) -> Column:
@@ -127,8 +148,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], mined: list
     ``allow``. A null URL, or one without ``://``, has an empty host and path,
     no rule and the default. Columns of these names are replaced.
     """
-    host, path = parts(F.col(f"`{url}`"))
-    rows = pages.withColumns({"host": host, "path": path})
-    rows = rows.withColumn("_given", given_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_given.verdict"), mined_verdict(F.col(f"`{url}`"), mined))
-    return rows.withColumns({"rule": F.col("_given.rule"), "verdict": verdict}).drop("_given")
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    address = F.col(f"`{url}`")
+    host, path = parts(address)
+    # One structure, so that no column of the caller's can clash.
+    made = pages.select(F.struct("*").alias("row"), F.struct(address.alias("url"), host.alias("host"), path.alias("path")).alias("at"))
+    made = made.withColumn("given", given_rule(F.col("at.host"), F.col("at.path"), rules))
+    verdict = F.coalesce(F.col("given.verdict"), mined_verdict(F.col("at.url"), mined))
+    return made.select(*[F.col(f"row.`{c}`") for c in kept], "at.host", "at.path", F.col("given.rule").alias("rule"), verdict.alias("verdict"))

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -272,6 +273,42 @@ def test_mined_rules(spark):
     assert urls.mine(labelled.where("false")) == []
 
 
+def test_mined_rules_decide_where_no_given_rule_does(spark):
+    from passim.llm.queries import QUERIES, URL_RULES
+
+    folder = "/root/testdata/sf0.01"
+    rows = QUERIES["op7_urls"](spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/pages.parquet").count()
+    free = [r for r in rows if r.rule is None]
+    bad = {r.page_id for r in free if set(re.split("[.-]", r.host)) & set(urls.SEED_WORDS)}
+    # Mined rules block the unwanted hosts and nothing else; hosts with the same words that were never labelled too.
+    assert bad and {r.page_id for r in free if r.verdict == "block"} == bad
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    mined = urls.mine(urls.seed_labels(pages, URL_RULES))
+    assert all(r["confidence"] >= 0.8 for r in mined)
+    assert any(len(r["tokens"]) == 1 and r["tokens"][0].startswith(("word:", "label:")) for r in mined)
+    host = next(r.host for r in free if r.page_id in bad).split(".")
+    new = spark.createDataFrame([(f"https://{host[-3]}.elsewhere.org/xx/",), ("https://plain.elsewhere.org/xx/",)], "url string")
+    assert [r.verdict for r in urls.filter_urls(new, URL_RULES, mined).collect()] == ["block", "allow"]
+
+
+def test_longer_and_idle_rules_are_pruned(spark):
+    rows = [(f"https://a{i % 5}.org/{'x' if i % 2 else 'y'}/{'p' if i % 3 else 'q'}.html", "block" if i % 2 else "allow") for i in range(300)]
+    mined = urls.mine(spark.createDataFrame(rows, "url string, verdict string"))
+    assert [(r["tokens"], r["verdict"]) for r in mined if r["verdict"] == "block"] == [(["path:x"], "block")]
+    # More tokens than any bound, if only together they say something.
+    both = [(f"https://h.org/{'/'.join(p)}", "block" if p == ("a", "b", "c", "d", "e") else "allow") for p in product("aA", "bB", "cC", "dD", "eE") for _ in range(9)]
+    both = [(u.replace("A", "z1").replace("B", "z2").replace("C", "z3").replace("D", "z4").replace("E", "z5"), v) for u, v in both]
+    mined = urls.mine(spark.createDataFrame(both, "url string, verdict string"))
+    assert [f"path:{c}" for c in "abcde"] in [r["tokens"] for r in mined]
+
+
+def test_clashing_columns_of_pages(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/", "h", "g", "r")], "page_id long, url string, host string, given string, row string")
+    (r,) = urls.filter_urls(pages, [("block", "com", "/")], []).collect()
+    assert r.asDict() == {"page_id": 1, "url": "http://x.com/", "given": "g", "row": "r", "host": "x.com", "path": "/", "rule": "com/", "verdict": "block"}
+
+
 # --- near duplicates
 
 
@@ -405,6 +442,16 @@ def test_main_text(spark, none):
     assert html_text.extract_text(empty, html_text.train_blocks(empty)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout with-sidebar"', "form id=aspnet method=post", 'div class="sidebar-right page"', 'div id="promo-page"'])
+def test_wrapped_articles_are_main_text(spark, wrapper):
+    tag = wrapper.split()[0]
+    odds = html_text.train_blocks(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    page = f"""<body><{wrapper}><nav><a>Home</a> <a>About</a></nav><article><h1>Title of it</h1><p>A first line, long enough to read.</p>
+    <div class="comments"><article><p>I am a reader, and I say so.</p></article></div><p>A last line, as long as that one.</p></article></{tag}>
+    <section id="comments"><article class="comment"><p>Another reader says a few words.</p></article></section></body>"""
+    assert html_text.main_text(page, odds) == "Title of it\nA first line, long enough to read.\nA last line, as long as that one."
+
+
 def test_cut_pulls_a_doubtful_block_to_its_surroundings():
     odds = {"": 0.0, "tag:p": 0.0, "ends:True": 1.0, "ends:False": -0.4}
     page = "<div><p>A long line.</p><p>doubt</p><p>Another line.</p></div>"
