@@ -11,7 +11,7 @@ from passim.registry.index import _routed
 from passim.registry.keyword import bm25_hits, static_vectors
 from passim.registry.tables import with_tables
 from passim.session import checkpointed, new_folder
-from passim.sources.vectors import write_eval
+from passim.sources.vectors import write_document, write_eval
 
 t.SQL["ranks"] = """
 select j.qid, min(case when list_contains(j.expected, a.title) then h.rank end) as rank,
@@ -117,6 +117,25 @@ def write_results(spark, folder):
     return spark.read.schema("qid long, rank long, top string").json(path)
 
 
+@query(
+    "eval_document",
+    with_tables("ranks")
+    + """select 'events' as base, 'keyword' as mode, count(*) as n, count(*) filter (where rank <= 1) as hit_1, count(*) filter (where rank <= 3) as hit_3,
+         count(*) filter (where rank <= 10) as hit_10, round(avg(coalesce(1::double / rank, 0)), 4) as mrr,
+         (select round(median(value), 1) from events) as latency_p50_ms,
+         string_agg(qid || ':' || coalesce(rank::varchar, '-') || ':' || top, ',' order by qid) as rows from ranks""",
+)
+def eval_document(spark, folder):
+    """The document of a run, with the event values as its latencies, written and read back."""
+    path, latencies = new_folder(spark, "document"), t.table(spark, folder, "events").select("value")
+    document = quality.eval_document(keyword_ranks(spark, folder), latencies, "events", "keyword", "value")
+    write_document(document, path)
+    back = spark.read.schema(document.schema).json(path)
+    shown = F.transform("rows", lambda r: F.concat_ws(":", r["q"].cast("string"), F.coalesce(r["rank"].cast("string"), F.lit("-")), r["top"]))
+    hits = [F.col(f"hit_at.`{n}`").alias(f"hit_{n}") for n in quality.CUTOFFS]
+    return back.select("base", "mode", "n", *hits, "mrr", "latency_p50_ms", F.array_join(shown, ",").alias("rows"))
+
+
 _NPROBES = [1, 2, 3, 5, 10]
 # Query vectors are the stored ones read backwards, so that no query finds itself.
 t.SQL["turned"] = "select id, list_reverse(v) as v, label from «vectors»"

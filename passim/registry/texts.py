@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from passim.functions import scoring, text
 from passim.functions.rows import explode_rows
+from passim.operators import embedding
 from passim.operators import passages as p
 from passim.registry import query
 from passim.registry import tables as t
@@ -216,3 +217,21 @@ def client_key(spark, folder):
         .otherwise(F.concat(F.lit("socket-"), user))
     )
     return t.table(spark, folder, "events").select("event_id", text.client_key(hops, peer).alias("client"))
+
+
+@query(
+    "embed_windows",
+    with_tables("passages")
+    + """, r as (select id, shard, length(text) as l, row_number() over (partition by shard order by ord) - 1 as pos from passages),
+           s as (select *, pos // 64 as w, row_number() over (partition by shard, pos // 64 order by l, pos) - 1 as sp from r)
+         select id, l::double as length, (max(l) over (partition by shard, w, sp // 16, sp % 16 // 4))::double as padded from s""",
+)
+def embed_windows(spark, folder):
+    """An encoder that tells how long a text is, and to what length its batch is padded."""
+
+    def factory():
+        return lambda texts: [[len(text), max(map(len, texts))] for text in texts]
+
+    rows = t.passages(spark, folder).select("id", "shard", "ord", "text")
+    found = embedding.embed_windows(rows, factory, "ord", window=64, slice_rows=16, batch=4)
+    return found.select("id", *[F.get("values", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("length", "padded"))])

@@ -4,7 +4,8 @@ The collection folder holds ``v=<n>/`` tables, ``current``, an append-only list
 of published versions, and ``batches``, which says what generation each batch of
 each stream got. A new batch takes the next free one; a replay after a lost
 driver finds its own and overwrites it, or is skipped if a compaction has merged
-it. Streams into one collection may follow each other, but not run at one time.
+it. Streams into one collection may claim generations at one time; while one
+compacts, the others must wait.
 """
 
 from collections.abc import Callable
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passim.operators.segments import compact, read_index, upsert, write_collection
+from passim.session import create_new
 
 _POINTER = "version long, merged_through long"
 _BATCHES = "stream string, batch long, generation long"
@@ -38,13 +40,16 @@ def _listed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def claim_generation(spark: SparkSession, path: str, stream: str, batch: int) -> int:
-    """The generation of a stream's batch: its own if it has one, else the next free one."""
+    """The generation of a stream's batch: its own if it has one, else the next that no writer has claimed."""
     listed = _listed(spark, f"{path}/batches", _BATCHES)
     own = listed.where((F.col("stream") == stream) & (F.col("batch") == batch)).agg(F.max("generation")).first()[0]
     if own is not None:
         return own
     last = listed.agg(F.max("generation")).first()[0]
     generation = max(-1 if last is None else last, current_version(spark, path)[1]) + 1
+    # A file that must be new: of writers that saw the same list, each gets its own generation.
+    while not create_new(spark, f"{path}/claims/{generation}"):
+        generation += 1
     spark.createDataFrame([(stream, batch, generation)], _BATCHES).coalesce(1).write.mode("append").json(f"{path}/batches")
     return generation
 
