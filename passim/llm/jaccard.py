@@ -1,11 +1,13 @@
 """N-gram Jaccard join by parity sketches.
 
 The distinct word shingles of a text are hashed to 64 bits and dealt by the hash
-to the parts of a sketch. In its part, each shingle flips one bit of 64, so the
-Hamming distance of two sketches is at most the number of shingles that only one
-of the texts has. That number is bounded by the threshold and the sizes. A sketch
-with ``spare`` more parts than the bound has at least ``spare`` equal parts in
-common with the sketch of any text that it links to.
+to the parts of a sketch. A part is the XOR of its shingles' hashes, so the number
+of parts in which two sketches differ is at most the number of shingles that only
+one of the texts has. That number is bounded by the threshold and the sizes: of
+more parts than the bound, some are equal, and name a bucket that both sets are
+in. Parts of few shingles are often equal by chance and name none as long as
+enough others are left. A second sketch of one bit for each shingle bounds the
+difference of any two sets in a bucket, before whole sets are compared.
 
 Sizes fall into bands that share one number of parts; a set near the upper end
 of its band also takes part in the next one, as partner of the larger sets there.
@@ -24,20 +26,25 @@ from pyspark.sql import functions as F
 
 from passim.llm.arrow import byte_slices, filled
 from passim.llm.components import components
-from passim.session import BROADCAST_BYTES, checkpointed, new_folder
+from passim.session import checkpointed, new_folder
 
 SHINGLE_WORDS = 3
 THRESHOLD = 0.9
 BAND = 1.5
 # Up to so many differences, a key joins two parts: a single one would hold few shingles.
 PAIRED_DIFFERENCES = 6
+# A part of so few shingles names a bucket only if the others are too few.
+THIN = 2
 FOLD_WORDS = 16
+# Bits of the filter for the texts whose whole sets are made (8 MB).
+MARK_BITS = 26
 SLICE_BYTES = 1 << 20
 # Bytes whose words are hashed at once; a longer word widens its own window.
 WINDOW_BYTES = 1 << 18
 # Members of a bucket that one task compares with as many others.
-BLOCK = 2000
-# Candidates that a set puts forward in each round from one comparison of blocks.
+BLOCK = 8000
+# Candidates that a set puts forward from one comparison of blocks, in the first
+# round that compares blocks; each later round takes four times as many.
 FORWARD = 4
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -174,22 +181,37 @@ def sketch(hashed: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
+def part_keys(hashed: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each part the XOR of its shingles' hashes, with their number mixed in, and that number."""
+    part = (((hashed >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+    counts = np.bincount(part, minlength=parts)
+    value = np.zeros(parts, dtype=np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    value[part[starts]] = np.bitwise_xor.reduceat(hashed, starts)
+    with np.errstate(over="ignore"):
+        return _mixed(value + counts.astype(np.uint64) * _MIX[3]), counts
+
+
 def keys(hashed: np.ndarray, plan: Plan) -> np.ndarray:
-    """The buckets of a set: hashes of band, place and value of its equal-part keys."""
+    """The buckets of a set: hashes of band, place and value of its equal-part keys.
+
+    A linked set leaves all but ``bound`` parts as they are. With more than
+    ``bound`` parts that are not thin, one of them is among these and names a
+    bucket in both sets; a set with fewer of them uses thinner ones as well.
+    """
     found = [np.zeros(0, dtype=np.uint64)]
     for band, bound in plan.bands(len(hashed)):
-        joined = 2 if bound <= PAIRED_DIFFERENCES else 1
-        # One spare part, so that a link still shares one with shingles in it.
-        words = sketch(hashed, bound + joined + 1)
-        parts = len(words)
-        if joined == 1:
-            place, value = np.arange(parts, dtype=np.uint64), words
-            if (words == 0).sum() <= 1:
-                place, value = place[words != 0], words[words != 0]
+        paired = bound <= PAIRED_DIFFERENCES
+        value, counts = part_keys(hashed, bound + 3 if paired else bound + 4 + bound // 12)
+        if paired:
+            # Two parts together, of which three at least are unchanged.
+            pairs = np.array(list(combinations(range(len(value)), 2)), dtype=np.int64)
+            place = (pairs[:, 0] * len(value) + pairs[:, 1]).astype(np.uint64)
+            value = _mixed(value[pairs[:, 0]] + _MIX[1]) * _MIX[0] + value[pairs[:, 1]]
         else:
-            pairs = np.array(list(combinations(range(parts), 2)), dtype=np.int64)
-            place = (pairs[:, 0] * parts + pairs[:, 1]).astype(np.uint64)
-            value = _mixed(words[pairs[:, 0]] + _MIX[1]) * _MIX[0] + words[pairs[:, 1]]
+            least = next((t for t in (THIN, 0) if (counts > t).sum() > bound), -1)
+            place = np.flatnonzero(counts > least).astype(np.uint64)
+            value = value[counts > least]
         with np.errstate(over="ignore"):
             found.append(_mixed(_mixed(value + _U(band) * _MIX[0]) + place * _MIX[1]))
     return np.concatenate(found)
@@ -217,6 +239,8 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float, size: i
 
     @F.arrow_udf("n long, node long, fold array<long>, keys array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # Copies of a text name their buckets once in a task.
+        met: set[int] = set()
         for batch in batches:
             # An answer for each slice, so that a batch is never held as sets.
             for part in byte_slices(filled(batch), SLICE_BYTES):
@@ -225,7 +249,8 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float, size: i
                     n.append(len(own))
                     node.append(_class_of(own))
                     fold.append(folded(own))
-                    key.append(keys(own, plan))
+                    key.append(own[:0] if node[-1] in met else keys(own, plan))
+                    met.add(node[-1])
                 yield pa.StructArray.from_arrays(
                     [pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(fold), _lists(key)], ["n", "node", "fold", "keys"]
                 )
@@ -233,13 +258,43 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float, size: i
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), run(F.col(f"`{text}`")).alias("_s")).select("doc_id", "_s.*")
 
 
-def _within(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Sent to all executors if its count proves it small; else Spark chooses."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES // 2 else df
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and node the distinct ones, without buckets of one node.
 
-
-def _compare(plan: Plan):
-    """Of each two blocks of a bucket, the pairs that may link, of different components and not yet tried."""
+    The first and the last bucket of the partition may go on in the next one
+    and stay.
+    """
+    kind = pa.schema([("k", pa.int64()), ("node", pa.int64())])
+    # The last row so far, and whether it was given out.
+    last: tuple[int, int] | None = None
+    given = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, node = (np.asarray(batch.column(c)) for c in ("k", "node"))
+        fresh = np.concatenate([[last != (k[0], node[0])], (k[1:] != k[:-1]) | (node[1:] != node[:-1])])
+        first, k, node = last is None, k[fresh], node[fresh]
+        if not len(k):
+            continue
+        before = np.concatenate([[last is not None and last[0] == k[0]], k[1:] == k[:-1]])
+        shared = before | np.concatenate([k[1:] == k[:-1], [False]])
+        shared[0] |= first
+        if before[0] and not given:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], schema=kind)
+        last, given = (int(k[-1]), int(node[-1])), bool(shared[-1])
+        if shared.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[shared]), pa.array(node[shared])], schema=kind)
+    if not given:
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], schema=kind)
+
+
+def _compare(plan: Plan, turn: int):
+    """Of each two blocks of a bucket, pairs that may link, of different components.
+
+    Each set puts forward the first of its candidates, in order of their nodes;
+    ``more`` says whether it had others, for the next turn.
+    """
+    most = FORWARD << 2 * turn
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         held = None
@@ -257,18 +312,13 @@ def _compare(plan: Plan):
             held = table.slice(int(whole[-1]))
             node, comp, n = (np.asarray(table.column(c)) for c in ("node", "comp", "n"))
             fold = np.asarray(pc.list_flatten(table.column("fold"))).view(np.uint64).reshape(-1, FOLD_WORDS)
-            failed = table.column("failed").combine_chunks()
-            starts = whole[:-1]
-            if not len(starts):
-                continue
-            least, most = (f.reduceat(comp[: whole[-1]], starts) for f in (np.minimum, np.maximum))
-            # Members of one component have nothing to add.
-            for at in np.flatnonzero(least != most):
-                own = slice(int(whole[at]), int(whole[at + 1]))
-                yield node[own], comp[own], n[own], fold[own], failed[own]
+            for start, stop in zip(whole[:-1].tolist(), whole[1:].tolist(), strict=True):
+                own = slice(start, stop)
+                yield node[own], comp[own], n[own], fold[own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, comp, n, fold, failed in groups(batches):
+        more = False
+        for node, comp, n, fold in groups(batches):
             order = np.lexsort((node, n))
             node, comp, n, fold = node[order], comp[order], n[order], fold[order]
             # Sizes rise: partners of a set lie between the least and the largest it can link to.
@@ -281,14 +331,14 @@ def _compare(plan: Plan):
                     continue
                 bound = (n[x] + n[y]) * plan.numerator // plan.denominator
                 y = y[np.bitwise_count(fold[y] ^ fold[x]).sum(axis=1) <= bound]
-                if len(y) and (tried := failed[int(order[x])].as_py()):
-                    y = y[~np.isin(node[y], tried)]
-                if len(y):
-                    y = y[np.argsort(node[y])][:FORWARD]
-                    a += [node[x]] * len(y)
-                    b += node[y].tolist()
+                more |= len(y) > most
+                y = y[np.argsort(node[y])][:most]
+                a += [node[x]] * len(y)
+                b += node[y].tolist()
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * len(a))], names=["a", "b", "more"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([True])], names=["a", "b", "more"])
 
     return run
 
@@ -304,65 +354,79 @@ def _near(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.where(sizes & (apart * plan.denominator <= total * plan.numerator)).select("a", "b")
 
 
-def _block_rows(big: DataFrame) -> DataFrame:
+def _block_rows(rows: DataFrame) -> DataFrame:
     """Each member of a bucket in its block, once for every block it is compared with."""
+    counted = rows.groupBy("k").agg(F.count("*").alias("members"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("long")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rows = big.withColumn("blocks", blocks).withColumn("own", own)
+    rows = rows.join(counted, "k").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
+def _members(stored: DataFrame) -> DataFrame:
+    """``k, node``: the buckets of two nodes or more.
+
+    One shuffle by ranges of bucket and node, which also splits a crowded
+    bucket; each task then drops the buckets of one node in passing.
+    """
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = stored.select(F.explode("keys").alias("k"), "node")
+    ordered = postings.repartitionByRange(parts, "k", "node").sortWithinPartitions("k", "node")
+    return ordered.mapInArrow(_runs, "k long, node long").distinct()
+
+
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that hold several components."""
+    named = members.join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = named.groupBy("k").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("k")
+    return named.join(mixed, "k", "left_semi").select("k", "node", "comp")
+
+
 def linked_pairs(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE_WORDS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sketched rows, links that join every two linked sets by some path, and their components.
 
     Rows are ``doc_id, n, node``; ``node`` names a distinct set. Links ``a, b``
-    are pairs of nodes that passed the exact test; pairs that such links join
-    already are not tried again, so the links of a large group of near copies
-    stay in proportion to its members.
+    are pairs of nodes that passed the exact test. First each set is tested with
+    one other: of the sets that come first in its buckets, the one it shares
+    most buckets with. That settles most groups of near copies. Then the members
+    of buckets that still hold several components are compared, and each puts
+    some candidates forward, more in each round until none has others; pairs
+    that links join by then are not tried, and settled buckets are dropped. So
+    the links of a large group of near copies stay in proportion to its members.
     """
     spark, plan = docs.sparkSession, Plan(threshold)
     path = new_folder(spark, "sketches")
     _sketched(docs, doc_id, text, threshold, size).write.parquet(path)
     stored = spark.read.parquet(path)
-    postings = stored.select(F.explode("keys").alias("k"), "node")
-    buckets = checkpointed(
-        postings.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("rows")).where("a < b")
-    )
-    sets = checkpointed(stored.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fold").alias("fold")))
-    pairs = _near(buckets.select("a", "b").distinct(), sets, plan)
-    # Only buckets of more than two rows can hold other pairs.
-    crowded = _within(buckets.where("rows > 2").select("k"), 16)
-    members = postings.join(crowded, "k", "left_semi").distinct()
-    counted = members.groupBy("k").agg(F.count("*").alias("members")).where("members > 2")
-    big = checkpointed(members.join(counted, "k").join(sets, "node"))
-    links = tried = comps = None
+    members = checkpointed(_members(stored))
+    sets = stored.select("node", "n", "fold").join(members.select("node").distinct(), "node", "left_semi")
+    sets = checkpointed(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("fold").alias("fold")))
+    firsts = members.groupBy("k").agg(F.min("node").alias("a"))
+    shared = members.join(firsts, "k").where("a < node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("keys"))
+    stars = shared.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+    new = checkpointed(_near(stars, sets, plan))
     made: list[DataFrame] = []
+    links, comps = stars.where("false"), components(stars.where("false"))
+    tried, turn, more = None, 0, True
     while True:
-        if links is None:
-            rows = big.withColumn("comp", F.col("node")).withColumn("failed", F.array().cast("array<long>"))
-        else:
+        if not new.isEmpty():
+            tested = _verified(docs, text, new, plan, size, made)
+            tried = checkpointed(tested if tried is None else tried.unionByName(tested))
+            links = tried.where("linked").select("a", "b")
             comps = components(links)
-            fails = tried.where("not linked")
-            fails = fails.select("a", "b").unionByName(fails.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            fails = fails.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
-            rows = big.join(comps.withColumnRenamed("component", "comp"), "node", "left").join(fails, "node", "left")
-            rows = rows.withColumn("comp", F.coalesce("comp", "node"))
-        compared = _block_rows(rows).select("k", "i", "j", "node", "comp", "n", "fold", "failed")
-        compared = compared.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-        found = compared.mapInArrow(_compare(plan), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = (found if links is not None else found.unionByName(pairs)).distinct()
-        new = checkpointed(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
+        if not more:
+            break
+        members = checkpointed(_unsettled(members.select("k", "node"), comps))
+        if members.isEmpty():
             break
-        tested = checkpointed(_verified(docs, text, new, plan, size, made))
-        tried = tested if tried is None else checkpointed(tried.unionByName(tested))
-        links = tried.where("linked").select("a", "b")
-    if links is None:
-        links = pairs.where("false")
-        comps = components(links)
+        compared = _block_rows(members.join(sets, "node")).select("k", "i", "j", "node", "comp", "n", "fold")
+        compared = compared.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+        found = checkpointed(compared.mapInArrow(_compare(plan, turn), "a long, b long, more boolean"))
+        more, turn = not found.where("more").isEmpty(), turn + 1
+        pairs = found.where("not more").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
     return stored.select("doc_id", "n", "node"), links, comps
 
 
@@ -388,22 +452,34 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame, plan: Plan, size: in
     return both.select("a", "b", (shared * plan.share.denominator >= union * plan.share.numerator).alias("linked"))
 
 
+def _marked(nodes: DataFrame) -> np.ndarray:
+    """One bit, by its highest bits, for each node: a filter of fixed size that lets some others pass."""
+    place = F.shiftrightunsigned("node", 64 - MARK_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = nodes.select(F.shiftright(place, 6).alias("word"), bit.alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (MARK_BITS - 6), dtype=np.int64)
+    out[np.asarray(table.column("word"))] = np.asarray(table.column("bits"))
+    return out.view(np.uint64)
+
+
 def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, hashed`` of the wanted nodes. Their list is sent to the tasks if it
-    is small, and else all sets are made and joined."""
+    """``node, hashed`` of the wanted nodes, made again where the texts lie."""
     spark = docs.sparkSession
-    few = wanted.count() * 64 <= BROADCAST_BYTES
-    sent = spark.sparkContext.broadcast(np.sort(np.asarray(wanted.toArrow().column("node").combine_chunks())) if few else None)
+    sent = spark.sparkContext.broadcast(_marked(wanted))
 
     @F.arrow_udf("node long, hashed array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        met: set[int] = set()
         for batch in batches:
             for part in byte_slices(filled(batch), SLICE_BYTES):
                 node, kept = [], []
                 for own in shingle_sets(part, size):
                     name = _class_of(own)
-                    at = 0 if sent.value is None else np.searchsorted(sent.value, name)
-                    want = sent.value is None or (at < len(sent.value) and sent.value[at] == name)
+                    place = (name & (1 << 64) - 1) >> (64 - MARK_BITS)
+                    want = name not in met and bool(int(sent.value[place >> 6]) >> (place & 63) & 1)
+                    if want:
+                        met.add(name)
                     node.append(name if want else None)
                     # An empty slice of the set would keep all of it.
                     kept.append(own if want else np.zeros(0, dtype=np.uint64))
@@ -411,7 +487,7 @@ def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> Dat
 
     made = docs.select(run(F.col(f"`{text}`")).alias("_s")).select("_s.*").where("node is not null")
     path = new_folder(spark, "sets")
-    (made if few else made.join(wanted, "node", "left_semi")).dropDuplicates(["node"]).write.parquet(path)
+    made.join(wanted, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     return spark.read.parquet(path)
 
 
