@@ -236,6 +236,8 @@ def count_phrases(
                     yield pa.RecordBatch.from_arrays(found, names=["lang", *names, "n"])
 
     found = texts.mapInArrow(windows, ", ".join(f"{c} string" for c in ("lang", *names)) + ", n long")
+    # One shuffle of whole windows; their prefixes are then few.
+    found = found.groupBy("lang", *names).agg(F.sum("n").alias("n"))
     level = F.grouping_id()
     rolled = found.rollup("lang", *names).agg(F.sum("n").alias("f"), level.alias("level"))
     # A prefix that reaches into the padding is not one; the filter runs before the sums.
