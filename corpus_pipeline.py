@@ -11,27 +11,40 @@ from passim.llm.queries import tokenizer
 from passim.session import new_folder
 
 
+# A text of so many words shows its language; where none gets this share, it goes.
+SHOWING_WORDS, LEAST_SHARE = language.EVIDENCE_WORDS, 0.5
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null texts and texts without letters, whose language is undetermined."""
+    """Drops null texts, texts without letters, and texts whose language stays unsure.
+
+    A text of 20 words or more is unsure if the model gives no language half of
+    the probability; shorter ones stay. Without labelled rows only the first
+    two rules hold.
+    """
     model = language.train_languages(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    named = docs.select("*", F.struct("*").alias("_row"))
-    found = language.identify_languages(named.select("_row", "text"), model)
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select("_row.*")
+    named = docs.select(F.struct("*").alias("_row"), "text")
+    found = language.identify_languages(named, model)
+    words = F.size(F.filter(F.split("text", r"[^\p{L}\p{M}]+"), lambda w: w != ""))
+    unsure = (F.col("score") < LEAST_SHARE) & (words >= SHOWING_WORDS)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & ~unsure).select("_row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows that share it, one.
+    """Of each group of linked rows the one with the smallest id stays; of equal ids the first stored.
 
-    Texts without words are no group: all such rows stay.
+    A null id comes after all others. Rows of one id that are not alike are
+    rows of their own. Texts without words are no group: all such rows stay.
     """
-    groups = jaccard.near_duplicates(docs)
-    kept = groups.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
-    whole = docs.withColumn("_words", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    alone = whole.where("not _words or doc_id is null").drop("_words")
-    ids = whole.where("_words and doc_id is not null").drop("_words").join(kept, "doc_id", "left_semi")
-    return ids.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(alone)
+    path = new_folder(spark, "numbered")
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.monotonically_increasing_id().alias("number"))
+    docs.select(F.struct("*").alias("row"), key.alias("key"), "text").write.parquet(path)
+    numbered = spark.read.parquet(path)
+    groups = jaccard.near_duplicates(numbered.select("key", "text"), doc_id="key")
+    kept = groups.where("n_shingles = 0 or doc_id.number = component_id.number").select("doc_id.number")
+    return numbered.select("row", "key.number").join(kept, "number", "left_semi").select("row.*")
 
 
 def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
