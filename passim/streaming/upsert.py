@@ -4,8 +4,9 @@ The collection folder holds ``v=<n>/`` tables, ``current``, an append-only list
 of published versions, and ``batches``, which says what generation each batch of
 each stream got. A new batch takes the next free one; a replay after a lost
 driver finds its own and overwrites it, or is skipped if a compaction has merged
-it. Streams into one collection may claim generations at one time; while one
-compacts, the others must wait.
+it. A generation is claimed by a file that must be new, so no two writers take
+one; still, streams into one collection may follow each other, but not run at one
+time, as their lists are appended by commits that would disturb each other.
 """
 
 from collections.abc import Callable
