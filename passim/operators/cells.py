@@ -303,6 +303,12 @@ def in_probed_cells(index: DataFrame, probes: DataFrame) -> DataFrame:
     return index.join(cells, "cell", "left_semi")
 
 
+def with_cells(queries: DataFrame, probes: DataFrame) -> DataFrame:
+    """``id, values`` and, in one list, the ``cells`` that the query probes."""
+    lists = probes.groupBy(F.col("qid").alias("id")).agg(F.collect_list(F.col("cell").cast("int")).alias("cells"))
+    return queries.select("id", "values").join(lists, "id")
+
+
 def search_probes(
     queries: DataFrame, index: DataFrame, probes: DataFrame, k: int, budget: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -314,8 +320,7 @@ def search_probes(
     if pairs is not None:
         partial = scan_with_queries(index.sparkSession, block, rows, k, schema, pairs)
     else:
-        routed = queries.select("id", "values").join(probes.withColumnRenamed("qid", "id"), "id")
-        partial = pair_blocks(routed, rows, k, schema, budget)
+        partial = pair_blocks(with_cells(queries, probes), rows, k, schema, budget)
     return merge_best(partial, k).select("qid", "rank", "id", "distance")
 
 

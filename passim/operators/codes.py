@@ -6,18 +6,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passim.functions.vector import squared_l2, sum_vector
 from passim.operators.cells import CENTROID_DECIMALS, ITERATIONS, hash_order, train_sample
 from passim.operators.nearest import (
+    _BLOCK_CELLS,
+    _PRODUCT_CELLS,
     DISTANCE_DECIMALS,
     BestK,
     _arrow_schema,
     _best_batch,
     arrow_ids,
     arrow_matrix,
+    arrow_names,
     bounded_block,
+    in_tasks,
     merge_best,
+    near_products,
+    pair_blocks,
     result_schema,
     vector_width,
 )
@@ -155,42 +162,153 @@ def scan_codes(
     schema = result_schema(queries, index)
     block = bounded_block(queries, budget)
     if block is None:
-        return _join_codes(queries, index, codebooks, pool)
+        return join_codes(queries, index, codebooks, pool, budget)
     shared = spark.sparkContext.broadcast((block.ids, block.matrix, codebook_array(codebooks)))
     arrow = _arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix, books = shared.value
         best = BestK(len(matrix), pool)
-        step = max(1, 4_000_000 // (books.shape[0] * books.shape[1]))
         for batch in batches:
-            if not batch.num_rows or not len(matrix):
-                continue
-            codes = arrow_matrix(batch.column("codes")).astype(np.int64)
-            ids = arrow_ids(batch.column("id"))
-            fit = max(1, min(step, 4_000_000 // len(codes)))
-            for start in range(0, len(matrix), fit):
-                which = np.arange(start, min(start + fit, len(matrix)))
-                table = sub_distances(matrix[which], books)
-                total = np.zeros((len(which), len(codes)))
-                for sub in range(len(books)):
-                    total += table[sub][:, codes[:, sub]]
-                best.add(which, np.round(total, DISTANCE_DECIMALS), ids)
+            if batch.num_rows and len(matrix):
+                add_codes(best, matrix, np.arange(len(matrix)), arrow_matrix(batch.column("codes")), arrow_ids(batch.column("id")), books)
         yield from _best_batch(best, query_ids, arrow)
 
-    return merge_best(index.select("id", "codes").mapInArrow(scan, schema), pool)
+    return merge_best(in_tasks(index.select("id", "codes"), len(block.ids)).mapInArrow(scan, schema), pool)
 
 
-def _join_codes(queries: DataFrame, index: DataFrame, codebooks: DataFrame, pool: int) -> DataFrame:
-    """The same scan when the queries do not fit the budget.
+def add_codes(best: BestK, queries: np.ndarray, which: np.ndarray, codes: np.ndarray, ids: np.ndarray, books: np.ndarray) -> None:
+    """Offer coded rows to the queries ``which[i]`` at ``queries[i]``.
 
-    Decoded vectors stand in for the codes: the distance to a decoded vector is
-    the sum of its subspace distances, so the block pairing of exact search
-    applies unchanged.
+    The distance to the vector that a code stands for is, but for roundings, the
+    sum of its table entries; so one product finds what may enter a list, and
+    entries are added up for that alone.
     """
-    from passim.operators.nearest import knn
+    codes = codes.astype(np.int64)
+    subs, words, _ = books.shape
+    decoded = books[np.arange(subs)[None, :], codes].reshape(len(codes), -1)
+    step = max(1, min(_BLOCK_CELLS // (subs * words), _PRODUCT_CELLS // max(1, len(codes))))
+    for start in range(0, len(which), step):
+        block, part = queries[start : start + step], which[start : start + step]
+        near, slack = near_products(block, decoded)
+        row, col = best.candidates(part, near, slack + _code_slack(books))
+        if len(row):
+            best.offer(part[row], code_sums(sub_distances(block, books), row, codes, col), ids[col])
 
-    return knn(queries, decode_pq(index, codebooks).select("id", "values"), pool)
+
+def _code_slack(books: np.ndarray) -> float:
+    """Twice what rounding the entries of a sum, and the sum, can change."""
+    return (len(books) + 1) * 10.0**-DISTANCE_DECIMALS
+
+
+def code_sums(table: np.ndarray, row: np.ndarray, codes: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Sum of the table entries of query ``row[i]`` for the code ``col[i]``, rounded."""
+    total = np.zeros(len(row))
+    for sub in range(len(table)):
+        total += table[sub][row, codes[col, sub]]
+    return np.round(total, DISTANCE_DECIMALS)
+
+
+def join_codes(queries: DataFrame, index: DataFrame, codebooks: DataFrame, pool: int, budget: int = BROADCAST_BYTES, centroids=None) -> DataFrame:
+    """The same scan when the queries do not fit the budget: blocks are paired by a shuffle.
+
+    With ``centroids`` (sorted ids, matrix), queries have ``cells`` and codes are of residuals.
+    """
+    schema = result_schema(queries, index)
+    kind = _arrow_schema(schema).field("id").type
+    sent = index.sparkSession.sparkContext.broadcast((codebook_array(codebooks), centroids))
+
+    def meet(block: np.ndarray, pairs: list, part: pa.Table) -> tuple:
+        best, codes, ids = BestK(len(block), pool), arrow_matrix(part.column("codes")), arrow_ids(part.column("id"))
+        books, centres = sent.value
+        for cell, which, here in pairs:
+            add_codes(best, _to_centre(block[which], centres, cell), which, codes[here], ids[here], books)
+        query, dist, names = best.found()
+        return query, [arrow_names(names, kind), pa.array(dist)]
+
+    homed = centroids is not None
+    queries = queries.select("id", "values", *(["cells"] if homed else []))
+    partial = pair_blocks(queries, index.select("id", "codes", *(["cell"] if homed else [])), pool, schema, budget, meet, ("codes",))
+    return merge_best(partial, pool)
+
+
+def _to_centre(queries: np.ndarray, centroids, cell: int) -> np.ndarray:
+    return queries if centroids is None else queries - centroids[1][np.searchsorted(centroids[0], cell)]
+
+
+def rescored_search(
+    queries: DataFrame, index: DataFrame, codebooks: DataFrame, k: int, pool: int, budget: int = BROADCAST_BYTES, centroids=None, pools: DataFrame | None = None
+) -> DataFrame:
+    """``qid, rank, id, distance``: the first ``k`` by exact distance among the first ``pool`` by code.
+
+    Where a block of queries meets a block of coded vectors, the task ranks by
+    code, measures what its pools hold, and emits both distances, so no candidate
+    is joined with its vector or its query later. A pool that has room for the
+    whole index leaves out no row of any block; each block's pool is then ranked
+    where it lies and only its first ``k`` are emitted, so that the pools never
+    are rows of a table. With ``centroids`` (sorted ids, matrix), queries have
+    ``cells`` and codes are of residuals; ``pools`` (``qid, _pool``) are smaller
+    pools of single queries.
+    """
+    whole = pool >= index.count()
+    sent = index.sparkSession.sparkContext.broadcast((codebook_array(codebooks), centroids))
+    schema = T.StructType([*result_schema(queries, index).fields, T.StructField("exact", T.DoubleType())])
+
+    def meet(block: np.ndarray, pairs: list, part: pa.Table) -> tuple:
+        books, centres = sent.value
+        vectors, codes, ids = arrow_matrix(part.column("values")), arrow_matrix(part.column("codes")).astype(np.int64), arrow_ids(part.column("id"))
+        # Rows are numbered in the order of their ids, so that ties go to the lower id.
+        by_id = np.argsort(ids, kind="stable")
+        number = np.empty(len(ids), dtype=np.int64)
+        number[by_id] = np.arange(len(ids))
+        best = BestK(len(block), k if whole else pool)
+        for cell, which, here in pairs:
+            asked = _to_centre(block[which], centres, cell)
+            if whole:
+                _add_pooled(best, block, asked, which, vectors[here], codes[here], number[here], books, pool)
+            else:
+                add_codes(best, asked, which, codes[here], number[here], books)
+        query, dist, names = best.found()
+        row = by_id[names]
+        exact = dist if whole else _measured(block, query, vectors, row)
+        return query, [part.column("id").combine_chunks().take(pa.array(row)), pa.array(dist), pa.array(exact)]
+
+    columns = ("values", "codes")
+    homed = centroids is not None
+    queries, rows = queries.select("id", "values", *(["cells"] if homed else [])), index.select("id", *columns, *(["cell"] if homed else []))
+    partial = pair_blocks(queries, rows, k if whole else pool, schema, budget, meet, columns)
+    if not whole:
+        partial = top_k(partial, ["qid"], [F.col("distance"), F.col("id")], pool)
+        partial = partial if pools is None else partial.join(pools, "qid").filter(F.col("rank") <= F.col("_pool"))
+    exact = partial.select("qid", "id", F.col("exact").alias("distance"))
+    return top_k(exact, ["qid"], [F.col("distance"), F.col("id")], k).select("qid", "rank", "id", "distance")
+
+
+def _measured(queries: np.ndarray, row: np.ndarray, vectors: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Squared distance of ``queries[row[i]]`` to ``vectors[col[i]]``, from the differences, rounded."""
+    out, step = np.empty(len(row)), max(1, _BLOCK_CELLS // max(1, queries.shape[1]))
+    for low in range(0, len(row), step):
+        gap = queries[row[low : low + step]] - vectors[col[low : low + step]]
+        out[low : low + step] = np.einsum("ij,ij->i", gap, gap)
+    return np.round(out, DISTANCE_DECIMALS)
+
+
+def _add_pooled(
+    best: BestK, block: np.ndarray, asked: np.ndarray, which: np.ndarray, vectors: np.ndarray, codes: np.ndarray, names: np.ndarray, books: np.ndarray, pool: int
+) -> None:
+    """Offer by exact distance the rows that are among the first ``pool`` by code."""
+    decoded = books[np.arange(len(books))[None, :], codes].reshape(len(codes), -1)
+    step = max(1, _PRODUCT_CELLS // max(1, len(codes)))
+    for start in range(0, len(which), step):
+        part = which[start : start + step]
+        by_code, code_slack = near_products(asked[start : start + step], decoded)
+        near, slack = near_products(block[part], vectors)
+        if pool < len(codes):
+            cut = np.partition(by_code, pool - 1, axis=1)[:, pool - 1] + code_slack + _code_slack(books)
+            near[by_code > cut[:, None]] = np.inf
+        row, col = best.candidates(part, near, slack)
+        if len(row):
+            best.offer(part[row], _measured(block[part], row, vectors, col), names[col])
 
 
 def decode_pq(index: DataFrame, codebooks: DataFrame) -> DataFrame:
@@ -207,6 +325,10 @@ def decode_pq(index: DataFrame, codebooks: DataFrame) -> DataFrame:
     return index.withColumn("values", decode("codes"))
 
 
+# More candidates than this are measured where the codes are, not by joins.
+_JOINED_PAIRS = 300_000
+
+
 def default_pool(k: int) -> int:
     return max(10 * k, 100)
 
@@ -228,6 +350,8 @@ def pq_search(
         return scan_codes(queries, index, codebooks, k, budget).select("qid", "rank", "id", "distance")
     pool = max(k, rescore or default_pool(k))
     asked, width = queries.count(), vector_width(queries)
+    if asked * pool > min(_JOINED_PAIRS, budget // 64):
+        return rescored_search(queries, index, codebooks, k, pool, budget)
     found = scan_codes(queries, index, codebooks, pool, budget).select("qid", "id")
     ask = queries.select(F.col("id").alias("qid"), F.col("values").alias("_query"))
     # Candidates number queries times pool; while that is small the stored

@@ -29,6 +29,13 @@ from passim.session import BROADCAST_BYTES, broadcast_within, checkpointed
 DISTANCE_DECIMALS = 9
 # Cells of one distance block held in memory by a task.
 _BLOCK_CELLS = 4_000_000
+# Cells of one product, small enough to stay near the processor.
+_PRODUCT_CELLS = 1_000_000
+# Rows of the blocks of queries and of vectors that a shuffle pairs: each vector
+# block gives each query a list, so these are the larger ones.
+_QUERY_ROWS, _VECTOR_ROWS = 16_384, 65_536
+# From so many queries a scan has as many tasks as there are cores.
+_MANY_QUERIES = 4096
 
 
 def arrow_matrix(column: pa.Array) -> np.ndarray:
@@ -59,56 +66,142 @@ def squared_distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 class BestK:
-    """Running top-k of ``(distance, id)`` per query, fed block by block."""
+    """Running top-k of ``(distance, id)`` per query, fed block by block.
+
+    A block touches only the lists of the queries that gain by it, so its cost
+    does not grow with the number of queries held.
+    """
 
     def __init__(self, queries: int, k: int):
         self.k = k
         self.bound = np.full(queries, np.inf)
-        self.rows = np.empty(0, dtype=np.int64)
-        self.dist = np.empty(0)
-        self.ids: np.ndarray | None = None
+        self.counts = np.zeros(queries, dtype=np.int64)
+        self.lists = np.empty((queries, 0))
+        self.names: np.ndarray | None = None
+
+    def candidates(self, which: np.ndarray, dist: np.ndarray, slack: float | np.ndarray = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of what may enter the lists, if ``dist`` errs by half of ``slack`` at most."""
+        slack = np.broadcast_to(slack, len(which))
+        bound = self.bound[which] + slack
+        wide = dist.shape[1] > self.k
+        loose = np.isinf(bound) if wide else np.zeros(len(which), dtype=bool)
+        if loose.any():
+            bound[loose] = np.fmin(bound[loose], np.partition(dist[loose], self.k - 1, axis=1)[:, self.k - 1] + slack[loose])
+        hits = dist <= bound[:, None]
+        if wide and np.count_nonzero(hits) > 8 * self.k * len(which):
+            bound = np.fmin(bound, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1] + slack)
+            hits = dist <= bound[:, None]
+        return np.divmod(np.flatnonzero(hits), dist.shape[1])
 
     def add(self, which: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
         """Offer ``dist[i, j]``: query ``which[i]`` to vector ``ids[j]``."""
-        bound = self.bound[which]
-        if dist.shape[1] > self.k:
-            bound = np.minimum(bound, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
-        row, col = np.nonzero(dist <= bound[:, None])
-        if not len(row):
+        if dist.size:
+            row, col = self.candidates(which, dist)
+            self.offer(which[row], dist[row, col], ids[col])
+
+    def offer(self, rows: np.ndarray, dists: np.ndarray, names: np.ndarray) -> None:
+        """Offer vector ``names[i]`` at ``dists[i]`` to query ``rows[i]``."""
+        bound = self.bound[rows]
+        keep = dists <= bound
+        # A vector as far as the last of a full list needs a lower id.
+        tied = np.flatnonzero((dists == bound) & (self.counts[rows] == self.k))
+        if len(tied):
+            keep[tied] = names[tied] < self.names[rows[tied], self.k - 1]
+        if not keep.any():
             return
-        rows = np.concatenate([self.rows, which[row]])
-        dists = np.concatenate([self.dist, dist[row, col]])
-        found = ids[col]
-        names = found if self.ids is None else np.concatenate([self.ids, found])
-        order = np.lexsort((names, dists, rows))
-        rows, dists, names = rows[order], dists[order], names[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        counts = np.diff(np.r_[first, len(rows)])
-        place = np.arange(len(rows)) - np.repeat(first, counts)
-        keep = place < self.k
-        self.rows, self.dist, self.ids = rows[keep], dists[keep], names[keep]
-        last = place == self.k - 1
-        self.bound[rows[last]] = dists[last]
+        rows, dists, names = rows[keep], dists[keep], names[keep]
+        which, place = np.unique(rows, return_inverse=True)
+        held = self.counts[which]
+        if held.any():
+            old = np.repeat(np.arange(len(which)), held)
+            at = np.arange(len(old)) - np.repeat(np.cumsum(held) - held, held)
+            place = np.concatenate([old, place])
+            dists = np.concatenate([self.lists[which[old], at], dists])
+            names = np.concatenate([self.names[which[old], at], names])
+        order = np.lexsort((names, dists, place))
+        place, dists, names = place[order], dists[order], names[order]
+        sizes = np.bincount(place, minlength=len(which))
+        at = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = at < self.k
+        place, dists, names, at = place[first], dists[first], names[first], at[first]
+        self._widen(int(at.max()) + 1, names.dtype)
+        self.lists[which[place], at], self.names[which[place], at] = dists, names
+        self.counts[which] = np.minimum(sizes, self.k)
+        full = at == self.k - 1
+        self.bound[which[place[full]]] = dists[full]
+
+    def _widen(self, width: int, kind: np.dtype) -> None:
+        """Room for lists of ``width`` rows and names of ``kind``."""
+        have = self.lists.shape[1]
+        if self.names is None:
+            self.names = np.empty((len(self.bound), 0), dtype=kind)
+        kind = np.promote_types(self.names.dtype, kind)
+        if kind != self.names.dtype:
+            self.names = self.names.astype(kind)
+        if width > have:
+            more = max(width, min(self.k, 2 * have)) - have
+            self.lists = np.concatenate([self.lists, np.empty((len(self.bound), more))], axis=1)
+            self.names = np.concatenate([self.names, np.empty((len(self.bound), more), dtype=kind)], axis=1)
+
+    def found(self, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, distance and name of all that the lists of these queries hold, in order."""
+        counts = self.counts[low:high]
+        rows = np.repeat(np.arange(low, low + len(counts)), counts)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        names = self.names if self.names is not None else np.empty((len(self.bound), 1), dtype=np.int64)
+        return rows, self.lists[rows, at] if len(rows) else np.empty(0), names[rows, at]
+
+
+# Distances are rounded to nine decimals; a product of blocks errs by much less than this share of the squares.
+_ROUNDING, _PRODUCT_ERROR = 2e-9, 1e-12
+
+
+def near_products(queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All squared distances by one product, neither clipped nor rounded, and for each query a bound of twice the error."""
+    left, right = (queries**2).sum(axis=1), (vectors**2).sum(axis=1)
+    near = np.column_stack([-2.0 * queries, np.ones(len(queries)), left]) @ np.vstack([vectors.T, right, np.ones(len(vectors))])
+    most = right[np.isfinite(right)].max(initial=0.0)
+    return near, _ROUNDING + _PRODUCT_ERROR * (left + most)
 
 
 def add_blocks(best: BestK, queries: np.ndarray, which: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
-    step = max(1, _BLOCK_CELLS // max(1, len(vectors)))
+    """Offer vectors to queries. Only what may enter a list is measured and rounded one by one."""
+    step = max(1, _PRODUCT_CELLS // max(1, len(vectors)))
     for start in range(0, len(which), step):
         part = which[start : start + step]
-        best.add(part, squared_distances(queries[part], vectors), ids)
+        block = queries[part]
+        near, slack = near_products(block, vectors)
+        row, col = best.candidates(part, near, slack)
+        if 8 * len(row) > near.size:
+            best.offer(part[row], squared_distances(block, vectors)[row, col], ids[col])
+        elif len(row):
+            best.offer(part[row], paired_distances(block, row, vectors, col), ids[col])
+
+
+def paired_distances(queries: np.ndarray, row: np.ndarray, vectors: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Squared distance of ``queries[row[i]]`` to ``vectors[col[i]]``, rounded."""
+    left, right = (queries**2).sum(axis=1), (vectors**2).sum(axis=1)
+    out, step = np.empty(len(row)), max(1, _BLOCK_CELLS // max(1, queries.shape[1]))
+    for low in range(0, len(row), step):
+        some = slice(low, low + step)
+        out[some] = np.einsum("ij,ij->i", queries[row[some]], vectors[col[some]])
+    return np.round(np.maximum(left[row] + right[col] - 2.0 * out, 0.0), DISTANCE_DECIMALS)
+
+
+# Queries of one output batch.
+_BATCH_QUERIES = 16_384
 
 
 def _best_batch(best: BestK, query_ids: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if best.ids is None:
-        return
-    yield pa.RecordBatch.from_arrays(
-        [
-            query_ids.take(pa.array(best.rows)),
-            pa.array(best.ids.tolist(), type=schema.field("id").type),
-            pa.array(best.dist, type=pa.float64()),
-        ],
-        schema=schema,
-    )
+    kind = schema.field("id").type
+    for low in range(0, len(best.bound), _BATCH_QUERIES):
+        rows, dist, names = best.found(low, low + _BATCH_QUERIES)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(rows)), arrow_names(names, kind), pa.array(dist, type=pa.float64())], schema=schema)
+
+
+def arrow_names(names: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(names if names.dtype.kind in "iu" else names.tolist(), type=kind)
 
 
 def _arrow_type(data_type: T.DataType) -> pa.DataType:
@@ -203,7 +296,12 @@ def scan_with_queries(
         yield from _best_batch(best, query_ids, arrow)
 
     columns = ["id", "values"] if pairs is None else ["id", "values", "cell"]
-    return vectors.select(*columns).mapInArrow(scan, schema)
+    return in_tasks(vectors.select(*columns), len(block.ids)).mapInArrow(scan, schema)
+
+
+def in_tasks(vectors: DataFrame, queries: int) -> DataFrame:
+    """Vectors in as many tasks as there are cores, if many queries make a scan long."""
+    return vectors if queries < _MANY_QUERIES else vectors.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "id")
 
 
 def finish_against_block(
@@ -228,52 +326,118 @@ def finish_against_block(
 
 
 def pair_blocks(
-    queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, budget: int = BROADCAST_BYTES, offer=add_blocks
+    queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, budget: int = BROADCAST_BYTES, meet=None, columns: tuple[str, ...] = ("values",)
 ) -> DataFrame:
     """Top-k per pair of blocks when neither side can be broadcast.
 
-    ``offer`` compares two blocks; by default it takes squared distances.
+    Every query meets every vector or, where the queries carry a list ``cells``,
+    every vector whose ``cell`` is in it. Blocks are of bounded size: small cells
+    share one, and a large cell is cut into as many as its own row count needs.
+    A query goes once to each block that holds one of its cells, with the list of
+    these, so neither its vector nor a pair is repeated for each cell.
 
-    Rows of both sides carry a ``cell``; only blocks of the same cell meet. A
-    large cell is cut into as many blocks as its own row count needs, so one
-    hot cell becomes many groups of bounded size.
+    ``meet(block, pairs, part)`` takes the query vectors, a list of ``(cell,
+    query numbers, vector rows)`` and the table of the vectors' ``columns``, and
+    gives query numbers and the output's other columns; by default squared
+    distances are ranked.
     """
-    rows = max(1, budget_rows(vector_width(vectors), budget))
+    spark, routed = vectors.sparkSession, "cells" in queries.columns
+    fit = max(1, budget_rows(vector_width(queries), budget))
+    if not routed:
+        queries, vectors = queries.withColumn("cells", F.array(F.lit(0))), vectors.withColumn("cell", F.lit(0))
+    # One row for each cell: the model's size.
+    sizes = {r["cell"]: r["n"] for r in vectors.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    asks = queries.select(F.explode(F.array_distinct("cells")).alias("cell")) if routed else queries.select(F.lit(0).alias("cell"))
+    asked = {r["cell"]: r["n"] for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    groups = _cell_groups({c: n for c, n in sizes.items() if c in asked}, asked, min(_QUERY_ROWS, fit), min(_VECTOR_ROWS, fit))
+    cells = np.array(sorted(groups), dtype=np.int64)
+    sent = spark.sparkContext.broadcast((cells, np.array([groups[c] for c in cells.tolist()], dtype=np.int64).reshape(-1, 3)))
+    keys = ["_g", "_q", "_v"]
+    grid = spark.createDataFrame([(int(c), *map(int, groups[c])) for c in cells.tolist()], "cell int, _g int, _qparts int, _vparts int")
+    right = (
+        vectors.withColumn("cell", F.col("cell").cast("int"))
+        .join(F.broadcast(grid), "cell")
+        .withColumn("_v", F.pmod(F.xxhash64("id"), F.col("_vparts")).cast("int"))
+        .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_qparts") - 1)))
+        .select("id", *columns, "cell", *keys)
+    )
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        counts = df.groupBy("cell").agg(F.count("*").alias("_n"))
-        return counts.select("cell", F.ceil(F.col("_n") / rows).cast("int").alias(name))
+    @F.arrow_udf("array<struct<_g: int, _qparts: int, _vparts: int, cells: array<int>>>")
+    def deal(lists: pa.Array) -> pa.Array:
+        """The blocks' groups that a list of cells meets, each with its part of the list."""
+        known, place = sent.value
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+        keep = known[at] == flat if len(known) else np.zeros(len(flat), dtype=bool)
+        flat, row, at = flat[keep], row[keep], at[keep]
+        order = np.lexsort((place[at, 0], row))
+        flat, row, spot = flat[order], row[order], place[at[order]]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (spot[1:, 0] != spot[:-1, 0])]) if len(row) else np.zeros(0, dtype=np.int64)
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[first, len(flat)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+        parts = [pa.array(spot[first, i].astype(np.int32)) for i in range(3)]
+        entries = pa.StructArray.from_arrays([*parts, inner], ["_g", "_qparts", "_vparts", "cells"])
+        ends = np.searchsorted(row[first], np.arange(len(lists) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), entries)
 
-    grid = parts(queries, "_qparts").join(parts(vectors, "_vparts"), "cell")
-    last = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
     left = (
-        queries.join(grid, "cell")
+        queries.select("id", "values", F.explode(deal("cells")).alias("_d"))
+        .select("id", "values", "_d.*")
         .withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_qparts")).cast("int"))
-        .withColumn("_v", F.explode(last("_vparts")))
-        .select(*[F.col(c).alias("q_" + c) for c in ("id", "values", "cell", "_q", "_v")])
-    )
-    right = (
-        vectors.join(grid, "cell")
-        .withColumn("_v", F.pmod(F.xxhash64("id"), F.col("_vparts")).cast("int"))
-        .withColumn("_q", F.explode(last("_qparts")))
-        .select(*[F.col(c).alias(c) for c in ("id", "values", "cell", "_q", "_v")])
+        .withColumn("_v", F.explode(F.sequence(F.lit(0), F.col("_vparts") - 1)))
+        .select(*[F.col(c).alias("q_" + c) for c in ("id", "values", "cells", *keys)])
     )
     arrow = _arrow_schema(schema)
 
+    def ranked(block: np.ndarray, pairs: list, part: pa.Table) -> Iterator[tuple]:
+        best, data, ids = BestK(len(block), k), arrow_matrix(part.column("values")), arrow_ids(part.column("id"))
+        for _, which, here in pairs:
+            add_blocks(best, block, which, data[here], ids[here])
+        query, dist, names = best.found()
+        return query, [arrow_names(names, arrow.field("id").type), pa.array(dist)]
+
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
-        block = arrow_matrix(left.column("q_values"))
-        best = BestK(len(block), k)
-        offer(best, block, np.arange(len(block)), arrow_matrix(right.column("values")), arrow_ids(right.column("id")))
-        return pa.Table.from_batches(
-            list(_best_batch(best, left.column("q_id").combine_chunks(), arrow)), schema=arrow
-        )
-
-    keys = ["cell", "_q", "_v"]
+        lists = left.column("q_cells").combine_chunks()
+        flat = lists.flatten().to_numpy().astype(np.int64)
+        number = np.repeat(np.arange(left.num_rows), pc.list_value_length(lists).to_numpy())
+        order = np.argsort(flat, kind="stable")
+        flat, number = flat[order], number[order]
+        home, pairs = right.column("cell").to_numpy(), []
+        by_cell = np.argsort(home, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(home[by_cell]) != 0, True])
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            cell = int(home[by_cell[low]])
+            first, last = np.searchsorted(flat, [cell, cell + 1])
+            if last > first:
+                pairs.append((cell, number[first:last], by_cell[low:high]))
+        query, out = (meet or ranked)(arrow_matrix(left.column("q_values")), pairs, right)
+        return pa.Table.from_arrays([left.column("q_id").combine_chunks().take(pa.array(query)), *out], schema=arrow)
+
     return left.groupBy(*["q_" + c for c in keys]).cogroup(right.groupBy(*keys)).applyInArrow(pair, schema)
 
 
+def _cell_groups(sizes: dict[int, int], asked: dict[int, int], query_rows: int, rows: int) -> dict[int, tuple[int, int, int]]:
+    """Group of each cell, and into how many parts its queries and its vectors are cut."""
+    out, group, members, held = {}, 0, [], 0
+
+    def close() -> None:
+        nonlocal group, members, held
+        if members:
+            parts = max(1, -(-max(asked[c] for c in members) // query_rows)), max(1, -(-held // rows))
+            out.update(dict.fromkeys(members, (group, *parts)))
+            group, members, held = group + 1, [], 0
+
+    for cell in sorted(sizes):
+        if held + sizes[cell] > rows:
+            close()
+        members.append(cell)
+        held += sizes[cell]
+    close()
+    return out
+
+
 def merge_best(partial: DataFrame, k: int) -> DataFrame:
     """Merge per-task winners: best distance first, then id."""
     return top_k(partial, ["qid"], [F.col("distance"), F.col("id")], k)
@@ -294,10 +458,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, budget: int = BROADCAST_
         if block is not None:
             partial = finish_against_block(spark, queries, block, k, schema)
         else:
-            one = F.lit(0).alias("cell")
-            partial = pair_blocks(
-                queries.select("id", "values", one), vectors.select("id", "values", one), k, schema, budget
-            )
+            partial = pair_blocks(queries.select("id", "values"), vectors.select("id", "values"), k, schema, budget)
     return merge_best(partial, k).select("qid", "rank", "id", "distance")
 
 

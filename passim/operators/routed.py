@@ -8,6 +8,7 @@ the vectors themselves only those of the candidates count.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passim.functions.vector import squared_l2
-from passim.operators.cells import ITERATIONS, default_nprobe, in_probed_cells, request_probes
-from passim.operators.codes import CODEWORDS, SUBSPACES, codebook_array, encode_pq, sub_distances, train_pq
+from passim.operators.cells import ITERATIONS, default_nprobe, in_probed_cells, request_probes, with_cells
+from passim.operators.codes import _JOINED_PAIRS, CODEWORDS, SUBSPACES, add_codes, codebook_array, encode_pq, join_codes, rescored_search, train_pq
 from passim.operators.nearest import (
-    _BLOCK_CELLS,
     DISTANCE_DECIMALS,
     BestK,
     _arrow_schema,
     _best_batch,
     arrow_ids,
     arrow_matrix,
-    budget_rows,
     merge_best,
-    pair_blocks,
     result_schema,
     vector_width,
 )
@@ -84,35 +82,14 @@ def settle(requests: DataFrame, nlist: int) -> DataFrame:
     )
 
 
-def add_codes(best: BestK, queries: np.ndarray, which: np.ndarray, codes: np.ndarray, ids: np.ndarray, books: np.ndarray) -> None:
-    """Offer rows of one cell to the queries, which are residuals to its centroid."""
-    codes = codes.astype(np.int64)
-    step = max(1, min(_BLOCK_CELLS // (books.shape[0] * books.shape[1]), _BLOCK_CELLS // max(1, len(codes))))
-    for start in range(0, len(which), step):
-        table = sub_distances(queries[start : start + step], books)
-        total = np.zeros((table.shape[1], len(codes)))
-        for sub in range(len(books)):
-            total += table[sub][:, codes[:, sub]]
-        best.add(which[start : start + step], np.round(total, DISTANCE_DECIMALS), ids)
-
-
-def scan_probed_codes(routed: DataFrame, rows: DataFrame, codebooks: DataFrame, pool: int, budget: int = BROADCAST_BYTES) -> DataFrame:
+def scan_probed_codes(routed: DataFrame, rows: DataFrame, codebooks: DataFrame, pool: int) -> DataFrame:
     """Top ``pool`` by code distance: ``qid, rank, id, distance``.
 
     ``routed`` has a row for each query and probed cell, ``id, cell, values`` (the
-    residual). It is sent to the tasks if it fits the budget; else its blocks
-    meet the blocks of each cell by one shuffle.
+    residual), and fits the budget.
     """
     spark, schema = rows.sparkSession, result_schema(routed, rows)
     books = codebook_array(codebooks)
-    if routed.count() > budget_rows(vector_width(routed), budget):
-        sent = spark.sparkContext.broadcast(books)
-
-        def offer(best, queries, which, codes, ids):
-            add_codes(best, queries[which], which, codes, ids, sent.value)
-
-        partial = pair_blocks(routed, rows.withColumnRenamed("codes", "values"), pool, schema, budget, offer)
-        return merge_best(partial, pool)
     table = routed.select("id", "cell", "values").toArrow()
     cells = table.column("cell").combine_chunks().to_numpy()
     order = np.argsort(cells, kind="stable")
@@ -153,11 +130,13 @@ def search_routed(requests: DataFrame, index: DataFrame, centroids: DataFrame, c
     limits = asked.agg(F.max("nprobe"), F.max("pool"), F.count("*"), F.sum(F.when(F.col("exact"), F.col("pool")))).first()
     most, pool, count, pooled = limits[0] or 1, limits[1] or 1, limits[2], limits[3] or 0
     probes = checkpointed(request_probes(asked, centroids, most, budget))
+    rows, width = in_probed_cells(index, probes), vector_width(asked)
+    if probes.count() * (8 * width + 64) > budget or pooled > min(_JOINED_PAIRS, budget // 64):
+        return _search_paired(asked, probes, rows, centroids, codebooks, budget)
     routed = asked.select("id", "values").join(probes.withColumnRenamed("qid", "id"), "id")
     routed = residuals(routed.select("id", "cell", "values"), centroids)
-    rows = in_probed_cells(index, probes)
     limit = asked.select(F.col("id").alias("qid"), "k", "pool", "exact")
-    found = scan_probed_codes(routed, rows.select("id", "codes", "cell"), codebooks, pool, budget)
+    found = scan_probed_codes(routed, rows.select("id", "codes", "cell"), codebooks, pool)
     found = checkpointed(found.join(limit, "qid").filter(F.col("rank") <= F.col("pool")))
     by_code = found.filter("not exact").select("qid", "rank", "id", "distance")
     if not pooled:
@@ -167,8 +146,37 @@ def search_routed(requests: DataFrame, index: DataFrame, centroids: DataFrame, c
     exact = (
         rows.select("id", "values")
         .join(broadcast_within(wanted, pooled, 64), "id")
-        .join(broadcast_within(ask, count, 8 * vector_width(asked) + 64), "qid")
+        .join(broadcast_within(ask, count, 8 * width + 64), "qid")
         .select("qid", "k", "id", F.round(squared_l2(F.col("_query"), F.col("values")), DISTANCE_DECIMALS).alias("distance"))
     )
     ranked = top_k(exact, ["qid"], [F.col("distance"), F.col("id")], asked.agg(F.max("k")).first()[0])
     return ranked.filter(F.col("rank") <= F.col("k")).select("qid", "rank", "id", "distance").unionByName(by_code)
+
+
+def _search_paired(asked: DataFrame, probes: DataFrame, rows: DataFrame, centroids: DataFrame, codebooks: DataFrame, budget: int) -> DataFrame:
+    """The same where the probes, or the pools, are beyond the budget.
+
+    Requests go, once for each block of the probed cells' rows, to where the rows
+    are; residuals are made there, and candidates measured. Requests are taken by
+    what they ask for, since a pool that holds all rows is never stored.
+    """
+    table = centroids.select(F.col("id").cast("int").alias("id"), "values").orderBy("id").toArrow()
+    centres = table.column("id").to_numpy().astype(np.int64), arrow_matrix(table.column("values"))
+    asked = checkpointed(asked.drop("cells").join(with_cells(asked, probes).select("id", "cells"), "id"))
+    count = rows.count()
+    kinds = [F.col("exact") & (F.col("pool") >= count), F.col("exact") & (F.col("pool") < count), ~F.col("exact")]
+    out = []
+    for i, kind in enumerate(kinds):
+        some = asked.filter(kind)
+        k, pool, least = some.agg(F.max("k"), F.max("pool"), F.min("pool")).first()
+        if k is None:
+            continue
+        if i == 2:
+            hits = join_codes(some, rows, codebooks, k, budget, centres)
+        elif least == pool or i == 0:
+            hits = rescored_search(some, rows, codebooks, k, pool, budget, centres)
+        else:
+            hits = rescored_search(some, rows, codebooks, k, pool, budget, centres, some.select(F.col("id").alias("qid"), F.col("pool").alias("_pool")))
+        hits = hits.join(some.select(F.col("id").alias("qid"), "k"), "qid").filter(F.col("rank") <= F.col("k"))
+        out.append(hits.select("qid", "rank", "id", "distance"))
+    return reduce(DataFrame.unionByName, out)

@@ -126,3 +126,19 @@ def test_residual_codes_are_closer_than_plain_ones(spark, world):
     flat = codes.codebook_array(plain_books)
     other = sum(error(np.array(r["values"]), decode(r["codes"], flat)) for r in codes.encode_pq(frame(spark, matrix), plain_books).collect())
     assert own < other
+
+
+def test_no_residual_row_for_a_query_and_cell(spark, world, monkeypatch):
+    """Beyond the budget residuals are made where the rows are, and pools of all rows are never stored."""
+    matrix, centroids, books, coded = world
+    asked = frame(spark, matrix).withColumns({"k": F.lit(5), "nprobe": F.lit(6), "rescore": F.lit(400)})
+
+    def fail(*_):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(routed, "residuals", fail)
+    exact = {}
+    for r in nearest.knn(frame(spark, matrix), frame(spark, matrix), 5).collect():
+        exact.setdefault(r["qid"], []).append((r["rank"], r["id"]))
+    exact = {q: [i for _, i in sorted(h)] for q, h in exact.items()}
+    assert answers(routed.search_routed(asked, coded, centroids, books, 4000)) == exact

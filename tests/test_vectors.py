@@ -221,3 +221,55 @@ def test_windows_pad_as_reported(spark):
     assert all(r["values"][1] == len(r["text"] or "") for r in found) and len(found) == 1400
     report = padding_report(length_buckets(df, "ord", F.length(F.coalesce("text", F.lit(""))), 256, 64, 16), 16).collect()
     assert {r["shard"]: r["sorted_length"] for r in report} == {s: sum(r["values"][0] for r in found if r["shard"] == s) for s in "ab"}
+
+
+def test_a_block_sorts_only_what_it_offers(monkeypatch):
+    """Lists of other queries are left alone, however many there are."""
+    rng, sizes = np.random.default_rng(8), []
+    queries, vectors = rng.normal(size=(2000, 4)), rng.normal(size=(500, 4))
+    best = nearest.BestK(len(queries), 5)
+    nearest.add_blocks(best, queries, np.arange(len(queries)), vectors[:400], np.arange(400))
+    plain = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or plain(keys))
+    nearest.add_blocks(best, queries, np.arange(20), vectors[400:], np.arange(400, 500))
+    assert max(sizes, default=0) <= 20 * (5 + 100)
+    rows, dist, names = best.found(0, 20)
+    for q in range(20):
+        exact = np.round(((vectors - queries[q]) ** 2).sum(axis=1), 9)
+        assert names[rows == q].tolist() == plain((np.arange(500), exact))[:5].tolist()
+
+
+def test_a_query_goes_once_to_a_block_of_cells(spark):
+    """Not once for each of the cells that it probes there."""
+    rng = np.random.default_rng(9)
+    matrix = rng.normal(size=(120, 4))
+    rows = frame(spark, matrix)
+    model = frame(spark, matrix[:30], kind="int")
+    probes = cells.probe_cells(rows, model, 30)
+    held = cells.with_cells(rows, probes).collect()
+    assert len(held) == 120 and all(len(r["cells"]) == 30 for r in held)
+    hits = cells.ivf_search(rows, cells.assign_cells(rows, model), model, 5, 30, budget=2000)
+    assert answer(hits) == brute(matrix, matrix, 5, range(120), range(120))
+
+
+@pytest.mark.parametrize("pool", [40, 120, 5000])
+def test_pools_are_measured_where_the_codes_are(spark, data, monkeypatch, pool):
+    """No table of queries times pool is joined, and the answer is as with such joins."""
+    rows = frame(spark, data[:200])
+    books = codes.train_pq(rows, 2, 4, iterations=2)
+    coded = codes.encode_pq(rows, books)
+    joined = answer(codes.pq_search(rows, coded, books, 6, rescore=pool))
+
+    def fail(*_):
+        raise AssertionError("joined")
+
+    monkeypatch.setattr(codes, "broadcast_within", fail)
+    assert answer(codes.pq_search(rows, coded, books, 6, rescore=pool, budget=4000)) == joined
+
+
+def test_codes_only_beyond_the_budget(spark, data):
+    rows = frame(spark, data)
+    books = codes.train_pq(rows, 2, 4, iterations=2)
+    coded = codes.encode_pq(rows, books)
+    hits = [codes.pq_search(rows, coded, books, 6, rescore=-1, budget=budget) for budget in (1 << 24, 4000)]
+    assert answer(hits[0]) == answer(hits[1])
