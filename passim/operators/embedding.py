@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from passim.functions.rows import explode_rows
 from passim.functions.text import tokenize
-from passim.functions.vector import l2_normalize, sum_vector
+from passim.functions.vector import l2_normalize
 from passim.operators.nearest import arrow_matrix
 from passim.operators.passages import BATCH_ROWS, SLICE_ROWS, WINDOW_ROWS, length_buckets
-from passim.session import BROADCAST_BYTES
+from passim.session import BROADCAST_BYTES, broadcast_within, checkpointed
 
 # An encoder factory runs once per partition and returns the encoder, which
 # maps a list of texts to a ``len(texts) x dim`` array.
@@ -106,20 +106,17 @@ def static_embed(df: DataFrame, token_table: DataFrame, dim: int, text: str = "t
     ``token_table`` has ``token, vec``. Unknown tokens drop out, and a text
     without known tokens has no row. The table is sent out and each text's
     tokens are looked up and added where the text lies: no row per token, and no
-    shuffle. A table beyond the budget goes out in blocks; each block adds its
-    tokens' sum to every text, and the sums of a text meet by ``id``.
+    shuffle. Beyond the budget, texts are dealt to parts, and each part meets the
+    vectors of its own distinct tokens: every text is read and tokenized a fixed
+    number of times however large the table, of which the driver holds nothing.
     """
     spark, rows = df.sparkSession, df.select("id", tokenize(F.col(text)).alias("tokens"))
-    blocks = max(1, -(-token_table.count() * (8 * dim + 64) // budget))
-    summed = None
-    for block in range(blocks):
-        own = token_table if blocks == 1 else token_table.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == block)
-        table = own.select("token", "vec").toArrow()
+    if token_table.count() * (8 * dim + 64) <= budget:
+        table = token_table.select("token", "vec").toArrow()
         sent = spark.sparkContext.broadcast((table.column("token").combine_chunks(), arrow_matrix(table.column("vec"))))
-        part = rows.select("id", _token_sums(sent, dim)(F.col("tokens")).alias("_s")).filter("_s.n > 0").select("id", "_s.n", "_s.total")
-        summed = part if summed is None else summed.unionByName(part)
-    if blocks > 1:
-        summed = summed.groupBy("id").agg(F.sum("n").alias("n"), sum_vector(F.col("total"), dim).alias("total"))
+        summed = rows.select("id", _token_sums(sent, dim)(F.col("tokens")).alias("_s")).filter("_s.n > 0").select("id", "_s.n", "_s.total")
+    else:
+        summed = _sums_by_parts(rows, token_table, dim)
     mean = F.transform("total", lambda x: x / F.col("n"))
     return summed.select("id", mean.alias("_mean")).select("id", l2_normalize(F.col("_mean")).alias("values"))
 
@@ -133,31 +130,58 @@ def _token_sums(sent, dim: int):
 
     @F.arrow_udf("n long, total array<double>")
     def add(lists: pa.Array) -> pa.Array:
-        names, matrix = sent.value
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
-        coded = lists.flatten().dictionary_encode()
-        place = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=names), -1), dtype=np.int64)
-        place = place[np.asarray(coded.indices)] if len(place) else np.zeros(0, dtype=np.int64)
-        row = np.repeat(np.arange(len(lists)), sizes)[place >= 0]
-        place = place[place >= 0]
-        counts = np.bincount(row, minlength=len(lists))
-        total = np.zeros((len(lists), dim))
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        step, low = max(1, _HELD_NUMBERS // max(1, dim)), 0
-        while low < len(place):
-            # Cut where a text ends, if it ends within reach.
-            high = int(ends[np.searchsorted(ends, low + step, side="right") - 1])
-            high = high if high > low else min(low + step, len(place))
-            some = row[low:high]
-            starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-            total[some[starts]] += np.add.reduceat(matrix[place[low:high]], starts, axis=0)
-            low = high
-        offsets = pa.array(np.arange(0, total.size + 1, dim, dtype=np.int32))
-        return pa.StructArray.from_arrays([pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))], ["n", "total"])
+        return pa.StructArray.from_arrays(list(_known_sums(lists, *sent.value, dim)), ["n", "total"])
 
     return add
 
 
+def _known_sums(lists: pa.Array, names: pa.Array, matrix: np.ndarray, dim: int) -> tuple[pa.Array, pa.Array]:
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    coded = lists.flatten().dictionary_encode()
+    place = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=names), -1), dtype=np.int64)
+    place = place[np.asarray(coded.indices)] if len(place) else np.zeros(0, dtype=np.int64)
+    row = np.repeat(np.arange(len(lists)), sizes)[place >= 0]
+    place = place[place >= 0]
+    counts = np.bincount(row, minlength=len(lists))
+    total = np.zeros((len(lists), dim))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    step, low = max(1, _HELD_NUMBERS // max(1, dim)), 0
+    while low < len(place):
+        # Cut where a text ends, if it ends within reach.
+        high = int(ends[np.searchsorted(ends, low + step, side="right") - 1])
+        high = high if high > low else min(low + step, len(place))
+        some = row[low:high]
+        starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        total[some[starts]] += np.add.reduceat(matrix[place[low:high]], starts, axis=0)
+        low = high
+    offsets = pa.array(np.arange(0, total.size + 1, dim, dtype=np.int32))
+    return pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))
+
+
+# Texts of a part that meets the vectors of its tokens.
+_PART_TEXTS = 8192
+
+
+def _sums_by_parts(rows: DataFrame, token_table: DataFrame, dim: int) -> DataFrame:
+    """``id, n, total`` where the token table cannot be sent out."""
+    parts = max(1, -(-rows.count() // _PART_TEXTS))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition("_part")
+    # Rows of a part lie together already, so that this moves nothing.
+    needed = checkpointed(dealt.select("_part", F.explode(F.array_distinct("tokens")).alias("token")).distinct())
+    known = token_table.select("token", "vec").join(broadcast_within(needed, needed.count(), 128), "token").select("_part", "token", "vec")
+    schema = T.StructType([rows.schema["id"], T.StructField("n", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
+
+    def add(texts: pa.Table, table: pa.Table) -> pa.Table:
+        lists, names = texts.column("tokens").combine_chunks(), table.column("token").combine_chunks()
+        if not texts.num_rows or not table.num_rows:
+            return pa.table({"id": texts.column("id").slice(0, 0), "n": pa.array([], pa.int64()), "total": pa.array([], pa.list_(pa.float64()))})
+        counts, total = _known_sums(lists, names, arrow_matrix(table.column("vec")), dim)
+        out = pa.table({"id": texts.column("id"), "n": counts, "total": total})
+        return out.filter(pc.greater(out.column("n"), 0))
+
+    return dealt.groupBy("_part").cogroup(known.groupBy("_part")).applyInArrow(add, schema)
+
+
 def golden_check(encoded: DataFrame, goldens: DataFrame, eps: float = 1e-5) -> DataFrame:
     """Largest component gap to each stored encoding, and whether it is below ``eps``.
 

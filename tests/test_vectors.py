@@ -273,3 +273,15 @@ def test_codes_only_beyond_the_budget(spark, data):
     coded = codes.encode_pq(rows, books)
     hits = [codes.pq_search(rows, coded, books, 6, rescore=-1, budget=budget) for budget in (1 << 24, 4000)]
     assert answer(hits[0]) == answer(hits[1])
+
+
+def test_static_vectors_tokenize_each_text_a_fixed_number_of_times(spark):
+    """Not once for each block of a large token table."""
+    df = spark.createDataFrame([(i, f"t{i} t{i + 1} other") for i in range(50)], "id int, text string")
+    table = spark.createDataFrame([(f"t{i}", [float(i), 1.0]) for i in range(60)], "token string, vec array<double>")
+    found = embedding.static_embed(df, table, 2, budget=200)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    same = {r["id"]: r["values"] for r in embedding.static_embed(df, table, 2).collect()}
+    for row in found.collect():
+        assert np.allclose(row["values"], same.pop(row["id"]), atol=1e-12)
+    assert not same
