@@ -88,6 +88,10 @@ def static_embed(spark, folder):
     return components(embedding.static_embed(docs, t.stored_token_table(spark, folder), t.TOKEN_DIM), "id")
 
 
+# Token vectors that an encoder remembers.
+_KNOWN_TOKENS = 65_536
+
+
 def token_encoder():
     """An encoder with the token vectors of the static table."""
     import regex
@@ -97,6 +101,8 @@ def token_encoder():
 
     def vec(token: str) -> np.ndarray:
         if token not in known:
+            if len(known) >= _KNOWN_TOKENS:
+                known.clear()
             known[token] = np.frombuffer(hashlib.md5(token.encode()).digest(), dtype=np.uint8) / 127.5 - 1.0
         return known[token]
 

@@ -285,3 +285,14 @@ def test_static_vectors_tokenize_each_text_a_fixed_number_of_times(spark):
     for row in found.collect():
         assert np.allclose(row["values"], same.pop(row["id"]), atol=1e-12)
     assert not same
+
+
+def test_the_encoder_remembers_few_tokens(monkeypatch):
+    from passim.registry import vectors as registered
+
+    monkeypatch.setattr(registered, "_KNOWN_TOKENS", 10, raising=False)
+    encode = registered.token_encoder()
+    encode([" ".join(f"w{i}" for i in range(100))])
+    inner = dict(zip(encode.__code__.co_freevars, encode.__closure__))["vec"].cell_contents
+    known = dict(zip(inner.__code__.co_freevars, inner.__closure__))["known"].cell_contents
+    assert len(known) <= 10
