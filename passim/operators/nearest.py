@@ -34,6 +34,8 @@ _PRODUCT_CELLS = 1_000_000
 # Rows of the blocks of queries and of vectors that a shuffle pairs: each vector
 # block gives each query a list, so these are the larger ones.
 _QUERY_ROWS, _VECTOR_ROWS = 16_384, 65_536
+# Shuffle partitions of the paired blocks, at most.
+_MOST_PARTS = 2048
 # From so many queries a scan has as many tasks as there are cores.
 _MANY_QUERIES = 4096
 
@@ -349,7 +351,7 @@ def pair_blocks(
     sizes = {r["cell"]: r["n"] for r in vectors.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     asks = queries.select(F.explode(F.array_distinct("cells")).alias("cell")) if routed else queries.select(F.lit(0).alias("cell"))
     asked = {r["cell"]: r["n"] for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    groups = _cell_groups({c: n for c, n in sizes.items() if c in asked}, asked, min(_QUERY_ROWS, fit), min(_VECTOR_ROWS, fit))
+    groups = _cell_groups({c: n for c, n in sizes.items() if c in asked}, asked, queries.count(), min(_QUERY_ROWS, fit), min(_VECTOR_ROWS, fit))
     cells = np.array(sorted(groups), dtype=np.int64)
     sent = spark.sparkContext.broadcast((cells, np.array([groups[c] for c in cells.tolist()], dtype=np.int64).reshape(-1, 3)))
     keys = ["_g", "_q", "_v"]
@@ -415,17 +417,20 @@ def pair_blocks(
         query, out = (meet or ranked)(arrow_matrix(left.column("q_values")), pairs, right)
         return pa.Table.from_arrays([left.column("q_id").combine_chunks().take(pa.array(query)), *out], schema=arrow)
 
+    # By number, as blocks of few bytes are much work and must not be put together.
+    blocks = min(_MOST_PARTS, 4 * sum(q * v for _, q, v in set(groups.values())) or 1)
+    left, right = left.repartition(blocks, *["q_" + c for c in keys]), right.repartition(blocks, *keys)
     return left.groupBy(*["q_" + c for c in keys]).cogroup(right.groupBy(*keys)).applyInArrow(pair, schema)
 
 
-def _cell_groups(sizes: dict[int, int], asked: dict[int, int], query_rows: int, rows: int) -> dict[int, tuple[int, int, int]]:
+def _cell_groups(sizes: dict[int, int], asked: dict[int, int], queries: int, query_rows: int, rows: int) -> dict[int, tuple[int, int, int]]:
     """Group of each cell, and into how many parts its queries and its vectors are cut."""
     out, group, members, held = {}, 0, [], 0
 
     def close() -> None:
         nonlocal group, members, held
         if members:
-            parts = max(1, -(-max(asked[c] for c in members) // query_rows)), max(1, -(-held // rows))
+            parts = max(1, -(-min(queries, sum(asked[c] for c in members)) // query_rows)), max(1, -(-held // rows))
             out.update(dict.fromkeys(members, (group, *parts)))
             group, members, held = group + 1, [], 0
 

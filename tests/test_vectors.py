@@ -296,3 +296,10 @@ def test_the_encoder_remembers_few_tokens(monkeypatch):
     inner = dict(zip(encode.__code__.co_freevars, encode.__closure__))["vec"].cell_contents
     known = dict(zip(inner.__code__.co_freevars, inner.__closure__))["known"].cell_contents
     assert len(known) <= 10
+
+
+def test_blocks_hold_all_the_queries_of_their_cells():
+    """A group of cells has the queries of all of them, not of the largest one."""
+    groups = nearest._cell_groups({1: 10, 2: 10, 3: 500}, {1: 40, 2: 60, 3: 30}, 80, 20, 100)
+    assert groups[1] == groups[2] == (0, 4, 1)
+    assert groups[3][1:] == (2, 5)
