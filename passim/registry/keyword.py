@@ -50,11 +50,13 @@ def text_index(spark, folder, stop_words=None, title_weight=0):
         lengths = lexical.document_lengths(docs, stop_words, title_weight)
         lexical.collection_stats(lengths).write.parquet(path)
 
+    stats = spark.read.parquet(stored(spark, ("stats", *key), write_stats))
+
     def write_postings(path):
-        lexical.write_postings(lexical.build_postings(docs, stop_words, title_weight), path)
+        most = stats.select(F.col("n_docs") * F.col("avgdl")).first()[0]
+        lexical.write_postings(lexical.build_postings(docs, stop_words, title_weight), path, most)
 
-    postings = stored(spark, ("postings", *key), write_postings)
-    return spark.read.parquet(postings), spark.read.parquet(stored(spark, ("stats", *key), write_stats))
+    return spark.read.parquet(stored(spark, ("postings", *key), write_postings)), stats
 
 
 def block_index(spark, folder):
