@@ -14,7 +14,7 @@ gain are scored.
 """
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -31,6 +31,12 @@ from passim.operators.ranking import top_k
 from passim.session import BROADCAST_BYTES, broadcast_within, checkpointed
 
 BLOCK_ROWS = 1024
+# Blocks whose rows are put in term order together when an index is built.
+RUN_BLOCKS = 8
+# Of a run, rows given out at once.
+_RUN_ROWS = 16_384
+# Passages whose blocks one task of a search has, whatever their number.
+TASK_PASSAGES = 32_768
 _ROWS = "block long, term string, docs array<int>, tfs array<int>, dls array<int>, most_tf int, least_dl int, passages int, tokens long"
 
 
@@ -40,6 +46,7 @@ class TextIndex:
     without a term for each block: its ``ids``, in order, and its size."""
 
     rows: DataFrame
+    _sizes: list = field(default_factory=list, compare=False, repr=False)
 
     def terms(self) -> DataFrame:
         return self.rows.filter("term is not null").drop("ids", "tokens")
@@ -49,8 +56,10 @@ class TextIndex:
 
     def size(self) -> tuple[int, float]:
         """Passages and their mean length."""
-        row = self.names().agg(F.sum("passages").alias("n"), F.sum("tokens").alias("tokens")).first()
-        return row["n"] or 0, (row["tokens"] or 0) / (row["n"] or 1)
+        if not self._sizes:
+            row = self.names().agg(F.sum("passages").alias("n"), F.sum("tokens").alias("tokens")).first()
+            self._sizes.append((row["n"] or 0, (row["tokens"] or 0) / (row["n"] or 1)))
+        return self._sizes[0]
 
 
 def _block_rows(ids: pa.Array, tokens: pa.Array, block: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -91,14 +100,23 @@ def _block_rows(ids: pa.Array, tokens: pa.Array, block: int, schema: pa.Schema)
 def write_text_index(passages: DataFrame, path: str, stop_words: list[str] | None = None, title_weight: int = 0, block_rows: int = BLOCK_ROWS) -> None:
     """Build the index of ``passages`` (``id`` unique, ``text``, ``title``), map-only.
 
-    Files are in term order, so that a reader of few terms skips row groups.
+    Files are runs of some blocks, each in term order: a task holds one run,
+    however much it reads, and a reader of few terms skips the pages of others.
     """
     rows = passage_tokens(passages, stop_words, title_weight)
     fields = [*T._parse_datatype_string(_ROWS).fields, T.StructField("ids", T.ArrayType(rows.schema["id"].dataType))]
     schema = pa.schema([(f.name, _arrow_type(f.dataType)) for f in fields])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, []
+        block, held, made = TaskContext.get().partitionId() << 32, [], []
+
+        def run() -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(pa.Table.from_batches([part]) for part in made)
+            made.clear()
+            order = pc.sort_indices(table, [("term", "ascending"), ("block", "ascending")], null_placement="at_start")
+            for start in range(0, len(order), _RUN_ROWS):
+                yield from table.take(order.slice(start, _RUN_ROWS)).combine_chunks().to_batches()
+
         for batch in chain(batches, [None]):
             if batch is not None:
                 held.append(batch)
@@ -107,11 +125,15 @@ def write_text_index(passages: DataFrame, path: str, stop_words: list[str] | Non
                 table = pa.Table.from_batches(held).combine_chunks()
                 part, rest = table.slice(0, block_rows), table.slice(block_rows)
                 part = part.combine_chunks().to_batches()[0]
-                yield _block_rows(part.column("id"), part.column("tokens"), block, schema)
+                made.append(_block_rows(part.column("id"), part.column("tokens"), block, schema))
+                if len(made) == RUN_BLOCKS:
+                    yield from run()
                 block, count = block + 1, rest.num_rows
                 held = rest.to_batches()
+        if made:
+            yield from run()
 
-    rows.mapInArrow(build, T.StructType(fields)).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
+    rows.mapInArrow(build, T.StructType(fields)).write.mode("overwrite").parquet(path)
 
 
 def open_text_index(spark: SparkSession, path: str) -> TextIndex:
@@ -235,9 +257,11 @@ def _bounding(sent) -> Callable:
     return run
 
 
-def _together(rows: DataFrame) -> DataFrame:
-    """All rows of a block in one task, side by side."""
-    return rows.repartition("block").sortWithinPartitions("block")
+def _together(rows: DataFrame, index: TextIndex) -> DataFrame:
+    """All rows of a block in one task, side by side; more tasks for more passages."""
+    tasks = -(-index.size()[0] // TASK_PASSAGES)
+    few = tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition("block") if few else rows.repartition(tasks, "block")).sortWithinPartitions("block")
 
 
 def _batches(queries: DataFrame, index: TextIndex, stop_words: list[str] | None, budget: int) -> Iterator[_Asked]:
@@ -266,18 +290,18 @@ def _hits(spark: SparkSession, asked: _Asked, index: TextIndex, avgdl: float, k:
     sent = spark.sparkContext.broadcast(asked.plain(avgdl, floor))
     scored = "q long, block long, doc long, score double"
     columns = ["block", "term", "docs", "tfs", "dls", "most_tf", "least_dl"]
-    light = _together(rows.select("block", "term", "most_tf", "least_dl"))
+    light = _together(rows.select("block", "term", "most_tf", "least_dl"), index)
     bounds = checkpointed(light.mapInArrow(_bounding(sent), "q long, block long, bound double"))
     # The block of the highest bound for each query, scored for all queries.
     lead = checkpointed(bounds.groupBy("q").agg(F.max_by("block", F.struct("bound", "block")).alias("block")).select("block").distinct())
-    first = checkpointed(_together(rows.join(lead, "block", "left_semi").select(*columns)).mapInArrow(_best(k, sent), scored))
+    first = checkpointed(_together(rows.join(lead, "block", "left_semi").select(*columns), index).mapInArrow(_best(k, sent), scored))
     for r in top_k(first, ["q"], [F.col("score").desc()], k).filter(F.col("rank") == k).select("q", "score").collect():
         floor[r["q"]] = r["score"]
     sent = spark.sparkContext.broadcast(asked.plain(avgdl, floor))
     floors = spark.createDataFrame([(i, float(f)) for i, f in enumerate(floor)], "q long, floor double")
     live = bounds.join(F.broadcast(floors), "q").filter(F.col("bound") >= F.col("floor")).select("block").distinct()
     rest = rows.join(live.join(lead, "block", "left_anti"), "block", "left_semi").select(*columns)
-    return first.unionByName(_together(rest).mapInArrow(_best(k, sent), scored))
+    return first.unionByName(_together(rest, index).mapInArrow(_best(k, sent), scored))
 
 
 def search_text(
@@ -355,7 +379,7 @@ def _ranked(spark: SparkSession, asked: _Asked, index: TextIndex, avgdl: float,
                 yield pa.RecordBatch.from_arrays([pa.array(q[own]), pa.array(block[own]), pa.array(doc[own].astype(np.int64)), pa.array(value)], names=["q", "block", "doc", "score"])
 
     few = spark.createDataFrame(pa.table({"block": pa.array(np.unique(block), pa.int64())}))
-    there = _together(rows.join(F.broadcast(few), "block", "left_semi"))
+    there = _together(rows.join(F.broadcast(few), "block", "left_semi"), index)
     scored = checkpointed(there.mapInArrow(score, "q long, block long, doc long, score double").join(pairs.withColumn("doc", F.col("doc").cast("long")), ["q", "block", "doc"]))
     held = scored.select("q", "id", "score").toArrow()
     number, value = np.asarray(held.column("q")), np.asarray(held.column("score"))
@@ -384,6 +408,6 @@ def _ranked(spark: SparkSession, asked: _Asked, index: TextIndex, avgdl: float,
     both = rows.withColumn("ids", F.lit(None).cast(index.rows.schema["ids"].dataType))
     named = index.names().select("block", "ids")
     both = both.unionByName(named.select(*[F.lit(None).cast(both.schema[c].dataType).alias(c) if c not in ("block", "ids") else F.col(c) for c in both.columns]))
-    counted = _together(both).mapInArrow(count, "i long, before long").groupBy("i").agg(F.sum("before").alias("before"))
+    counted = _together(both, index).mapInArrow(count, "i long, before long").groupBy("i").agg(F.sum("before").alias("before"))
     which = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(number))), "q": held.column("q"), "id": held.column("id")}))
     return counted.join(F.broadcast(which), "i").select("q", "id", (F.col("before") + 1).alias("rank"))
