@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passim.functions.vector import sum_vector
 from passim.operators import nearest
 from passim.operators.nearest import (
+    answered_in_slices,
     arrow_ids,
     arrow_matrix,
     bounded_block,
@@ -133,7 +134,7 @@ def closest(data: np.ndarray, matrix: np.ndarray, names: np.ndarray) -> np.ndarr
     """Name of the nearest block row for each data row; ties to the lower name."""
     order = np.argsort(names, kind="stable")
     sorted_matrix, out = matrix[order], []
-    step = max(1, nearest._BLOCK_CELLS // max(1, len(matrix)))
+    step = max(1, min(nearest._BLOCK_CELLS, nearest._SLICE_CELLS) // max(1, len(matrix)))
     for start in range(0, len(data), step):
         part = nearest.squared_distances(data[start : start + step], sorted_matrix)
         out.append(part.argmin(axis=1))
@@ -273,7 +274,8 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, budget: int = BROADCA
         ids, matrix = shared.value
         if not len(values):
             return pa.array([], type=pa.int32())
-        return pa.array(closest(arrow_matrix(values), matrix, arrow_ids(ids)).astype(np.int32))
+        names = arrow_ids(ids)
+        return pa.array(answered_in_slices(values, lambda data: closest(data, matrix, names)).astype(np.int32))
 
     return vectors.withColumn("cell", home("values"))
 

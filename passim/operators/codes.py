@@ -13,10 +13,12 @@ from passim.operators.cells import CENTROID_DECIMALS, ITERATIONS, hash_order, tr
 from passim.operators.nearest import (
     _BLOCK_CELLS,
     _PRODUCT_CELLS,
+    _SLICE_CELLS,
     DISTANCE_DECIMALS,
     BestK,
     _arrow_schema,
     _best_batch,
+    answered_in_slices,
     arrow_ids,
     arrow_matrix,
     arrow_names,
@@ -62,7 +64,7 @@ def sub_distances(data: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 def nearest_codes(data: np.ndarray, books: np.ndarray) -> np.ndarray:
     """Codeword of each subvector, the lower code on ties: ``[row, sub]``."""
-    step = max(1, 4_000_000 // (books.shape[0] * books.shape[1]))
+    step = max(1, _SLICE_CELLS // (books.shape[0] * books.shape[1]))
     parts = [sub_distances(data[i : i + step], books).argmin(axis=2).T for i in range(0, len(data), step)]
     return np.concatenate(parts)
 
@@ -147,7 +149,7 @@ def encode_pq(vectors: DataFrame, codebooks: DataFrame) -> DataFrame:
     def encode(values: pa.Array) -> pa.Array:
         if not len(values):
             return pa.array([], type=pa.list_(pa.int16()))
-        codes = nearest_codes(arrow_matrix(values), shared.value).astype(np.int16)
+        codes = answered_in_slices(values, lambda data: nearest_codes(data, shared.value)).astype(np.int16)
         offsets = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))
 

@@ -13,7 +13,7 @@ Which side is sent to the executors is decided by measured size:
   paired by one shuffle.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,10 @@ DISTANCE_DECIMALS = 9
 _BLOCK_CELLS = 4_000_000
 # Cells of one product, small enough to stay near the processor.
 _PRODUCT_CELLS = 1_000_000
+# Rows of a batch that are turned into numbers at once, where each has an answer of its own.
+_SLICE_ROWS = 1024
+# Cells of one distance block of such rows.
+_SLICE_CELLS = 262_144
 # Rows of the blocks of queries and of vectors that a shuffle pairs: each vector
 # block gives each query a list, so these are the larger ones.
 _QUERY_ROWS, _VECTOR_ROWS = 16_384, 65_536
@@ -62,6 +66,11 @@ def arrow_ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def answered_in_slices(values: pa.Array, answer: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``answer`` to the rows of a list column, a slice at a time, so that a full batch is never held as numbers."""
+    return np.concatenate([answer(arrow_matrix(values.slice(i, _SLICE_ROWS))) for i in range(0, len(values), _SLICE_ROWS)])
+
+
 def squared_distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     squares = (queries**2).sum(axis=1)[:, None] + (vectors**2).sum(axis=1)[None, :]
     return np.round(np.maximum(squares - 2.0 * (queries @ vectors.T), 0.0), DISTANCE_DECIMALS)

@@ -90,3 +90,25 @@ def test_stream_with_compaction_and_replay(spark, tmp_path):
     stream.finish(spark, str(tmp_path / "index"))
     index = stream.read_collection(spark, str(tmp_path / "index"))
     assert index.count() == 3 and contents(index) == expected
+
+
+def test_a_full_batch_is_measured_in_slices():
+    """Cells and codes of a batch take memory by the slice, not by the batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from passim.operators import cells, codes, nearest
+
+    rng = np.random.default_rng(5)
+    data, books, means = rng.normal(size=(10_000, 64)).astype(np.float32), rng.normal(size=(16, 16, 4)), rng.normal(size=(200, 64))
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, data.size + 1, 64), pa.int32()), pa.array(data.ravel()))
+    want = codes.sub_distances(data.astype(float), books).argmin(axis=2).T, nearest.squared_distances(data.astype(float), means).argmin(axis=1)
+    tracemalloc.start()
+    coded = nearest.answered_in_slices(column, lambda rows: codes.nearest_codes(rows, books))
+    homed = nearest.answered_in_slices(column, lambda rows: cells.closest(rows, means, np.arange(200)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (coded == want[0]).all() and (homed == want[1]).all()
+    assert peak < 16 << 20
