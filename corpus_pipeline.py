@@ -40,9 +40,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """
     path = new_folder(spark, "numbered")
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.monotonically_increasing_id().alias("number"))
-    docs.select(F.struct("*").alias("row"), key.alias("key"), "text").write.parquet(path)
+    docs.select(F.struct("*").alias("row"), key.alias("key")).write.parquet(path)
     numbered = spark.read.parquet(path)
-    groups = jaccard.near_duplicates(numbered.select("key", "text"), doc_id="key")
+    groups = jaccard.near_duplicates(numbered.select("key", F.col("row.text").alias("text")), doc_id="key")
     kept = groups.where("n_shingles = 0 or doc_id.number = component_id.number").select("doc_id.number")
     return numbered.select("row", "key.number").join(kept, "number", "left_semi").select("row.*")
 

@@ -243,9 +243,9 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float, size: i
         met: set[int] = set()
         for batch in batches:
             # An answer for each slice, so that a batch is never held as sets.
-            for part in byte_slices(filled(batch), SLICE_BYTES):
+            for part in byte_slices(batch, SLICE_BYTES):
                 n, node, fold, key = [], [], [], []
-                for own in shingle_sets(part, size):
+                for own in shingle_sets(filled(part), size):
                     n.append(len(own))
                     node.append(_class_of(own))
                     fold.append(folded(own))
@@ -472,9 +472,9 @@ def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> Dat
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         met: set[int] = set()
         for batch in batches:
-            for part in byte_slices(filled(batch), SLICE_BYTES):
+            for part in byte_slices(batch, SLICE_BYTES):
                 node, kept = [], []
-                for own in shingle_sets(part, size):
+                for own in shingle_sets(filled(part), size):
                     name = _class_of(own)
                     place = (name & (1 << 64) - 1) >> (64 - MARK_BITS)
                     want = name not in met and bool(int(sent.value[place >> 6]) >> (place & 63) & 1)

@@ -180,8 +180,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
         known = LanguageModel.of(*sent.value)
         for batch in batches:
             names, scores = [], [np.zeros(0)]
-            for part in byte_slices(filled(batch)):
-                own, value = known.predict(part)
+            for part in byte_slices(batch):
+                own, value = known.predict(filled(part))
                 names += own
                 scores.append(value)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
