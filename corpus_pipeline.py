@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from passim.llm import decontaminate, jaccard, language, packing, secrets
 from passim.llm.queries import tokenizer
-from passim.session import new_folder
+from passim.session import broadcast_within, new_folder
 
 
 # A text of so many words shows its language; where none gets this share, it goes.
 SHOWING_WORDS, LEAST_SHARE = language.EVIDENCE_WORDS, 0.5
+# What the number of a dropped row takes in a broadcast table.
+NUMBER_BYTES = 64
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +45,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     docs.select(F.struct("*").alias("row"), key.alias("key")).write.parquet(path)
     numbered = spark.read.parquet(path)
     groups = jaccard.near_duplicates(numbered.select("key", F.col("row.text").alias("text")), doc_id="key")
-    kept = groups.where("n_shingles = 0 or doc_id.number = component_id.number").select("doc_id.number")
-    return numbered.select("row", "key.number").join(kept, "number", "left_semi").select("row.*")
+    kept = F.expr("n_shingles = 0 or doc_id.number = component_id.number")
+    gone = new_folder(spark, "dropped")
+    groups.where(~F.coalesce(kept, F.lit(False))).select("doc_id.number").write.parquet(gone)
+    dropped = spark.read.parquet(gone)
+    # The numbers of dropped rows are sent out if they are few, so that the texts stay where they lie.
+    dropped = broadcast_within(dropped, dropped.count(), NUMBER_BYTES)
+    return numbered.select("row", "key.number").join(dropped, "number", "left_anti").select("row.*")
 
 
 def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text columns in Arrow batches."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,20 @@ def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "").cast(pa.large_string())
 
 
+def giving_back(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function, which at its end gives the system what its arrays took.
+
+    Spark keeps a worker for later tasks, and the worker would keep that memory.
+    """
+
+    @wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def byte_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Consecutive parts of at most ``most`` bytes each, or of one text."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passim.llm.arrow import filled
+from passim.llm.arrow import filled, giving_back
 from passim.session import BROADCAST_BYTES
 
 # Word errors allowed, as a share of the item's words.
@@ -137,6 +137,7 @@ def item_matches(
 
 def _matcher(sent, share: float, kind: pa.DataType):
     @F.arrow_udf("array<struct<item_id: long, distance: int, end_word: long>>")
+    @giving_back
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(sent.value, share)
         for batch in batches:

@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passim.llm.arrow import byte_slices, filled
+from passim.llm.arrow import byte_slices, filled, giving_back
 from passim.llm.components import components
-from passim.session import checkpointed, new_folder
+from passim.session import checkpointed, new_folder, small_batches
 
 SHINGLE_WORDS = 3
 THRESHOLD = 0.9
@@ -238,6 +238,7 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float, size: i
     plan = Plan(threshold)
 
     @F.arrow_udf("n long, node long, fold array<long>, keys array<long>")
+    @giving_back
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # Copies of a text name their buckets once in a task.
         met: set[int] = set()
@@ -258,6 +259,7 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float, size: i
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), run(F.col(f"`{text}`")).alias("_s")).select("doc_id", "_s.*")
 
 
+@giving_back
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by bucket and node the distinct ones, without buckets of one node.
 
@@ -316,6 +318,7 @@ def _compare(plan: Plan, turn: int):
                 own = slice(start, stop)
                 yield node[own], comp[own], n[own], fold[own]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = False
         for node, comp, n, fold in groups(batches):
@@ -398,7 +401,8 @@ def linked_pairs(
     """
     spark, plan = docs.sparkSession, Plan(threshold)
     path = new_folder(spark, "sketches")
-    _sketched(docs, doc_id, text, threshold, size).write.parquet(path)
+    with small_batches(spark):
+        _sketched(docs, doc_id, text, threshold, size).write.parquet(path)
     stored = spark.read.parquet(path)
     members = checkpointed(_members(stored))
     sets = stored.select("node", "n", "fold").join(members.select("node").distinct(), "node", "left_semi")
@@ -469,6 +473,7 @@ def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> Dat
     sent = spark.sparkContext.broadcast(_marked(wanted))
 
     @F.arrow_udf("node long, hashed array<long>")
+    @giving_back
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         met: set[int] = set()
         for batch in batches:
@@ -487,7 +492,8 @@ def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> Dat
 
     made = docs.select(run(F.col(f"`{text}`")).alias("_s")).select("_s.*").where("node is not null")
     path = new_folder(spark, "sets")
-    made.join(wanted, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
+    with small_batches(spark):
+        made.join(wanted, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passim.llm.arrow import byte_slices, filled, hashes, sums_by_row, words
+from passim.llm.arrow import byte_slices, filled, giving_back, hashes, sums_by_row, words
 from passim.session import checkpointed
 
 UNDETERMINED = "und"
@@ -176,6 +176,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.units))
 
     @F.arrow_udf("lang_pred string, score double")
+    @giving_back
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = LanguageModel.of(*sent.value)
         for batch in batches:

@@ -12,13 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passim.llm.arrow import byte_slices, encoded, filled
-from passim.session import new_folder
+from passim.llm.arrow import byte_slices, encoded, filled, giving_back
+from passim.session import new_folder, small_batches
 
 SEQUENCE_TOKENS = 1024
 # Pieces that one task packs together, on average.
 GROUP_PIECES = 4096
 END_ID = 0
+# Bytes of texts whose parts a task holds at once.
+SLICE_BYTES = 1 << 20
 
 
 # Parts of texts whose ids a task remembers before it forgets older ones, and the longest.
@@ -130,12 +132,13 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id",
     """
 
     @F.arrow_udf("array<struct<start: long, length: long, ids_crc32: long, doc_tokens: long>>")
+    @giving_back
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(tokenizer_file)
         kind = pa.struct([(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens")])
         for batch in batches:
-            for part in byte_slices(filled(batch)):
-                ids, bounds = encoder.encode(part)
+            for part in byte_slices(batch, SLICE_BYTES):
+                ids, bounds = encoder.encode(filled(part))
                 yield _cut(np.insert(ids, bounds[1:], END_ID).astype("<u4"), bounds + np.arange(len(bounds)), size, kind)
 
     listed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), pieces(F.col(f"`{text}`")).alias("_pieces"))
@@ -200,4 +203,6 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS, group_pieces: int = GRO
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", size: int = SEQUENCE_TOKENS) -> DataFrame:
     """Documents packed into sequences: a row per piece, columns as of both steps."""
-    return pack(cut_documents(docs, tokenizer_file, doc_id, text, size), size)
+    # The texts are cut while the pieces are stored, so inside.
+    with small_batches(docs.sparkSession):
+        return pack(cut_documents(docs, tokenizer_file, doc_id, text, size), size)

@@ -2,7 +2,8 @@
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 # Largest table (in bytes) sent to every executor. Each operator that
 # broadcasts measures or proves the size first and has another plan above it.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Bytes of an Arrow batch that text columns are sent to Python in.
+TEXT_BATCH_BYTES = 4 * 1024 * 1024
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _local_folders: dict[str, str] = {}
 _stored: dict[tuple, str] = {}
@@ -68,6 +72,21 @@ def broadcast_within(df: DataFrame, max_rows: int | None, row_bytes: int) -> Dat
     return df
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send texts to Python in batches of few bytes.
+
+    A batch lies in the executor's memory outside the heap and in the worker's
+    at once, for every task. Jobs that start later have the session's setting.
+    """
+    old = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, f"{TEXT_BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, old)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash a scan over all cores if it has fewer splits than there are cores.
 
