@@ -2,8 +2,9 @@
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,38 +30,51 @@ KEPT_CHARS = 64
 
 
 class Encoder:
-    """Ids of a byte-level BPE file, each distinct word of a slice encoded once.
+    """Ids of a byte-level BPE file.
 
-    Ids of words met lately are remembered over slices. Words of Latin script go through the faster library, which has the same
-    vocabulary and word pattern; all else goes through the file's own one.
+    Texts of Latin script go whole through the faster library, which has the
+    same vocabulary and word pattern. Of other texts each distinct word of a
+    slice is encoded once, by the file's own library if it is not Latin, and
+    ids of words met lately are remembered over slices.
     """
 
+    # In Python's expressions and in Arrow's.
     OTHER = re.compile("[^\u0000-\u007e\u00a1-\u024f\u2010-\u2027]")
+    OTHER_BYTES = r"[^\x{0}-\x{7e}\x{a1}-\x{24f}\x{2010}-\x{2027}]"
+    # Two or more characters of white space before another one; Latin texts as above hold no other white space.
+    RUN = re.compile(r"[\t-\r ]{2,}(?=[^\t-\r ])")
+    RUN_BYTES = r"[\t-\r ]{2}[^\t-\r ]"
 
     def __init__(self, file: str):
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(file)
+        self.file = file
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
         letters = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        # The file's pattern without its look ahead, which `_latin` stands for.
+        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
         self.fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def exact(self):
+        """The file's own library, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def _ids(self, part: str) -> bytes:
         known = self.young.get(part)
         if known is None:
             known = self.old.get(part)
             if known is None:
-                ids = self.exact.encode(part, add_special_tokens=False).ids if self.OTHER.search(part) else self.fast.encode_ordinary(part)
-                known = array("I", ids).tobytes()
+                known = (self._exact(part) if self.OTHER.search(part) else self._latin(part)).tobytes()
             if len(part) <= KEPT_CHARS:
                 self.young[part] = known
         return known
@@ -68,16 +82,43 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one row, and the offsets of the texts.
 
-        Cut before each space that stands alone between other characters: no
-        word of the pattern reaches over it. A text that holds a special token
-        is encoded whole.
+        A text that holds a special token is encoded whole by the file's own library.
+        """
+        special = np.zeros(len(texts), dtype=bool)
+        for token in self.special:
+            special |= np.asarray(pc.match_substring(texts, token))
+        other = np.asarray(pc.match_substring_regex(texts, self.OTHER_BYTES)) & ~special
+        own = dict(zip(np.flatnonzero(other).tolist(), self._by_words(texts.filter(pa.array(other))), strict=True)) if other.any() else {}
+        runs = np.asarray(pc.match_substring_regex(texts, self.RUN_BYTES))
+        rows = []
+        for i, text in enumerate(texts.to_pylist()):
+            if special[i]:
+                rows.append(self._exact(text))
+            elif other[i]:
+                rows.append(own[i])
+            else:
+                rows.append(self._latin(text) if runs[i] else self.fast.encode_to_numpy(text))
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
+        return np.concatenate([np.zeros(0, dtype=np.uint32), *rows]), bounds
+
+    def _exact(self, text: str) -> np.ndarray:
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _latin(self, text: str) -> np.ndarray:
+        """Cut before the last white space of each run, which belongs to what follows."""
+        cuts = [m.end() - 1 for m in self.RUN.finditer(text)]
+        if not cuts:
+            return self.fast.encode_to_numpy(text)
+        return np.concatenate([self.fast.encode_to_numpy(text[a:b]) for a, b in pairwise([0, *cuts, len(text)])])
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, which is cut before spaces that stand alone between other characters.
+
+        No word of the pattern reaches over such a cut.
         """
-        n = len(texts)
         marked = pc.replace_substring_regex(texts, r"([^\s]) ([^\s])", "\\1\x00 \\2")
         # Every second one-letter word is still uncut, which is as right.
         whole = np.asarray(pc.match_substring(texts, "\x00"))
-        for token in self.special:
-            whole = whole | np.asarray(pc.match_substring(texts, token))
         marked = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), marked)
         offsets, index, distinct = encoded(pc.split_pattern(marked, "\x00"))
         if len(self.young) > KEPT_PARTS:
@@ -90,16 +131,8 @@ class Encoder:
         lengths = sizes[index]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = flat[np.repeat(starts[index] - ends[:-1], lengths) + np.arange(ends[-1])]
-        bounds = ends[offsets]
-        if not whole.any():
-            return ids, bounds
-        rows = [
-            np.array(self.exact.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
-            if whole[i]
-            else ids[bounds[i] : bounds[i + 1]]
-            for i in range(n)
-        ]
-        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        rows = np.split(ids, ends[offsets][1:-1])
+        return [self._exact(texts[i].as_py()) if whole[i] else row for i, row in enumerate(rows)]
 
 
 def _cut(ids: np.ndarray, bounds: np.ndarray, size: int, kind: pa.DataType) -> pa.Array:
