@@ -1,6 +1,8 @@
 """Documents to training sequences, in five stages that each keep what passes.
 
-Every stage gets the rows that the one before it wrote.
+Every stage gets the rows that the one before it wrote. Texts go to Python in
+small batches: the stages set that for the session, as their rows go there when
+the caller writes them.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passim.llm import decontaminate, jaccard, language, packing, secrets
 from passim.llm.queries import tokenizer
-from passim.session import broadcast_within, new_folder
+from passim.session import broadcast_within, keep_batches_small, new_folder
 
 
 # A text of so many words shows its language; where none gets this share, it goes.
@@ -24,6 +26,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the probability; shorter ones stay. Without labelled rows only the first
     two rules hold.
     """
+    keep_batches_small(spark)
     model = language.train_languages(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -40,6 +43,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     A null id comes after all others. Rows of one id that are not alike are
     rows of their own. Texts without words are no group: all such rows stay.
     """
+    keep_batches_small(spark)
     path = new_folder(spark, "numbered")
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.monotonically_increasing_id().alias("number"))
     docs.select(F.struct("*").alias("row"), key.alias("key")).write.parquet(path)
@@ -56,6 +60,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    keep_batches_small(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

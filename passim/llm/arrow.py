@@ -1,5 +1,6 @@
 """Text columns in Arrow batches."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -21,7 +22,7 @@ def filled(texts: pa.Array) -> pa.Array:
 
 
 def giving_back(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The function, which at its end gives the system what its arrays took.
+    """The function, which at its end gives the system what its arrays and tables took.
 
     Spark keeps a worker for later tasks, and the worker would keep that memory.
     """
@@ -30,6 +31,9 @@ def giving_back(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator]
     def run(batches: Iterator) -> Iterator:
         yield from function(batches)
         pa.default_memory_pool().release_unused()
+        # Not every C library has that.
+        if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+            library.malloc_trim(0)
 
     return run
 

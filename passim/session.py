@@ -80,13 +80,21 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     at once, for every task. Jobs that start later have the session's setting.
     """
     old = spark.conf.get(_BATCH_BYTES)
-    spark.conf.set(_BATCH_BYTES, f"{TEXT_BATCH_BYTES}b")
+    keep_batches_small(spark)
     try:
         yield
     finally:
         spark.conf.set(_BATCH_BYTES, old)
 
 
+def keep_batches_small(spark: SparkSession) -> None:
+    """As ``small_batches``, for the session from now on.
+
+    For programs whose rows go to Python when their caller writes them.
+    """
+    spark.conf.set(_BATCH_BYTES, f"{TEXT_BATCH_BYTES}b")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash a scan over all cores if it has fewer splits than there are cores.
 
