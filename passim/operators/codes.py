@@ -12,10 +12,12 @@ from passim.functions.vector import squared_l2, sum_vector
 from passim.operators.cells import CENTROID_DECIMALS, ITERATIONS, hash_order, train_sample
 from passim.operators.nearest import (
     _BLOCK_CELLS,
-    _PRODUCT_CELLS,
+    _PRODUCT_ERROR,
+    _ROUNDING,
     _SLICE_CELLS,
     DISTANCE_DECIMALS,
     BestK,
+    NearVectors,
     _arrow_schema,
     _best_batch,
     answered_in_slices,
@@ -25,9 +27,9 @@ from passim.operators.nearest import (
     bounded_block,
     in_tasks,
     merge_best,
-    near_products,
     pair_blocks,
     result_schema,
+    row_squares,
     vector_width,
 )
 from passim.operators.ranking import top_k
@@ -188,14 +190,20 @@ def add_codes(best: BestK, queries: np.ndarray, which: np.ndarray, codes: np.nda
     """
     codes = codes.astype(np.int64)
     subs, words, _ = books.shape
-    decoded = books[np.arange(subs)[None, :], codes].reshape(len(codes), -1)
-    step = max(1, min(_BLOCK_CELLS // (subs * words), _PRODUCT_CELLS // max(1, len(codes))))
+    decoded = NearVectors(decoded_rows(codes, books))
+    step = max(1, min(_BLOCK_CELLS // (subs * words), decoded.query_step()))
     for start in range(0, len(which), step):
-        block, part = queries[start : start + step], which[start : start + step]
-        near, slack = near_products(block, decoded)
-        row, col = best.candidates(part, near, slack + _code_slack(books))
-        if len(row):
-            best.offer(part[row], code_sums(sub_distances(block, books), row, codes, col), ids[col])
+        block, part, table = queries[start : start + step], which[start : start + step], None
+        for some, near, less, slack in decoded.products(block):
+            row, col = best.candidates(part, near, slack + _code_slack(books), less)
+            if len(row):
+                table = sub_distances(block, books) if table is None else table
+                best.offer(part[row], code_sums(table, row, codes[some], col), ids[some][col])
+
+
+def decoded_rows(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for."""
+    return books[np.arange(len(books))[None, :], codes].reshape(len(codes), -1)
 
 
 def _code_slack(books: np.ndarray) -> float:
@@ -267,7 +275,7 @@ def rescored_search(
         for cell, which, here in pairs:
             asked = _to_centre(block[which], centres, cell)
             if whole:
-                _add_pooled(best, block, asked, which, vectors[here], codes[here], number[here], books, pool)
+                _add_pooled(best, block, asked, which, vectors[here], _to_centre(vectors[here], centres, cell), codes[here], number[here], books)
             else:
                 add_codes(best, asked, which, codes[here], number[here], books)
         query, dist, names = best.found()
@@ -296,21 +304,32 @@ def _measured(queries: np.ndarray, row: np.ndarray, vectors: np.ndarray, col: np
 
 
 def _add_pooled(
-    best: BestK, block: np.ndarray, asked: np.ndarray, which: np.ndarray, vectors: np.ndarray, codes: np.ndarray, names: np.ndarray, books: np.ndarray, pool: int
+    best: BestK, block: np.ndarray, asked: np.ndarray, which: np.ndarray, vectors: np.ndarray, coded: np.ndarray, codes: np.ndarray, names: np.ndarray, books: np.ndarray
 ) -> None:
-    """Offer by exact distance the rows that are among the first ``pool`` by code."""
-    decoded = books[np.arange(len(books))[None, :], codes].reshape(len(codes), -1)
-    step = max(1, _PRODUCT_CELLS // max(1, len(codes)))
+    """Offer by exact distance the rows of a pool that holds them all.
+
+    ``coded`` is what the codes stand for but for an error. A row is as far as its
+    code less that error at least, so only queries whose lists some code may still
+    change have their exact distances to these rows found.
+    """
+    words = decoded_rows(codes, books)
+    error = np.sqrt(row_squares(coded - words))
+    decoded, exact = NearVectors(words), NearVectors(vectors)
+    step = exact.query_step()
     for start in range(0, len(which), step):
-        part = which[start : start + step]
-        by_code, code_slack = near_products(asked[start : start + step], decoded)
-        near, slack = near_products(block[part], vectors)
-        if pool < len(codes):
-            cut = np.partition(by_code, pool - 1, axis=1)[:, pool - 1] + code_slack + _code_slack(books)
-            near[by_code > cut[:, None]] = np.inf
-        row, col = best.candidates(part, near, slack)
-        if len(row):
-            best.offer(part[row], _measured(block[part], row, vectors, col), names[col])
+        part, query = which[start : start + step], asked[start : start + step]
+        own = block[part]
+        by_code, by_vector = decoded.products(query), exact.cut(own)
+        for some, near, less, slack in by_code:
+            reach = (np.sqrt(best.bound[part] + _ROUNDING) + error[some].max()) ** 2 * (1 + _PRODUCT_ERROR)
+            open_ = np.flatnonzero(~(near.min(axis=1) > reach + slack - less))
+            if not len(open_):
+                continue
+            near, less, slack = by_vector(some, open_)
+            row, col = best.candidates(part[open_], near, slack, less)
+            if len(row):
+                row, col = open_[row], col + some.start
+                best.offer(part[row], _measured(own, row, vectors, col), names[col])
 
 
 def decode_pq(index: DataFrame, codebooks: DataFrame) -> DataFrame:

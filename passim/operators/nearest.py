@@ -23,21 +23,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passim.operators.ranking import top_k
-from passim.session import BROADCAST_BYTES, broadcast_within, checkpointed
+from passim.session import BROADCAST_BYTES, broadcast_within, checkpointed, spread
 
 # Distances are rounded so that equal vectors tie in any block layout.
 DISTANCE_DECIMALS = 9
 # Cells of one distance block held in memory by a task.
 _BLOCK_CELLS = 4_000_000
-# Cells of one product, small enough to stay near the processor.
-_PRODUCT_CELLS = 1_000_000
+# Cells of one product, small enough to stay near the processor, and vectors of one:
+# a product of few queries by many vectors reads the vectors again and again.
+_PRODUCT_CELLS, _PRODUCT_VECTORS = 1_000_000, 2048
+# Queries of one product, at most.
+_PRODUCT_QUERIES = 16_384
 # Rows of a batch that are turned into numbers at once, where each has an answer of its own.
 _SLICE_ROWS = 1024
 # Cells of one distance block of such rows.
 _SLICE_CELLS = 262_144
-# Rows of the blocks of queries and of vectors that a shuffle pairs: each vector
-# block gives each query a list, so these are the larger ones.
-_QUERY_ROWS, _VECTOR_ROWS = 16_384, 65_536
+# Rows of the blocks of queries and of vectors that a shuffle pairs, at most: each
+# vector block gives each query a list, and each query block takes a copy of the vectors.
+_QUERY_ROWS, _VECTOR_ROWS = 65_536, 131_072
+# Rows of the lists of a block of queries, from the least of its queries on.
+_LIST_ROWS, _LEAST_QUERIES = 655_360, 16_384
+# Blocks are cut smaller, down to so many rows, until there are so many pairs for each core.
+_SMALL_ROWS, _CORE_PAIRS = 8192, 3
 # Shuffle partitions of the paired blocks, at most.
 _MOST_PARTS = 2048
 # From so many queries a scan has as many tasks as there are cores.
@@ -90,19 +97,22 @@ class BestK:
         self.lists = np.empty((queries, 0))
         self.names: np.ndarray | None = None
 
-    def candidates(self, which: np.ndarray, dist: np.ndarray, slack: float | np.ndarray = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Row and column of what may enter the lists, if ``dist`` errs by half of ``slack`` at most."""
+    def candidates(self, which: np.ndarray, dist: np.ndarray, slack: float | np.ndarray = 0.0, less: float | np.ndarray = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of what may enter the lists, if ``dist`` errs by half of ``slack`` at most.
+
+        ``less`` is what the distances of each query are given without.
+        """
         slack = np.broadcast_to(slack, len(which))
-        bound = self.bound[which] + slack
+        bound = self.bound[which] - less + slack
         wide = dist.shape[1] > self.k
         loose = np.isinf(bound) if wide else np.zeros(len(which), dtype=bool)
         if loose.any():
             bound[loose] = np.fmin(bound[loose], np.partition(dist[loose], self.k - 1, axis=1)[:, self.k - 1] + slack[loose])
-        hits = dist <= bound[:, None]
+        hits = dist <= _at_least(bound, dist.dtype)[:, None]
         if wide and np.count_nonzero(hits) > 8 * self.k * len(which):
             bound = np.fmin(bound, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1] + slack)
-            hits = dist <= bound[:, None]
-        return np.divmod(np.flatnonzero(hits), dist.shape[1])
+            hits = dist <= _at_least(bound, dist.dtype)[:, None]
+        return np.divmod(_places(hits), dist.shape[1])
 
     def add(self, which: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
         """Offer ``dist[i, j]``: query ``which[i]`` to vector ``ids[j]``."""
@@ -175,23 +185,94 @@ def near_products(queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray,
     return near, _ROUNDING + _PRODUCT_ERROR * (left + most)
 
 
+def _at_least(bound: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The bounds as numbers of ``kind``, none of them lower."""
+    return bound if bound.dtype == kind else np.nextafter(bound.astype(kind), kind.type(np.inf))
+
+
+def _places(hits: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero``, for few hits eight cells at a time."""
+    if hits.size % 8 or 64 * np.count_nonzero(hits) > hits.size:
+        return np.flatnonzero(hits)
+    flat = hits.reshape(-1)
+    some = (8 * np.flatnonzero(flat.view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return some[flat[some]]
+
+
+def row_squares(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[(rows[i : i + _SLICE_ROWS] ** 2).sum(axis=1) for i in range(0, len(rows), _SLICE_ROWS)]])
+
+
+class NearVectors:
+    """Vectors whose products with queries find, in single precision, what may be near.
+
+    A distance that is given out is never taken from these products; what they
+    leave is measured again. Numbers that single precision cannot hold are
+    multiplied in double precision.
+    """
+
+    # Share of the squares by which a product errs, for each component and a few more operations.
+    _ERROR, _MORE = 2.0**-24, 8
+    # Squares up to this neither overflow nor, where they do not count, vanish.
+    _LARGEST = 1e30
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.squares = vectors, row_squares(vectors)
+        finite = np.isfinite(self.squares)
+        self.most = self.squares[finite].max(initial=0.0)
+        self.single = None
+        if finite.all() and self.most < self._LARGEST:
+            self.single = np.empty((len(vectors), vectors.shape[1] + 1), dtype=np.float32)
+            self.single[:, :-1], self.single[:, -1] = vectors, self.squares
+
+    def cut(self, queries: np.ndarray) -> Callable:
+        """What gives, for a slice of the vectors and some of the queries (else all), their near distances, and for each query what these lack and a bound of twice the error."""
+        squares = row_squares(queries)
+        single = self.single is not None and bool((squares < self._LARGEST).all())
+        if single:
+            left = np.empty((len(queries), queries.shape[1] + 1), dtype=np.float32)
+            left[:, :-1], left[:, -1] = -2.0 * queries, 1.0
+            slack = _ROUNDING + 2.0 * self._ERROR * (queries.shape[1] + self._MORE) * (squares + 2.0 * self.most)
+
+        def near(some: slice, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if single:
+                return left[rows] @ self.single[some].T, squares[rows], slack[rows]
+            found, wide = near_products(queries[rows], self.vectors[some])
+            return found, np.zeros(len(found)), wide
+
+        return near
+
+    def products(self, queries: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for all queries, some vectors at a time, with the slice of these."""
+        near = self.cut(queries)
+        for low in range(0, len(self.vectors), _PRODUCT_VECTORS):
+            some = slice(low, min(low + _PRODUCT_VECTORS, len(self.vectors)))
+            yield some, *near(some)
+
+    def query_step(self) -> int:
+        """Queries of one product."""
+        return max(1, min(_PRODUCT_QUERIES, _PRODUCT_CELLS // max(1, min(_PRODUCT_VECTORS, len(self.vectors)))))
+
+
 def add_blocks(best: BestK, queries: np.ndarray, which: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
     """Offer vectors to queries. Only what may enter a list is measured and rounded one by one."""
-    step = max(1, _PRODUCT_CELLS // max(1, len(vectors)))
+    held = NearVectors(vectors)
+    step = held.query_step()
     for start in range(0, len(which), step):
         part = which[start : start + step]
         block = queries[part]
-        near, slack = near_products(block, vectors)
-        row, col = best.candidates(part, near, slack)
-        if 8 * len(row) > near.size:
-            best.offer(part[row], squared_distances(block, vectors)[row, col], ids[col])
-        elif len(row):
-            best.offer(part[row], paired_distances(block, row, vectors, col), ids[col])
-
-
-def paired_distances(queries: np.ndarray, row: np.ndarray, vectors: np.ndarray, col: np.ndarray) -> np.ndarray:
-    """Squared distance of ``queries[row[i]]`` to ``vectors[col[i]]``, rounded."""
-    left, right = (queries**2).sum(axis=1), (vectors**2).sum(axis=1)
+        squares = row_squares(block)
+        for some, near, less, slack in held.products(block):
+            row, col = best.candidates(part, near, slack, less)
+            if 8 * len(row) > near.size:
+                best.offer(part[row], squared_distances(block, vectors[some])[row, col], ids[some][col])
+            elif len(row):
+                col += some.start
+                best.offer(part[row], paired_distances(block, squares, row, vectors, held.squares, col), ids[col])
+
+
+def paired_distances(queries: np.ndarray, left: np.ndarray, row: np.ndarray, vectors: np.ndarray, right: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Squared distance of ``queries[row[i]]`` to ``vectors[col[i]]``, rounded; ``left`` and ``right`` are their squares."""
     out, step = np.empty(len(row)), max(1, _BLOCK_CELLS // max(1, queries.shape[1]))
     for low in range(0, len(row), step):
         some = slice(low, low + step)
@@ -360,20 +441,29 @@ def pair_blocks(
     sizes = {r["cell"]: r["n"] for r in vectors.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     asks = queries.select(F.explode(F.array_distinct("cells")).alias("cell")) if routed else queries.select(F.lit(0).alias("cell"))
     asked = {r["cell"]: r["n"] for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    groups = _cell_groups({c: n for c, n in sizes.items() if c in asked}, asked, queries.count(), min(_QUERY_ROWS, fit), min(_VECTOR_ROWS, fit))
+    cores = spark.sparkContext.defaultParallelism
+    groups = _sized_groups({c: n for c, n in sizes.items() if c in asked}, asked, queries.count(), min(_block_queries(k), fit), min(_VECTOR_ROWS, fit), _CORE_PAIRS * cores)
     cells = np.array(sorted(groups), dtype=np.int64)
-    sent = spark.sparkContext.broadcast((cells, np.array([groups[c] for c in cells.tolist()], dtype=np.int64).reshape(-1, 3)))
-    keys = ["_g", "_q", "_v"]
-    grid = spark.createDataFrame([(int(c), *map(int, groups[c])) for c in cells.tolist()], "cell int, _g int, _qparts int, _vparts int")
+    # A group's pairs are numbered from its first one on.
+    first, pairs = {}, 0
+    for group, qparts, vparts in sorted(set(groups.values())):
+        first[group], pairs = pairs, pairs + qparts * vparts
+    spots = [(int(c), first[groups[c][0]], *map(int, groups[c][1:])) for c in cells.tolist()]
+    sent = spark.sparkContext.broadcast((cells, np.array([spot[1:] for spot in spots], dtype=np.int64).reshape(-1, 3)))
+    parts = max(1, min(_MOST_PARTS, pairs))
+    numbers = F.split(F.lit(",".join(map(str, dealt_numbers(pairs, parts)))), ",").cast("array<int>")
+    pair_number = F.get(numbers, F.col("_first") + F.col("_q") * F.col("_vparts") + F.col("_v"))
+    grid = spark.createDataFrame(spots, "cell int, _first int, _qparts int, _vparts int")
     right = (
-        vectors.withColumn("cell", F.col("cell").cast("int"))
+        spread(vectors.select("id", *columns, "cell"), "id")
+        .withColumn("cell", F.col("cell").cast("int"))
         .join(F.broadcast(grid), "cell")
         .withColumn("_v", F.pmod(F.xxhash64("id"), F.col("_vparts")).cast("int"))
         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_qparts") - 1)))
-        .select("id", *columns, "cell", *keys)
+        .select("id", *columns, "cell", pair_number.alias("_pair"))
     )
 
-    @F.arrow_udf("array<struct<_g: int, _qparts: int, _vparts: int, cells: array<int>>>")
+    @F.arrow_udf("array<struct<_first: int, _qparts: int, _vparts: int, cells: array<int>>>")
     def deal(lists: pa.Array) -> pa.Array:
         """The blocks' groups that a list of cells meets, each with its part of the list."""
         known, place = sent.value
@@ -387,16 +477,17 @@ def pair_blocks(
         first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (spot[1:, 0] != spot[:-1, 0])]) if len(row) else np.zeros(0, dtype=np.int64)
         inner = pa.ListArray.from_arrays(pa.array(np.r_[first, len(flat)].astype(np.int32)), pa.array(flat.astype(np.int32)))
         parts = [pa.array(spot[first, i].astype(np.int32)) for i in range(3)]
-        entries = pa.StructArray.from_arrays([*parts, inner], ["_g", "_qparts", "_vparts", "cells"])
+        entries = pa.StructArray.from_arrays([*parts, inner], ["_first", "_qparts", "_vparts", "cells"])
         ends = np.searchsorted(row[first], np.arange(len(lists) + 1)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), entries)
 
     left = (
-        queries.select("id", "values", F.explode(deal("cells")).alias("_d"))
+        spread(queries.select("id", "values", "cells"), "id")
+        .select("id", "values", F.explode(deal("cells")).alias("_d"))
         .select("id", "values", "_d.*")
         .withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_qparts")).cast("int"))
         .withColumn("_v", F.explode(F.sequence(F.lit(0), F.col("_vparts") - 1)))
-        .select(*[F.col(c).alias("q_" + c) for c in ("id", "values", "cells", *keys)])
+        .select(*[F.col(c).alias("q_" + c) for c in ("id", "values", "cells")], pair_number.alias("q_pair"))
     )
     arrow = _arrow_schema(schema)
 
@@ -427,9 +518,50 @@ def pair_blocks(
         return pa.Table.from_arrays([left.column("q_id").combine_chunks().take(pa.array(query)), *out], schema=arrow)
 
     # By number, as blocks of few bytes are much work and must not be put together.
-    blocks = min(_MOST_PARTS, 4 * sum(q * v for _, q, v in set(groups.values())) or 1)
-    left, right = left.repartition(blocks, *["q_" + c for c in keys]), right.repartition(blocks, *keys)
-    return left.groupBy(*["q_" + c for c in keys]).cogroup(right.groupBy(*keys)).applyInArrow(pair, schema)
+    left, right = left.repartition(parts, "q_pair"), right.repartition(parts, "_pair")
+    return left.groupBy("q_pair").cogroup(right.groupBy("_pair")).applyInArrow(pair, schema)
+
+
+def dealt_numbers(count: int, parts: int) -> list[int]:
+    """Whole numbers of which Spark's hash puts the same number into each of the partitions, or one more."""
+    most, size = -(-count // parts), 4 * (count + parts)
+    while True:
+        home = np.mod(_murmur(np.arange(size, dtype=np.uint32)), parts)
+        held = np.bincount(home, minlength=parts)
+        if held.min() >= most:
+            break
+        size *= 2
+    order, start = np.argsort(home, kind="stable"), np.cumsum(held) - held
+    number = np.arange(count)
+    return order[start[number % parts] + number // parts].tolist()
+
+
+def _murmur(numbers: np.ndarray) -> np.ndarray:
+    """Spark's hash of an INT, by which rows are dealt to partitions."""
+    turned = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+    x = np.uint32(42) ^ (turned(numbers * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+    x = turned(x, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    x ^= np.uint32(4)
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (x ^ (x >> np.uint32(16))).view(np.int32)
+
+
+def _block_queries(k: int) -> int:
+    """Queries of a block, fewer for longer lists."""
+    return max(_LEAST_QUERIES, min(_QUERY_ROWS, _LIST_ROWS // max(1, k)))
+
+
+def _sized_groups(sizes: dict[int, int], asked: dict[int, int], queries: int, query_rows: int, rows: int, pairs: int) -> dict[int, tuple[int, int, int]]:
+    """Groups in the largest blocks that make so many pairs; first blocks of queries are halved, then those of vectors."""
+    while True:
+        groups = _cell_groups(sizes, asked, queries, query_rows, rows)
+        if sum(q * v for _, q, v in set(groups.values())) >= pairs or max(query_rows, rows) <= _SMALL_ROWS:
+            return groups
+        if query_rows > _SMALL_ROWS:
+            query_rows = max(_SMALL_ROWS, query_rows // 2)
+        else:
+            rows = max(_SMALL_ROWS, rows // 2)
 
 
 def _cell_groups(sizes: dict[int, int], asked: dict[int, int], queries: int, query_rows: int, rows: int) -> dict[int, tuple[int, int, int]]:
