@@ -118,25 +118,50 @@ def sweep(
 ) -> DataFrame:
     """Quality and read cost for each ``nprobe``, in one search pass.
 
-    ``queries`` has ``id, values``; every (nprobe, query) pair is searched as a
-    query of its own. ``titles`` has ``id, title``.
+    ``queries`` has ``id, values``. A cell is read for a query once, by the least
+    ``nprobe`` that probes it; what a larger one finds is the best of its own cells
+    and of all that smaller ones found. ``titles`` has ``id, title``.
     """
-    settings = F.explode(F.array(*[F.lit(n) for n in nprobes])).alias("nprobe")
-    ranked = knn(queries, centroids, max(nprobes)).select("qid", F.col("id").alias("cell"), "rank")
-    key = F.concat_ws(":", "nprobe", "qid").alias("key")
-    probes = ranked.select("*", settings).filter(F.col("rank") <= F.col("nprobe"))
-    probes = checkpointed(probes.select("nprobe", "qid", key, "cell"))
+    levels = sorted(set(nprobes))
+    settings = F.explode(F.array(*[F.lit(n) for n in levels])).alias("nprobe")
+    least = F.get(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("rank")), F.lit(0)).alias("least")
+    ranked = knn(queries, centroids, max(levels)).select("qid", F.col("id").alias("cell"), "rank", least)
+    ranked = checkpointed(ranked)
+    probes = ranked.select("*", settings).filter(F.col("rank") <= F.col("nprobe")).select("nprobe", "qid", "cell")
     cost = query_cost(probes, stats, dim, ("nprobe", "qid")).groupBy("nprobe").agg(
         F.avg("reads").alias("avg_reads"), F.avg("vectors").alias("avg_vectors"), F.median("vectors").alias("p50_vectors")
     )
-    asked = queries.select("id", "values", settings).select(
-        F.concat_ws(":", "nprobe", "id").alias("id"), "values"
-    )
-    hits = search_probes(asked, index, probes.select(F.col("key").alias("qid"), "cell"), k)
-    small = broadcast_within(hits, queries.count() * len(nprobes) * k, 256)
-    shown = titles.select("id", "title").join(small, "id").select("qid", "rank", "title")
+    hits = _nested_hits(queries, index, ranked, levels, k)
+    small = broadcast_within(hits, queries.count() * len(levels) * k, 256)
+    shown = _small_titles(titles.select("id", "title")).join(small, "id").select("qid", "rank", "title")
     cases = judgments.select("qid", "expected", settings).select(F.concat_ws(":", "nprobe", "qid").alias("qid"), "expected")
     ranks = first_relevant_rank(shown, cases).withColumn(
         "nprobe", F.substring_index("qid", ":", 1).cast("int")
     )
     return summarize(ranks, ["nprobe"]).join(cost, "nprobe")
+
+
+def _nested_hits(queries: DataFrame, index: DataFrame, ranked: DataFrame, levels: list[int], k: int) -> DataFrame:
+    """``qid, rank, id``: the first ``k`` for each query and level, ``qid`` made of both.
+
+    ``ranked`` has ``qid, cell, least``, the least level that reads the cell. Each
+    level's own cells are searched as a query of their own.
+    """
+    each = F.explode(F.array(*[F.lit(n) for n in levels])).alias("least")
+    asked = queries.select("id", "values", each).select(F.concat_ws(":", "least", "id").alias("id"), "values")
+    own = search_probes(asked, index, ranked.select(F.concat_ws(":", "least", "qid").alias("qid"), "cell"), k)
+    # The id of a query without one is not in the key, nor is the colon.
+    mark = F.instr("qid", ":")
+    query = F.when(mark > 0, F.expr("substring(qid, instr(qid, ':') + 1)"))
+    own = own.select(query.alias("qid"), F.substring_index("qid", ":", 1).cast("int").alias("least"), "distance", "id")
+    found = own.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "id", "least"))).alias("found"))
+    best = lambda n: F.slice(F.filter("found", lambda hit: hit["least"] <= n), 1, k)
+    lists = F.array(*[F.struct(F.lit(n).alias("nprobe"), best(n).alias("hits")) for n in levels])
+    rows = found.select("qid", F.explode(lists).alias("list")).select("qid", "list.nprobe", F.posexplode("list.hits").alias("at", "hit"))
+    return rows.select(F.concat_ws(":", "nprobe", "qid").alias("qid"), (F.col("at") + 1).alias("rank"), "hit.id")
+
+
+def _small_titles(titles: DataFrame) -> DataFrame:
+    """``id, title``, sent to all if their count and longest value prove them small."""
+    count, longest = titles.agg(F.count("*"), F.max(F.length(F.concat_ws("", "id", "title")))).first()
+    return broadcast_within(titles, count, 4 * (longest or 0) + 32)
