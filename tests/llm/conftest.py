@@ -31,3 +31,12 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], T._parse_datatype_string(SCHEMA))
+
+
+@pytest.fixture(scope="module", autouse=True)
+def own_batch_size(spark):
+    """Stages of the pipeline leave the session's batch size changed, which must not reach the next tests."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    yield
+    spark.conf.set(name, before)
